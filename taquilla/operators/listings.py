@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taquilla.functions.text import seat_text
-from taquilla.plans.dimensions import match_facts, with_stand
+from taquilla.plans.dimensions import with_match, with_stand
 from taquilla.plans.nesting import nest, paged_arrays
 from taquilla.sources.tables import Tables, only, owner_scope
 
 HIDDEN_USER_COLUMNS = ("password",)
 STAND_FIELDS = ("list_price", "id_stand", "stand_name", "capacity", "stand_description")
-MATCH_LISTING = (
+MATCH_LISTING = [
     "match_id",
     "match_date",
     "match_hour",
@@ -24,7 +24,7 @@ MATCH_LISTING = (
     "id_team_visitor",
     "visitor_name",
     "visitor_image_url",
-)
+]
 
 
 def _with_user(t: Tables, rows: DataFrame) -> DataFrame:
@@ -46,9 +46,7 @@ def ticket_listing(
     first.
     """
     scoped = owner_scope(only(t.tickets, "id", ticket_id), user_id, is_admin)
-    listed = with_stand(t, scoped, *STAND_FIELDS).join(
-        match_facts(t), F.col("id_matches") == F.col("match_id"), "left"
-    )
+    listed = with_match(t, with_stand(t, scoped, *STAND_FIELDS), MATCH_LISTING)
     columns = [
         "id",
         "ticket_code",
@@ -73,8 +71,7 @@ def transaction_listing(
 ) -> DataFrame:
     """Transactions with their match; for an administrator all, with the buyer."""
     scoped = owner_scope(only(t.transactions, "id", tx_id), user_id, is_admin)
-    facts = match_facts(t).select(*MATCH_LISTING)
-    listed = scoped.join(facts, F.col("id_matches") == F.col("match_id"), "left")
+    listed = with_match(t, scoped, MATCH_LISTING)
     return _with_user(t, listed) if is_admin else listed
 
 
@@ -100,19 +97,15 @@ def transaction_details(t: Tables, tx_id=None) -> DataFrame:
             "stand_name",
         ],
     )
-    facts = match_facts(t).select(*[c for c in MATCH_LISTING if c != "match_state"])
-    return (
-        nest(transactions, pages, ["id_transaction"])
-        .join(facts, F.col("id_matches") == F.col("match_id"), "left")
-        .select(
-            F.col("id_transaction").alias("id"),
-            "total_amount",
-            "number_tickets",
-            *facts.columns,
-            "page",
-            "pages",
-            F.col("items").alias("ticket"),
-        )
+    facts = [c for c in MATCH_LISTING if c != "match_state"]
+    return with_match(t, nest(transactions, pages, ["id_transaction"]), facts).select(
+        F.col("id_transaction").alias("id"),
+        "total_amount",
+        "number_tickets",
+        *facts,
+        "page",
+        "pages",
+        F.col("items").alias("ticket"),
     )
 
 

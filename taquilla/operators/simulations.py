@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from taquilla.functions.numeric import percent_text
 from taquilla.functions.text import match_half, score_text
-from taquilla.plans.dimensions import match_facts
+from taquilla.plans.dimensions import with_match
 from taquilla.plans.rollups import latest_simulation
+from taquilla.plans.sizing import lookup_side
 from taquilla.sources.tables import Tables, only
 
 # --- fixed values -----------------------------------------------------------------------
@@ -60,8 +61,10 @@ def _half_score(half: str) -> Column:
 def match_scoreboard(t: Tables, match_id=None) -> DataFrame:
     """Per simulated match: score, score by half, statistics of both sides, match info."""
     simulations = only(latest_simulation(t), "id_matches", match_id)
-    facts = match_facts(t)
-    return simulations.join(facts, F.col("id_matches") == F.col("match_id"), "left").select(
+    facts = ["match_state", "match_date", "match_stadium"]
+    for side in ("local", "visitor"):
+        facts += [f"id_team_{side}", f"{side}_name", f"{side}_image_url"]
+    return with_match(t, simulations, facts).select(
         "id",
         F.col("id_matches").alias("match_id"),
         score_text(F.col("local_goals"), F.col("visitor_goals")).alias("score"),
@@ -80,7 +83,9 @@ def _match_events(t: Tables, match_id) -> DataFrame:
     simulations = only(latest_simulation(t), "id_matches", match_id).select(
         F.col("id").alias("id_match_simulations"), F.col("id_matches").alias("match_id")
     )
-    return t.simulations_events.join(simulations, "id_match_simulations", "inner")
+    return t.simulations_events.join(
+        lookup_side(simulations), "id_match_simulations", "inner"
+    )
 
 
 def match_timeline(t: Tables, match_id=None) -> DataFrame:
@@ -92,7 +97,7 @@ def match_timeline(t: Tables, match_id=None) -> DataFrame:
     )
     timeline = (
         _match_events(t, match_id)
-        .join(side, "id_teams", "left")
+        .join(lookup_side(side), "id_teams", "left")
         .select(
             "match_id",
             "id",

@@ -15,9 +15,10 @@ from taquilla.functions.text import (
     seat_text,
     versus,
 )
-from taquilla.plans.dimensions import match_facts, priced_stands, with_stand
+from taquilla.plans.dimensions import priced_stands, with_match, with_stand
 from taquilla.plans.nesting import nest, paged_arrays
 from taquilla.plans.rollups import sold
+from taquilla.plans.sizing import lookup_side
 from taquilla.sources.tables import Tables, only
 
 MONEY = "decimal(38,2)"
@@ -60,7 +61,7 @@ def _spending(t: Tables, tickets: DataFrame) -> DataFrame:
 def _match_counts(t: Tables, tickets: DataFrame) -> DataFrame:
     pairs = tickets.select("id_users", F.col("id_matches").alias("id")).distinct()
     return (
-        pairs.join(t.matches.select("id"), "id", "left_semi")
+        pairs.join(lookup_side(t.matches.select("id")), "id", "left_semi")
         .groupBy("id_users")
         .agg(F.count("*").alias("total_matches"))
     )
@@ -74,7 +75,7 @@ def _stand_counts(t: Tables, tickets: DataFrame) -> DataFrame:
     stands = priced_stands(t).select("id_price", "stand_name")
     return (
         per_price.filter(F.col("id_price").isNotNull())
-        .join(stands, "id_price", "inner")
+        .join(lookup_side(stands), "id_price", "inner")
         .groupBy("id_users", "stand_name")
         .agg(F.sum("n").alias("n"), F.max("last").alias("last"))
     )
@@ -177,9 +178,11 @@ def user_match_history(t: Tables, user_id=None) -> DataFrame:
         ],
         descending=True,
     )
-    facts = match_facts(t)
-    history = nest(totals, pages, keys).join(
-        facts, F.col("id_matches") == F.col("match_id"), "inner"
+    history = with_match(
+        t,
+        nest(totals, pages, keys),
+        ["local_name", "visitor_name", "match_date", "match_hour", "match_stadium", "match_state"],
+        how="inner",
     )
     shown = history.select(
         F.col("id_users").alias("user_id"),
@@ -243,8 +246,10 @@ def user_recent_purchases(t: Tables, user_id=None, k: int = 5) -> DataFrame:
         )
         .filter(F.col("position") <= k)
     )
-    named = with_stand(t, latest, "stand_name").join(
-        match_facts(t), F.col("id_matches") == F.col("match_id"), "left"
+    named = with_match(
+        t,
+        with_stand(t, latest, "stand_name"),
+        ["local_name", "visitor_name", "match_date", "match_hour"],
     )
     shown = named.select(
         F.col("id_users").alias("user_id"),

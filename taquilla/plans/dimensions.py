@@ -1,14 +1,11 @@
-"""Joins that put names on key columns.
-
-No join carries a broadcast hint: Catalyst and the adaptive planner compare the size of the
-small side with ``spark.sql.autoBroadcastJoinThreshold`` and sort-merge beyond it.
-"""
+"""Joins that put names on key columns."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from taquilla.plans.sizing import lookup_side
 from taquilla.sources.tables import Tables
 
 NULL_BUCKETS = 1024
@@ -22,7 +19,7 @@ def with_teams(t: Tables, matches: DataFrame, *fields: str) -> DataFrame:
             *[F.col(f).alias(f"{side}_{f}") for f in fields],
         )
         matches = matches.join(
-            side_teams, matches[f"id_team_{side}"] == side_teams[f"{side}_key"], "left"
+            lookup_side(side_teams), F.col(f"id_team_{side}") == F.col(f"{side}_key"), "left"
         ).drop(f"{side}_key")
     return matches
 
@@ -59,7 +56,7 @@ def with_stand(t: Tables, tickets: DataFrame, *fields: str) -> DataFrame:
     return (
         tickets.withColumn("own_bucket", bucket)
         .join(
-            stands,
+            lookup_side(stands),
             (F.col("id_match_stand_price") == F.col("stand_key"))
             & (F.col("own_bucket") == F.col("stand_bucket")),
             "left",
@@ -69,7 +66,7 @@ def with_stand(t: Tables, tickets: DataFrame, *fields: str) -> DataFrame:
 
 
 def match_facts(t: Tables) -> DataFrame:
-    """Match columns for listings, under names that cannot clash with ticket columns."""
+    """Match and team columns under names that cannot clash with ticket columns."""
     plain = t.matches.select(
         F.col("id").alias("match_id"),
         "id_team_local",
@@ -80,3 +77,9 @@ def match_facts(t: Tables) -> DataFrame:
         F.col("state").alias("match_state"),
     )
     return with_teams(t, plain, "name", "image_url")
+
+
+def with_match(t: Tables, rows: DataFrame, columns: list[str], how: str = "left") -> DataFrame:
+    """Add columns of ``match_facts`` to rows holding ``id_matches``."""
+    facts = match_facts(t).select("match_id", *[c for c in columns if c != "match_id"])
+    return rows.join(lookup_side(facts), F.col("id_matches") == F.col("match_id"), how)
