@@ -139,8 +139,8 @@ def simulation_events(t: Tables, simulation_id=None) -> DataFrame:
     return only(t.simulations_events, "id_match_simulations", simulation_id)
 
 
-def simulation_with_events(t: Tables, simulation_id) -> DataFrame:
-    """One simulation, one row per event; a simulation without events is one row."""
+def simulation_with_events(t: Tables, simulation_id=None) -> DataFrame:
+    """Simulations with their events, one row each; a simulation without events is one row."""
     events = simulation_events(t, simulation_id).select(
         F.col("id_match_simulations").alias("id"),
         F.col("id").alias("event_id"),

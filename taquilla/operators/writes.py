@@ -282,7 +282,7 @@ def provision_prices(
     copied = stands.select(
         F.col("id").alias("id_stand"),
         stand_price(F.col("name")).alias("price"),
-        F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).cast("bigint").alias("lane"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(lanes - 1).cast("bigint"))).alias("lane"),
     )
     key = F.concat_ws(":", F.col("id_match").cast("string"), F.col("id_stand").cast("string"))
     return dealt.join(copied, "lane", "inner").select(

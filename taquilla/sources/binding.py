@@ -6,6 +6,7 @@ The same derivations, as SQL, stand in ``verification/oracle_sql.py``.
 from __future__ import annotations
 
 import datetime as dt
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ def _by_position(values: tuple, position: Column) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), position.cast("int"))
 
 
-def _has_price(match: Column, stand: Column) -> Column:
+def has_price(match: Column, stand: Column) -> Column:
     """Which (match, stand) pairs are on sale."""
     open_stand = (
         F.when(match % 3 == 0, stand < 4).when(match % 3 == 1, F.lit(True)).otherwise(stand.isin(1, 4))
@@ -44,14 +45,34 @@ def _no_text() -> Column:
     return F.lit(None).cast("string")
 
 
+STAR_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double,"
+    " c_mktsegment string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,"
+    " o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int,"
+    " l_quantity double, l_extendedprice double, l_discount double, l_tax double,"
+    " l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string,"
+    " value double, props string",
+}
+
+
 class StarFolder:
-    """Opens single Parquet files of the folder."""
+    """Opens single Parquet files of the folder, each once and without a schema scan."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        self._opened: dict[str, DataFrame] = {}
 
     def __call__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        if name not in self._opened:
+            reader = self.spark.read.schema(STAR_SCHEMAS[name])
+            self._opened[name] = reader.parquet(f"{self.path}/{name}.parquet")
+        return self._opened[name]
 
 
 def teams(star: StarFolder) -> DataFrame:
@@ -109,7 +130,7 @@ def match_stand_prices(star: StarFolder) -> DataFrame:
     return (
         star("supplier")
         .select("s_suppkey", F.explode(F.array(*[F.lit(s) for s in range(5)])).alias("stand"))
-        .filter(_has_price(match, stand))
+        .filter(has_price(match, stand))
         .select(
             (match * 10 + stand).alias("id"),
             match.alias("id_match"),
@@ -180,7 +201,7 @@ def tickets(star: StarFolder) -> DataFrame:
             F.date_format("l_shipdate", "yyyy-MM-dd"),
         ).alias("id"),
         match.alias("id_matches"),
-        F.when(_has_price(match, stand), match * 10 + stand).alias("id_match_stand_price"),
+        F.when(has_price(match, stand), match * 10 + stand).alias("id_match_stand_price"),
         F.col("l_extendedprice").cast("decimal(10,2)").alias("price"),
         (F.col("l_quantity").cast("int") % 31).alias("row"),
         (1 + F.col("l_partkey") % 50).cast("int").alias("seat"),
@@ -264,35 +285,18 @@ def simulations_events(star: StarFolder) -> DataFrame:
     )
 
 
-def purchase_requests(star: StarFolder) -> DataFrame:
-    """One purchase request per order: some invalid, some for places that are gone."""
-    key, user = F.col("o_orderkey"), F.col("o_custkey")
-    match = user % 40
-    stand = key % 5
-    return star("orders").select(
-        F.concat(F.lit("R"), key.cast("string")).alias("id"),
-        F.when(key % 97 != 0, user).alias("id_users"),
-        match.alias("id_matches"),
-        F.when((key % 7 != 0) & _has_price(match, stand), match * 10 + stand).alias(
-            "id_match_stand_price"
-        ),
-        key.alias("id_transaction"),
-        F.when(key % 89 != 0, F.col("o_totalprice").cast("decimal(10,2)")).alias("price"),
-        (key % 13).cast("int").alias("quantity"),
-        F.col("o_orderdate").alias("requested_at"),
-    )
+BOUND = (
+    users,
+    teams,
+    soccer_stands,
+    matches,
+    match_stand_prices,
+    transactions,
+    tickets,
+    match_simulations,
+    simulations_events,
+)
 
 
-def bind(spark: SparkSession, path: str) -> Tables:
-    star = StarFolder(spark, path)
-    return Tables(
-        users=users(star),
-        teams=teams(star),
-        soccer_stands=soccer_stands(star),
-        matches=matches(star),
-        match_stand_prices=match_stand_prices(star),
-        transactions=transactions(star),
-        tickets=tickets(star),
-        match_simulations=match_simulations(star),
-        simulations_events=simulations_events(star),
-    )
+def bind(star: StarFolder) -> Tables:
+    return Tables(star.spark, **{table.__name__: partial(table, star) for table in BOUND})

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass, replace
+from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,39 +17,46 @@ from taquilla.sources.schemas import TABLE_ORDER, schemas
 PURCHASE_DAY = "purchase_day"
 
 
-@dataclass(frozen=True)
 class Tables:
-    users: DataFrame
-    teams: DataFrame
-    soccer_stands: DataFrame
-    matches: DataFrame
-    match_stand_prices: DataFrame
-    transactions: DataFrame
-    tickets: DataFrame
-    match_simulations: DataFrame
-    simulations_events: DataFrame
+    """The nine tables as attributes. Each is opened when first used, and only then."""
+
+    def __init__(self, spark: SparkSession, **openers: Callable[[], DataFrame]):
+        self.spark = spark
+        self._openers = openers
+        self._opened: dict[str, DataFrame] = {}
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name not in self._openers:
+            raise AttributeError(name)
+        if name not in self._opened:
+            self._opened[name] = self._openers[name]()
+        return self._opened[name]
 
     def __getitem__(self, name: str) -> DataFrame:
         return getattr(self, name)
 
     def with_tables(self, **changed: DataFrame) -> Tables:
-        return replace(self, **changed)
+        """The same tables with some replaced by the given frames."""
+        kept = {name: partial(getattr, self, name) for name in self._openers}
+        kept.update({name: partial(_same, df) for name, df in changed.items()})
+        return Tables(self.spark, **kept)
+
 
-    @property
-    def spark(self) -> SparkSession:
-        return self.matches.sparkSession
+def _same(df: DataFrame) -> DataFrame:
+    return df
 
 
 def read_tables(spark: SparkSession, path: str, key: T.DataType | None = None) -> Tables:
-    """Open the nine tables stored under ``path`` with their declared schemas."""
+    """The nine tables stored under ``path``, with their declared schemas."""
     declared = schemas(key)
-    frames = {}
-    for name in TABLE_ORDER:
+
+    def opener(name: str) -> DataFrame:
         schema = declared[name]
         if name == "tickets":
             schema = T.StructType([*schema.fields, T.StructField(PURCHASE_DAY, T.DateType())])
-        frames[name] = spark.read.schema(schema).parquet(f"{path}/{name}")
-    return Tables(**frames)
+        return spark.read.schema(schema).parquet(f"{path}/{name}")
+
+    return Tables(spark, **{name: partial(opener, name) for name in TABLE_ORDER})
 
 
 def write_table(name: str, rows: DataFrame, path: str, mode: str = "append") -> None:
