@@ -53,4 +53,4 @@ def money_text(value: Column) -> Column:
     amount = F.round(value.cast("decimal(30,4)"), 2)
     plain = F.call_function("format_number", F.abs(amount), F.lit("#,##0.##"))
     swapped = F.translate(plain, ",.", ".,")
-    return F.concat(F.when(amount < 0, F.lit("-")).otherwise(F.lit("")), F.lit("$ "), swapped)
+    return F.concat(F.when(amount < 0, F.lit("-")).otherwise(F.lit("")), F.lit("$\u00a0"), swapped)

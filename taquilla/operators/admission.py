@@ -112,79 +112,83 @@ def _in_turn() -> list[str]:
     return ["requested_at", "id"]
 
 
-def _first_of_each_kind(rows: DataFrame, places: Column) -> DataFrame:
-    """Per group and quantity the first ``places // quantity`` requests."""
-    most = F.floor(places / F.col("quantity"))
-    fitting = rows.filter(F.col("quantity") <= places).withColumn("most", most)
-    salted = fitting.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+def _most(places: str) -> Column:
+    """How many requests of this quantity the places can take."""
+    return F.floor(F.col(places) / F.col("quantity"))
+
+
+def _candidates(contested: DataFrame) -> DataFrame:
+    """Per group and quantity the first ``free // quantity`` requests."""
+    salted = contested.filter(F.col("quantity") <= F.col("free")).withColumn(
+        "salt", F.pmod(F.xxhash64("id"), F.lit(SALTS))
+    )
     in_part = Window.partitionBy(*GROUP, "quantity", "salt").orderBy(*_in_turn())
     in_group = Window.partitionBy(*GROUP, "quantity").orderBy(*_in_turn())
     return (
         salted.withColumn("rank", F.row_number().over(in_part))
-        .filter(F.col("rank") <= F.col("most"))
+        .filter(F.col("rank") <= _most("free"))
         .withColumn("rank", F.row_number().over(in_group))
-        .filter(F.col("rank") <= F.col("most"))
-        .drop("rank", "salt", "most")
+        .filter(F.col("rank") <= _most("free"))
+        .drop("rank", "salt")
     )
 
 
 def _steps(contested: DataFrame) -> DataFrame:
     """(group, steps): who brought the places left to 9 or less, and to what."""
-    candidates = _first_of_each_kind(
-        contested.select(*GROUP, "id", "requested_at", "quantity", "free"), F.col("free")
+    candidates = _candidates(
+        contested.select(*GROUP, "id", "requested_at", "quantity", "free")
     )
+    # the candidates of a group are limited by its places; all below is one pass over them
     turn = Window.partitionBy(*GROUP).orderBy(*_in_turn())
     whole = Window.partitionBy(*GROUP)
-    summed = candidates.withColumn(
-        "total", F.sum("quantity").over(turn.rowsBetween(Window.unboundedPreceding, 0))
-    )
-    no_refusal_yet = F.col("total") <= F.col("free")
-    used = F.max(F.when(no_refusal_yet, F.col("total"))).over(whole)
-    placed = summed.withColumn("left", F.col("free") - F.coalesce(used, F.lit(0)))
-
-    # before the first refusal: the running sum tells the places left
-    early = placed.filter(no_refusal_yet & (F.col("free") - F.col("total") < 10)).select(
-        *GROUP,
-        F.lit(None).cast("bigint").alias("left"),
-        F.struct("requested_at", "id", (F.col("free") - F.col("total")).alias("left")).alias("step"),
-        F.lit(None).cast(_waiting_type(placed)).alias("waiting"),
-    )
-    # after it: the few that can still fit
-    late = _first_of_each_kind(placed.filter(~no_refusal_yet), F.col("left")).select(
-        *GROUP,
-        "left",
-        F.lit(None).cast(early.schema["step"].dataType).alias("step"),
-        F.struct("requested_at", "id", "quantity").alias("waiting"),
+    of_kind = Window.partitionBy(*GROUP, "quantity", "early").orderBy(*_in_turn())
+    placed = (
+        candidates.withColumn(
+            "total", F.sum("quantity").over(turn.rowsBetween(Window.unboundedPreceding, 0))
+        )
+        .withColumn("early", F.col("total") <= F.col("free"))
+        .withColumn("used", F.max(F.when(F.col("early"), F.col("total"))).over(whole))
+        .withColumn("left", F.col("free") - F.coalesce("used", F.lit(0)))
+        .withColumn("rank", F.row_number().over(of_kind))
     )
-    grouped = early.unionByName(late).groupBy(*GROUP).agg(
-        F.collect_list("step").alias("early"),
-        F.sort_array(F.collect_list("waiting")).alias("waiting"),
-        F.max("left").alias("left"),
+    # until the first refusal the running sum tells the places left; later few can still fit
+    last_early = F.col("early") & (F.col("free") - F.col("total") < 10)
+    may_fit = (
+        ~F.col("early")
+        & (F.col("quantity") <= F.col("left"))
+        & (F.col("rank") <= _most("left"))
     )
-    steps_type = grouped.schema["early"].dataType.simpleString()
-    start = F.struct(
-        F.coalesce("left", F.lit(0)).cast("bigint").alias("left"),
-        F.array().cast(steps_type).alias("steps"),
+    step = F.struct("requested_at", "id", (F.col("free") - F.col("total")).alias("left"))
+    grouped = (
+        placed.filter(last_early | may_fit)
+        .groupBy(*GROUP)
+        .agg(
+            F.collect_list(F.when(F.col("early"), step)).alias("steps"),
+            F.sort_array(
+                F.collect_list(
+                    F.when(~F.col("early"), F.struct("requested_at", "id", "quantity"))
+                )
+            ).alias("waiting"),
+            F.max("left").alias("left"),
+        )
     )
+    steps_type = grouped.schema["steps"].dataType.simpleString()
+    start = F.struct(F.col("left"), F.array().cast(steps_type).alias("steps"))
 
     def serve(state: Column, request: Column) -> Column:
         after = state["left"] - request["quantity"]
-        step = F.struct(
+        taken = F.struct(
             request["requested_at"].alias("requested_at"),
             request["id"].alias("id"),
             after.alias("left"),
         )
         served = F.struct(
-            after.alias("left"), F.concat(state["steps"], F.array(step)).alias("steps")
+            after.alias("left"), F.concat(state["steps"], F.array(taken)).alias("steps")
         )
         return F.when(request["quantity"] <= state["left"], served).otherwise(state)
 
-    late_steps = F.aggregate("waiting", start, serve, lambda state: state["steps"])
-    return grouped.select(*GROUP, F.concat("early", late_steps).alias("steps"))
-
-
-def _waiting_type(rows: DataFrame) -> str:
-    return rows.select(F.struct("requested_at", "id", "quantity")).schema[0].dataType.simpleString()
+    later = F.aggregate("waiting", start, serve, lambda state: state["steps"])
+    return grouped.select(*GROUP, F.concat("steps", later).alias("steps"))
 
 
 def decide(checked: DataFrame) -> DataFrame:
@@ -234,51 +238,55 @@ def _issue(t: Tables, accepted: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Codes are digests, so a task that runs again issues the same ones. A code already in
     use, or drawn twice, is drawn again once; a request with a code that clashes again
-    fails as a whole.
+    fails as a whole. Clashes are few, so the second round works on a small table.
     """
-    drawn = accepted.select(
-        "*", F.explode(F.sequence(F.lit(1), F.col("quantity"))).alias("n")
-    ).withColumns({"code0": _code(0), "code1": _code(1)})
-    both = drawn.select(F.explode(F.array("code0", "code1")).alias("code"))
-    in_use = (
-        t.tickets.select(F.col("ticket_code").alias("code"))
-        .join(both, "code", "left_semi")
-        .distinct()
+    drawn = accepted.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("quantity"))))
+    first = drawn.select("id", "n", _code(0).alias("code"))
+    # a stored code of another length cannot be drawn
+    stored = t.tickets.select(F.col("ticket_code").alias("code")).filter(
+        F.length("code") == CODE_LENGTH
     )
 
-    def repeated(rows: DataFrame, column: str) -> DataFrame:
-        counts = rows.groupBy(F.col(column).alias("code")).agg(F.count("*").alias("n"))
-        return counts.filter(F.col("n") > 1).select("code")
+    def repeated(codes: DataFrame) -> DataFrame:
+        counts = codes.groupBy("code").agg(F.count("*").alias("times"))
+        return counts.filter(F.col("times") > 1).select("code")
+
+    def in_use(codes: DataFrame) -> DataFrame:
+        return stored.join(codes.select("code"), "code", "left_semi")
 
-    clash0 = in_use.unionByName(repeated(drawn, "code0")).distinct()
-    redrawn = (
-        drawn.join(
-            clash0.withColumnRenamed("code", "clash"), F.col("code0") == F.col("clash"), "left"
+    clashing = repeated(first).unionByName(in_use(first)).distinct()
+    again = cut_lineage(
+        first.join(clashing, "code", "left_semi").select(
+            "id", "n", F.col("code").alias("first_code"), _code(1).alias("code")
         )
-        .withColumn("again", F.col("clash").isNotNull())
-        .withColumn("ticket_code", F.when(F.col("again"), F.col("code1")).otherwise(F.col("code0")))
     )
-    clash1 = in_use.unionByName(repeated(redrawn, "ticket_code")).distinct()
-    failed = (
-        redrawn.filter("again")
-        .join(clash1, F.col("ticket_code") == F.col("code"), "left_semi")
-        .select("id")
-        .distinct()
+    # the second draw clashes with itself, with stored codes, or with a first draw that stays
+    held = first.join(again.select("code"), "code", "left_semi").join(
+        again.select("id", "n"), ["id", "n"], "left_anti"
     )
+    still = repeated(again).unionByName(in_use(again)).unionByName(held.select("code"))
+    failed = cut_lineage(
+        again.join(still.distinct(), "code", "left_semi").select("id").distinct()
+    )
+    second = again.select("id", "n", F.col("code").alias("second_code"))
     seat = _digest("seat")
-    tickets = redrawn.join(failed, "id", "left_anti").select(
-        F.col("id").alias("id_request"),
-        _digest("ticket").alias("id"),
-        "id_users",
-        "id_matches",
-        "id_match_stand_price",
-        "ticket_code",
-        "price",
-        _number(seat, 1, ROWS_IN_STAND).alias("row"),
-        _number(seat, 5, SEATS_IN_ROW).alias("seat"),
-        "id_transaction",
-        F.lit(SOLD).alias("state"),
-        F.col("requested_at").alias("purchased_at"),
+    tickets = (
+        drawn.join(failed, "id", "left_anti")
+        .join(second, ["id", "n"], "left")
+        .select(
+            F.col("id").alias("id_request"),
+            _digest("ticket").alias("id"),
+            "id_users",
+            "id_matches",
+            "id_match_stand_price",
+            F.coalesce("second_code", _code(0)).alias("ticket_code"),
+            "price",
+            _number(seat, 1, ROWS_IN_STAND).alias("row"),
+            _number(seat, 5, SEATS_IN_ROW).alias("seat"),
+            "id_transaction",
+            F.lit(SOLD).alias("state"),
+            F.col("requested_at").alias("purchased_at"),
+        )
     )
     return tickets, failed
 

@@ -176,6 +176,7 @@ def user_match_history(t: Tables, user_id=None) -> DataFrame:
             seat_text(F.col("row"), F.col("seat")).alias("seat_info"),
             purchase_moment_text(F.col("purchased_at")).alias("purchased_at_text"),
         ],
+        sizes=totals.withColumnRenamed("tickets_count", "n"),
         descending=True,
     )
     history = with_match(

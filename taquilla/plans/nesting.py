@@ -19,19 +19,18 @@ def paged_arrays(
     keys: list[str],
     child_id: str,
     item: list[Column | str],
+    sizes: DataFrame,
     descending: bool = False,
     page_rows: int = PAGE_ROWS,
 ) -> DataFrame:
     """(keys, page, pages, items): children as sorted arrays of structs.
 
-    Items sort by their leading fields. Pages come from a hash of ``child_id`` and hold
-    about ``page_rows`` items; only parents above that size have more than one.
+    Items sort by their leading fields. ``sizes`` (keys, n) counts the children. Pages come
+    from a hash of ``child_id`` and hold about ``page_rows`` items; only parents above that
+    size have more than one.
     """
-    heavy = (
-        children.groupBy(*keys)
-        .agg(F.count("*").alias("_n"))
-        .filter(F.col("_n") > page_rows)
-        .select(*keys, F.ceil(F.col("_n") / page_rows).cast("int").alias("pages"))
+    heavy = sizes.filter(F.col("n") > page_rows).select(
+        *keys, F.ceil(F.col("n") / page_rows).cast("int").alias("pages")
     )
     pages = F.coalesce(F.col("pages"), F.lit(1))
     placed = children.join(heavy, keys, "left").select(

@@ -198,7 +198,7 @@ def tickets(star: StarFolder) -> DataFrame:
             "l_linenumber",
             "l_partkey",
             "l_suppkey",
-            F.date_format("l_shipdate", "yyyy-MM-dd"),
+            F.to_date("l_shipdate").cast("string"),
         ).alias("id"),
         match.alias("id_matches"),
         F.when(has_price(match, stand), match * 10 + stand).alias("id_match_stand_price"),
