@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from taquilla.operators.checks import MOST_TICKETS_PER_REQUEST
 from taquilla.plans.dimensions import priced_stands
-from taquilla.plans.sizing import lookup_side
+from taquilla.plans.sizing import counted_side, lookup_side
 from taquilla.session import cut_lineage
 from taquilla.sources.schemas import SOLD
 from taquilla.sources.tables import Tables
@@ -241,7 +241,7 @@ def _issue(t: Tables, accepted: DataFrame) -> tuple[DataFrame, DataFrame]:
     fails as a whole. Clashes are few, so the second round works on a small table.
     """
     drawn = accepted.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("quantity"))))
-    first = drawn.select("id", "n", _code(0).alias("code"))
+    first = counted_side(drawn.select("id", "n", _code(0).alias("code")))
     # a stored code of another length cannot be drawn
     stored = t.tickets.select(F.col("ticket_code").alias("code")).filter(
         F.length("code") == CODE_LENGTH
@@ -255,17 +255,15 @@ def _issue(t: Tables, accepted: DataFrame) -> tuple[DataFrame, DataFrame]:
         return stored.join(codes.select("code"), "code", "left_semi")
 
     clashing = repeated(first).unionByName(in_use(first)).distinct()
-    again = cut_lineage(
-        first.join(clashing, "code", "left_semi").select(
-            "id", "n", F.col("code").alias("first_code"), _code(1).alias("code")
-        )
+    again = counted_side(
+        first.join(clashing, "code", "left_semi").select("id", "n", _code(1).alias("code"))
     )
     # the second draw clashes with itself, with stored codes, or with a first draw that stays
     held = first.join(again.select("code"), "code", "left_semi").join(
         again.select("id", "n"), ["id", "n"], "left_anti"
     )
     still = repeated(again).unionByName(in_use(again)).unionByName(held.select("code"))
-    failed = cut_lineage(
+    failed = counted_side(
         again.join(still.distinct(), "code", "left_semi").select("id").distinct()
     )
     second = again.select("id", "n", F.col("code").alias("second_code"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from taquilla.functions.numeric import falsy_number, falsy_text
+from taquilla.plans.sizing import counted_side, lookup_side
 from taquilla.sources.schemas import (
     EVENT_TYPES,
     FINISHED,
@@ -99,16 +100,21 @@ def check_domain(table: str, rows: DataFrame) -> DataFrame:
 
 
 def check_references(t: Tables, table: str, rows: DataFrame) -> DataFrame:
-    """Foreign keys that point at no row. NULL refers to nothing and is fine."""
+    """Foreign keys that point at no row. NULL refers to nothing and is fine.
+
+    The distinct keys are looked up, not the rows, so a key on very many rows is one row in
+    the join; the rows are then met with the keys that are missing.
+    """
     missing = []
     for child, column, parent in (*FOREIGN_KEYS, *_REQUEST_KEYS):
         if child == table and column in rows.columns:
             referring = rows.select("id", F.col(column).alias("key")).filter(
                 F.col("key").isNotNull()
             )
-            known = t[parent].select(F.col("id").alias("key"))
+            known = lookup_side(t[parent].select(F.col("id").alias("key")))
+            keys = referring.select("key").distinct().join(known, "key", "left_anti")
             missing.append(
-                referring.join(known, "key", "left_anti").select(
+                referring.join(counted_side(keys), "key", "left_semi").select(
                     "id", F.lit(column).alias("field"), F.lit(f"no such row in {parent}").alias("rule")
                 )
             )
@@ -130,15 +136,17 @@ def check_unique(table: str, rows: DataFrame, existing: DataFrame | None = None)
         valued = rows.select("id", F.col(column).alias("value")).filter(F.col("value").isNotNull())
         repeated = valued.groupBy("value").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
         found.append(
-            valued.join(repeated.select("value"), "value", "left_semi").select(
+            valued.join(counted_side(repeated.select("value")), "value", "left_semi").select(
                 "id", F.lit(column).alias("field"), F.lit("repeated in batch").alias("rule")
             )
         )
         if existing is not None:
-            # one row per stored value; a stored row is no clash with itself
+            # one row per stored value in question; a stored row is no clash with itself
+            asked = counted_side(valued.select("value").distinct())
             owners = (
-                existing.filter(F.col(column).isNotNull())
-                .groupBy(F.col(column).alias("value"))
+                existing.select("id", F.col(column).alias("value"))
+                .join(asked, "value", "left_semi")
+                .groupBy("value")
                 .agg(F.min("id").alias("first"), F.max("id").alias("last"))
             )
             clash = valued.join(owners, "value", "inner").filter(

@@ -69,7 +69,7 @@ def upcoming_matches(
     sold_tickets = sold_by_match.select(
         F.col("id_match").alias("match_id"), F.col("tickets").alias("tickets_sold")
     )
-    places = capacity_by_match(t).select(
+    places = capacity_by_match(t, picked).select(
         F.col("id_match").alias("match_id"), F.col("capacity").alias("total_capacity")
     )
     counted = (

@@ -15,17 +15,22 @@ from taquilla.plans.rollups import (
     tickets_by_match,
     tickets_by_price,
 )
+from taquilla.session import cut_lineage
 from taquilla.sources.tables import Tables
 
 MONEY = "decimal(38,2)"
 NO_STAND_YET = "No disponible"
 
 
-def total_stats(t: Tables) -> DataFrame:
+def total_stats(t: Tables, by_price: DataFrame | None = None) -> DataFrame:
     """One row: revenue and number of sold tickets."""
-    return sold(t.tickets).agg(
-        F.coalesce(F.sum("price"), F.lit(0)).cast(MONEY).alias("total_revenue"),
-        F.count("*").alias("total_tickets_sold"),
+    if by_price is None:
+        revenue, count = F.sum("price"), F.count("*")
+    else:
+        revenue, count = F.sum("revenue"), F.coalesce(F.sum("tickets"), F.lit(0))
+    return (sold(t.tickets) if by_price is None else by_price).agg(
+        F.coalesce(revenue, F.lit(0)).cast(MONEY).alias("total_revenue"),
+        count.alias("total_tickets_sold"),
     )
 
 
@@ -47,8 +52,14 @@ def capacity(t: Tables) -> DataFrame:
     )
 
 
-def _with_sales(t: Tables, matches: DataFrame) -> DataFrame:
-    sales = tickets_by_match(sold(t.tickets)).select(
+def _with_sales(t: Tables, matches: DataFrame, by_price: DataFrame | None) -> DataFrame:
+    if by_price is None:
+        by_match = tickets_by_match(sold(t.tickets))
+    else:
+        by_match = by_price.groupBy("id_match").agg(
+            F.sum("tickets").alias("tickets"), F.sum("revenue").alias("revenue")
+        )
+    sales = by_match.select(
         F.col("id_match").alias("match_id"),
         F.col("tickets").alias("tickets_sold"),
         F.col("revenue").alias("match_revenue"),
@@ -65,8 +76,10 @@ def _with_sales(t: Tables, matches: DataFrame) -> DataFrame:
     )
 
 
-def _with_occupancy(t: Tables, matches: DataFrame) -> DataFrame:
-    places = capacity_by_match(t).select(
+def _with_occupancy(
+    t: Tables, matches: DataFrame, picked: DataFrame | None = None
+) -> DataFrame:
+    places = capacity_by_match(t, picked).select(
         F.col("id_match").alias("match_id"), F.col("capacity").alias("match_capacity")
     )
     return (
@@ -81,9 +94,9 @@ def _with_occupancy(t: Tables, matches: DataFrame) -> DataFrame:
     )
 
 
-def match_details(t: Tables) -> DataFrame:
+def match_details(t: Tables, by_price: DataFrame | None = None) -> DataFrame:
     """Every match with sold tickets, revenue at ticket price, places and occupancy."""
-    detailed = _with_occupancy(t, _with_sales(t, t.matches))
+    detailed = _with_occupancy(t, _with_sales(t, t.matches, by_price))
     return detailed.orderBy(F.desc_nulls_first("match_date"), "match_id").select(
         "match_id",
         "match_name",
@@ -99,12 +112,12 @@ def match_details(t: Tables) -> DataFrame:
     )
 
 
-def top_matches(t: Tables, k: int = 3) -> DataFrame:
+def top_matches(t: Tables, k: int = 3, by_price: DataFrame | None = None) -> DataFrame:
     """The ``k`` matches with most sold tickets; names and places are added to those only."""
     order = (F.desc("tickets_sold"), F.desc_nulls_first("match_date"), F.asc("match_id"))
-    best = _with_sales(t, t.matches).orderBy(*order).limit(k)
+    best = _with_sales(t, t.matches, by_price).orderBy(*order).limit(k)
     return (
-        _with_occupancy(t, best)
+        _with_occupancy(t, best, best.select("match_id"))
         .orderBy(*order)
         .select(
             "match_id",
@@ -117,9 +130,11 @@ def top_matches(t: Tables, k: int = 3) -> DataFrame:
     )
 
 
-def _stand_sales(t: Tables) -> DataFrame:
+def _stand_sales(t: Tables, by_price: DataFrame | None) -> DataFrame:
     """(stand_name, tickets_sold, stand_revenue), unsorted; stands of one name are merged."""
-    sales = sales_by_stand(t, tickets_by_price(sold(t.tickets)))
+    if by_price is None:
+        by_price = tickets_by_price(sold(t.tickets))
+    sales = sales_by_stand(t, by_price)
     stands = t.soccer_stands.select(F.col("id").alias("id_stand"), F.col("name").alias("stand_name"))
     return (
         stands.join(sales, "id_stand", "left")
@@ -131,8 +146,8 @@ def _stand_sales(t: Tables) -> DataFrame:
     )
 
 
-def revenue_by_stand(t: Tables) -> DataFrame:
-    return _stand_sales(t).orderBy(F.desc("stand_revenue"), "stand_name")
+def revenue_by_stand(t: Tables, by_price: DataFrame | None = None) -> DataFrame:
+    return _stand_sales(t, by_price).orderBy(F.desc("stand_revenue"), "stand_name")
 
 
 def revenue_by_day(t: Tables) -> DataFrame:
@@ -148,20 +163,21 @@ def revenue_by_day(t: Tables) -> DataFrame:
     )
 
 
-def most_popular_stand(t: Tables) -> DataFrame:
+def most_popular_stand(t: Tables, by_price: DataFrame | None = None) -> DataFrame:
     """One row: the stand name with most sold tickets, of equals the lowest name."""
-    best = _stand_sales(t).orderBy(F.desc("tickets_sold"), "stand_name").select("stand_name").limit(1)
+    ranked = _stand_sales(t, by_price).orderBy(F.desc("tickets_sold"), "stand_name")
+    best = ranked.select("stand_name").limit(1)
     return t.spark.range(1).select(
         F.coalesce(best.scalar(), F.lit(NO_STAND_YET)).alias("stand_name")
     )
 
 
-def tickets_by_stand(t: Tables) -> DataFrame:
+def tickets_by_stand(t: Tables, by_price: DataFrame | None = None) -> DataFrame:
     """Per stand name its tickets and their share of all sold tickets, also those without a stand."""
-    total = sold(t.tickets).agg(F.count("*").alias("n"))
+    total = total_stats(t, by_price).select("total_tickets_sold")
     share = percentage(F.col("tickets_sold"), F.col("all_sold")).cast("decimal(10,2)")
     return (
-        revenue_by_stand(t)
+        revenue_by_stand(t, by_price)
         .withColumn("all_sold", total.scalar())
         .select(
             "stand_name",
@@ -171,13 +187,13 @@ def tickets_by_stand(t: Tables) -> DataFrame:
     )
 
 
-def report_totals(t: Tables) -> DataFrame:
+def report_totals(t: Tables, by_price: DataFrame | None = None) -> DataFrame:
     """One row: the head figures of the report."""
-    figures = total_stats(t).select(
+    figures = total_stats(t, by_price).select(
         F.col("total_revenue"),
         F.col("total_tickets_sold"),
         capacity(t).select("total_capacity").scalar().alias("total_capacity"),
-        most_popular_stand(t).scalar().alias("most_popular_stand"),
+        most_popular_stand(t, by_price).scalar().alias("most_popular_stand"),
     )
     return figures.select(
         "total_revenue",
@@ -188,3 +204,21 @@ def report_totals(t: Tables) -> DataFrame:
         ),
         "most_popular_stand",
     )
+
+
+def sales_report(t: Tables, k: int = 3) -> dict[str, DataFrame]:
+    """All sections of the report, from one pass over the tickets.
+
+    The sold tickets are folded per price row and match and the rollup is written out; the
+    sections, which may be stored or shown one after the other, go on from it. The list of
+    matches grows with the season, so the report is several frames and not one document.
+    """
+    by_price = cut_lineage(tickets_by_price(sold(t.tickets)))
+    return {
+        "totalStats": report_totals(t, by_price),
+        "revenueByDay": revenue_by_day(t),
+        "revenueByStand": revenue_by_stand(t, by_price),
+        "ticketsByStand": tickets_by_stand(t, by_price),
+        "topMatches": top_matches(t, k, by_price),
+        "matchesDetails": match_details(t, by_price),
+    }

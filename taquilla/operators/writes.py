@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from taquilla.functions.numeric import falsy_number, falsy_text
 from taquilla.functions.text import day_month_year
+from taquilla.plans.sizing import counted_side, lookup_side
 from taquilla.sources.schemas import (
     COUNT_STATISTICS,
     FINISHED,
@@ -170,7 +171,8 @@ def patch_rows(
         order = F.when(F.array_contains("set_fields", field), F.col("seq"))
         return F.max_by(F.struct(F.col(field).alias("value")), order).alias(f"new_{field}")
 
-    folded = patches.groupBy(F.col("id").alias("patch_id")).agg(*[last_set(f) for f in fields])
+    last = patches.groupBy(F.col("id").alias("patch_id")).agg(*[last_set(f) for f in fields])
+    folded = counted_side(last)
     patched = rows.join(folded, F.col("id") == F.col("patch_id"), "left")
 
     def after(name: str) -> Column:
@@ -183,7 +185,9 @@ def patch_rows(
 
 
 def patches_without_row(rows: DataFrame, patches: DataFrame) -> DataFrame:
-    return patches.join(rows.select("id"), "id", "left_anti")
+    wanted = counted_side(patches.select("id").distinct())
+    found = rows.select("id").join(wanted, "id", "left_semi")
+    return patches.join(found, "id", "left_anti")
 
 
 def delete_cascade(t: Tables, table: str, ids: DataFrame) -> Tables:
@@ -192,7 +196,7 @@ def delete_cascade(t: Tables, table: str, ids: DataFrame) -> Tables:
     Follows the foreign keys from parents to children. Only keys of rows that go are
     carried on; each table is then reduced by anti joins.
     """
-    gone: dict[str, DataFrame] = {table: ids.select("id")}
+    gone: dict[str, DataFrame] = {table: counted_side(ids.select("id").distinct())}
     kept = {}
     for name in TABLE_ORDER:
         rows = t[name]
@@ -223,7 +227,8 @@ def delete_cascade(t: Tables, table: str, ids: DataFrame) -> Tables:
                 ).select("id")
                 for column, keys in hits
             ]
-            gone[name] = reduce(DataFrame.unionByName, parts)
+            if name != table:
+                gone[name] = counted_side(reduce(DataFrame.unionByName, parts).distinct())
     return t.with_tables(**kept)
 
 
@@ -233,7 +238,7 @@ def settle_matches(t: Tables, match_ids: DataFrame) -> tuple[Tables, DataFrame]:
     Gives the new tables and (match_id, tickets_updated). Matches already finished are
     passed over, as are ids of no match.
     """
-    open_ids = (
+    open_ids = lookup_side(
         t.matches.filter(~F.col("state").eqNullSafe(FINISHED))
         .join(match_ids.select("id").distinct(), "id", "left_semi")
         .select(F.col("id").alias("settled"))

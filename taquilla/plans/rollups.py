@@ -23,11 +23,17 @@ def active(matches: DataFrame) -> DataFrame:
     return matches.filter(~F.col("state").isin(*CLOSED_STATES))
 
 
-def capacity_by_match(t: Tables) -> DataFrame:
-    """(id_match, capacity): places over all stands on sale for the match."""
+def capacity_by_match(t: Tables, picked: DataFrame | None = None) -> DataFrame:
+    """(id_match, capacity): places over all stands on sale for the match.
+
+    With ``picked`` (column match_id) only for those matches.
+    """
     stands = t.soccer_stands.select(F.col("id").alias("id_stand"), "total_capacity")
+    prices = t.match_stand_prices
+    if picked is not None:
+        prices = prices.join(picked, F.col("id_match") == F.col("match_id"), "left_semi")
     return (
-        t.match_stand_prices.join(stands, "id_stand", "inner")
+        prices.join(stands, "id_stand", "inner")
         .groupBy("id_match")
         .agg(F.sum("total_capacity").alias("capacity"))
     )

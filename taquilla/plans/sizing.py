@@ -1,10 +1,21 @@
-"""Broadcast of lookup tables, behind a check of what they read."""
+"""Broadcast of the small side of a join, behind a check of its size.
+
+Catalyst multiplies the sizes of joined inputs and cannot foresee how few keys a check or a
+request batch comes down to. Left alone it would shuffle all tickets to look up a few
+matches. Both helpers mark a side only where its size is known; beyond their bounds the join
+is left to sort-merge, whose skewed partitions are split at run time.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from taquilla.session import cut_lineage
+
+# keys of 36 characters in a hash table: about 100 MB
+MOST_BROADCAST_KEYS = 500_000
+
 
 def input_bytes(df: DataFrame) -> int:
     """Size of the files and relations below ``df``, from plan statistics; runs no job."""
@@ -12,17 +23,21 @@ def input_bytes(df: DataFrame) -> int:
     return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
-def _threshold(df: DataFrame) -> int:
-    written = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    return int(df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(written))
+def lookup_side(df: DataFrame) -> DataFrame:
+    """A table with key lookups on it, marked if its inputs are below the broadcast threshold.
 
+    Such a frame has no more rows than the table, so its inputs bound its size.
+    """
+    most = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return F.broadcast(df) if input_bytes(df) <= most else df
 
-def lookup_side(df: DataFrame) -> DataFrame:
-    """Mark a lookup table for broadcast if its inputs are below the broadcast threshold.
 
-    For frames made of a table and key lookups on it, which have no more rows than the
-    table. Catalyst multiplies the sizes of joined inputs and so overestimates such a frame;
-    it would shuffle the tickets to look up a few matches. Above the threshold nothing is
-    marked and the join is left to sort-merge with skew handling.
+def counted_side(keys: DataFrame, most: int | None = None) -> DataFrame:
+    """A frame of keys, written out, counted, and marked if it has few rows.
+
+    For narrow frames that come out of a reduction of large tables and meet a large table
+    again, such as the keys to delete or the values that break a rule.
     """
-    return F.broadcast(df) if input_bytes(df) <= _threshold(df) else df
+    most = MOST_BROADCAST_KEYS if most is None else most
+    kept = cut_lineage(keys)
+    return F.broadcast(kept) if kept.limit(most + 1).count() <= most else kept

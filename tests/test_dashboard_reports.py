@@ -259,3 +259,26 @@ def test_revenue_by_day_leaves_out_free_transactions(make_tables):
         "daily_revenue": Decimal("15.00"),
         "transactions_count": 2,
     }
+
+
+def test_report_sections_from_one_rollup_equal_the_single_ones(make_tables):
+    t = make_tables(
+        teams=TEAMS,
+        soccer_stands=[stand("n", "Norte", 5), stand("s", "Sur", 9)],
+        matches=[match("m"), match("k", "2024-01-02"), match("q", None)],
+        match_stand_prices=[price("m", "n"), price("k", "s"), price("k", "n")],
+        tickets=[ticket(f"m{i}", "m", "n") for i in range(3)]
+        + [ticket("k1", "k", "s"), ticket("k2", "k"), ticket("k3", "k", "n", state="usado")],
+        transactions=[{"id": "x", "id_users": "u", "total_amount": "10.00"}],
+    )
+    sections = reports.sales_report(t)
+    single = {
+        "totalStats": reports.report_totals(t),
+        "revenueByDay": reports.revenue_by_day(t),
+        "revenueByStand": reports.revenue_by_stand(t),
+        "ticketsByStand": reports.tickets_by_stand(t),
+        "topMatches": reports.top_matches(t),
+        "matchesDetails": reports.match_details(t),
+    }
+    assert {n: rows(s) for n, s in sections.items()} == {n: rows(s) for n, s in single.items()}
+    assert one(sections["totalStats"])["total_tickets_sold"] == 5
