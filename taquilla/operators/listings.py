@@ -96,7 +96,7 @@ def transaction_details(t: Tables, tx_id=None) -> DataFrame:
             "id_stand",
             "stand_name",
         ],
-        sizes=tickets.groupBy("id_transaction").agg(F.count("*").alias("n")),
+        counted=tickets.select("id_transaction"),
     )
     facts = [c for c in MATCH_LISTING if c != "match_state"]
     return with_match(t, nest(transactions, pages, ["id_transaction"]), facts).select(

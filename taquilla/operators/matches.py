@@ -35,7 +35,7 @@ def match_catalog(t: Tables, match_id=None) -> DataFrame:
                 F.col("stand_description").alias("description"),
             ).alias("stand"),
         ],
-        sizes=priced.groupBy("id_match").agg(F.count("*").alias("n")),
+        counted=only(t.match_stand_prices, "id_match", match_id).select("id_match"),
     ).withColumnRenamed("id_match", "id")
     catalog = nest(with_teams(t, matches, *TEAM_FIELDS), pages, ["id"])
     sides = {

@@ -16,7 +16,7 @@ from taquilla.functions.text import (
     versus,
 )
 from taquilla.plans.dimensions import priced_stands, with_match, with_stand
-from taquilla.plans.nesting import nest, paged_arrays
+from taquilla.plans.nesting import paged_arrays
 from taquilla.plans.rollups import sold
 from taquilla.plans.sizing import lookup_side
 from taquilla.sources.tables import Tables, only
@@ -160,9 +160,6 @@ def user_match_history(t: Tables, user_id=None) -> DataFrame:
     """
     tickets = _bought(t, user_id)
     keys = ["id_users", "id_matches"]
-    totals = tickets.groupBy(*keys).agg(
-        F.count("*").alias("tickets_count"), F.sum("price").cast(MONEY).alias("total_spent_match")
-    )
     seated = with_stand(t, tickets, "stand_name")
     pages = paged_arrays(
         seated,
@@ -176,12 +173,16 @@ def user_match_history(t: Tables, user_id=None) -> DataFrame:
             seat_text(F.col("row"), F.col("seat")).alias("seat_info"),
             purchase_moment_text(F.col("purchased_at")).alias("purchased_at_text"),
         ],
-        sizes=totals.withColumnRenamed("tickets_count", "n"),
+        counted=tickets.select(*keys, "price"),
+        totals={
+            "tickets_count": F.count("*"),
+            "total_spent_match": F.sum("price").cast(MONEY),
+        },
         descending=True,
     )
     history = with_match(
         t,
-        nest(totals, pages, keys),
+        pages,
         ["local_name", "visitor_name", "match_date", "match_hour", "match_stadium", "match_state"],
         how="inner",
     )

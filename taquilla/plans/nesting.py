@@ -3,7 +3,7 @@
 A parent with few children gets one array, as in a nested document. A parent that owns a
 large share of the whole child table gets several rows, numbered by ``page`` of ``pages``;
 together they hold every child exactly once. No task ever builds one array of unbounded
-length.
+length, and the pages of one parent are spread over tasks.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from taquilla.plans.sizing import counted_side
+
 PAGE_ROWS = 500
 
 
@@ -19,28 +21,46 @@ def paged_arrays(
     keys: list[str],
     child_id: str,
     item: list[Column | str],
-    sizes: DataFrame,
+    counted: DataFrame,
+    totals: dict[str, Column] | None = None,
     descending: bool = False,
     page_rows: int = PAGE_ROWS,
 ) -> DataFrame:
-    """(keys, page, pages, items): children as sorted arrays of structs.
+    """(keys, page, pages, totals, items): children as sorted arrays of structs.
 
-    Items sort by their leading fields. ``sizes`` (keys, n) counts the children. Pages come
-    from a hash of ``child_id`` and hold about ``page_rows`` items; only parents above that
-    size have more than one.
+    Items sort by their leading fields. ``counted`` holds the children before any lookup; it
+    is counted first, and only parents above ``page_rows`` are carried on, with their
+    totals. Their children are dealt to pages by a hash of ``child_id``; all other parents
+    have one page, whose totals are those of the parent. ``totals`` aggregates child
+    columns per parent.
     """
-    heavy = sizes.filter(F.col("n") > page_rows).select(
-        *keys, F.ceil(F.col("n") / page_rows).cast("int").alias("pages")
+    totals = totals or {}
+    heavy = counted_side(
+        counted.groupBy(*keys)
+        .agg(
+            F.count("*").alias("all_children"),
+            *[total.alias(f"all_{name}") for name, total in totals.items()],
+        )
+        .filter(F.col("all_children") > page_rows)
     )
-    pages = F.coalesce(F.col("pages"), F.lit(1))
-    placed = children.join(heavy, keys, "left").select(
-        *keys,
-        pages.alias("pages"),
-        F.pmod(F.xxhash64(child_id), pages).cast("int").alias("page"),
-        F.struct(*item).alias("item"),
+    pages = F.coalesce(F.ceil(F.col("all_children") / page_rows), F.lit(1)).cast("int")
+    placed = (
+        children.join(heavy, keys, "left")
+        .withColumn("pages", pages)
+        .withColumn("page", F.pmod(F.xxhash64(child_id), F.col("pages")).cast("int"))
+        .repartition(*keys, "page")
     )
-    return placed.groupBy(*keys, "page", "pages").agg(
-        F.sort_array(F.collect_list("item"), asc=not descending).alias("items")
+    arrays = placed.groupBy(*keys, "page", "pages").agg(
+        F.sort_array(F.collect_list(F.struct(*item)), asc=not descending).alias("items"),
+        *[total.alias(name) for name, total in totals.items()],
+        *[F.first(f"all_{name}").alias(f"all_{name}") for name in totals],
+    )
+    return arrays.select(
+        *keys,
+        "page",
+        "pages",
+        *[F.coalesce(f"all_{name}", name).alias(name) for name in totals],
+        "items",
     )
 
 

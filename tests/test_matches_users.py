@@ -184,12 +184,20 @@ def test_arrays_of_a_hot_parent_are_paged(spark):
         F.when(F.col("id") < 4000, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 10)).alias("k"),
         F.col("id").alias("child"),
     )
-    sizes = children.groupBy("k").agg(F.count("*").alias("n"))
-    pages = paged_arrays(children, ["k"], "child", ["child"], sizes, page_rows=100)
+    pages = paged_arrays(
+        children,
+        ["k"],
+        "child",
+        ["child"],
+        counted=children.select("k", "child"),
+        totals={"n": F.count("*"), "highest": F.max("child")},
+        page_rows=100,
+    )
     parents = children.select("k").distinct().unionByName(spark.sql("SELECT 'childless' AS k"))
     got = rows(nest(parents, pages, ["k"]))
     hot = [r for r in got if r["k"] == "hot"]
     assert len(hot) == 40 and {r["pages"] for r in hot} == {40}
+    assert {(r["n"], r["highest"]) for r in hot} == {(4000, 3999)}
     assert sorted(i["child"] for r in hot for i in r["items"]) == list(range(4000))
     assert max(len(r["items"]) for r in hot) < 200
     assert all([i["child"] for i in r["items"]] == sorted(i["child"] for i in r["items"]) for r in hot)
