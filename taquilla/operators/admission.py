@@ -28,7 +28,12 @@ from pyspark.sql import functions as F
 
 from taquilla.operators.checks import MOST_TICKETS_PER_REQUEST
 from taquilla.plans.dimensions import priced_stands
-from taquilla.plans.sizing import counted_side, lookup_side
+from taquilla.plans.sizing import (
+    MOST_BROADCAST_KEYS,
+    counted_side,
+    lookup_side,
+    written_and_counted,
+)
 from taquilla.session import cut_lineage
 from taquilla.sources.schemas import SOLD
 from taquilla.sources.tables import Tables
@@ -233,6 +238,24 @@ def _code(attempt: int) -> Column:
     return F.upper(F.substring(_digest(f"code{attempt}"), 1, CODE_LENGTH))
 
 
+def _tickets(drawn: DataFrame, second_code: Column) -> DataFrame:
+    seat = _digest("seat")
+    return drawn.select(
+        F.col("id").alias("id_request"),
+        _digest("ticket").alias("id"),
+        "id_users",
+        "id_matches",
+        "id_match_stand_price",
+        F.coalesce(second_code, _code(0)).alias("ticket_code"),
+        "price",
+        _number(seat, 1, ROWS_IN_STAND).alias("row"),
+        _number(seat, 5, SEATS_IN_ROW).alias("seat"),
+        "id_transaction",
+        F.lit(SOLD).alias("state"),
+        F.col("requested_at").alias("purchased_at"),
+    )
+
+
 def _issue(t: Tables, accepted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Tickets of accepted requests, and the ids of requests left without enough codes.
 
@@ -255,9 +278,12 @@ def _issue(t: Tables, accepted: DataFrame) -> tuple[DataFrame, DataFrame]:
         return stored.join(codes.select("code"), "code", "left_semi")
 
     clashing = repeated(first).unionByName(in_use(first)).distinct()
-    again = counted_side(
+    again, clashes = written_and_counted(
         first.join(clashing, "code", "left_semi").select("id", "n", _code(1).alias("code"))
     )
+    if not clashes:
+        return _tickets(drawn, F.lit(None).cast("string")), again.select("id")
+    again = F.broadcast(again) if clashes <= MOST_BROADCAST_KEYS else again
     # the second draw clashes with itself, with stored codes, or with a first draw that stays
     held = first.join(again.select("code"), "code", "left_semi").join(
         again.select("id", "n"), ["id", "n"], "left_anti"
@@ -267,26 +293,8 @@ def _issue(t: Tables, accepted: DataFrame) -> tuple[DataFrame, DataFrame]:
         again.join(still.distinct(), "code", "left_semi").select("id").distinct()
     )
     second = again.select("id", "n", F.col("code").alias("second_code"))
-    seat = _digest("seat")
-    tickets = (
-        drawn.join(failed, "id", "left_anti")
-        .join(second, ["id", "n"], "left")
-        .select(
-            F.col("id").alias("id_request"),
-            _digest("ticket").alias("id"),
-            "id_users",
-            "id_matches",
-            "id_match_stand_price",
-            F.coalesce("second_code", _code(0)).alias("ticket_code"),
-            "price",
-            _number(seat, 1, ROWS_IN_STAND).alias("row"),
-            _number(seat, 5, SEATS_IN_ROW).alias("seat"),
-            "id_transaction",
-            F.lit(SOLD).alias("state"),
-            F.col("requested_at").alias("purchased_at"),
-        )
-    )
-    return tickets, failed
+    sure = drawn.join(failed, "id", "left_anti").join(second, ["id", "n"], "left")
+    return _tickets(sure, F.col("second_code")), failed
 
 
 def admit_purchases(t: Tables, requests: DataFrame) -> Admission:

@@ -8,7 +8,7 @@ is left to sort-merge, whose skewed partitions are split at run time.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from taquilla.session import cut_lineage
@@ -32,12 +32,18 @@ def lookup_side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if input_bytes(df) <= most else df
 
 
-def counted_side(keys: DataFrame, most: int | None = None) -> DataFrame:
+def written_and_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """A frame written to the checkpoint folder, and its rows, counted on the way."""
+    seen = Observation()
+    kept = cut_lineage(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    return kept, seen.get["rows"]
+
+
+def counted_side(keys: DataFrame) -> DataFrame:
     """A frame of keys, written out, counted, and marked if it has few rows.
 
     For narrow frames that come out of a reduction of large tables and meet a large table
     again, such as the keys to delete or the values that break a rule.
     """
-    most = MOST_BROADCAST_KEYS if most is None else most
-    kept = cut_lineage(keys)
-    return F.broadcast(kept) if kept.limit(most + 1).count() <= most else kept
+    kept, n = written_and_counted(keys)
+    return F.broadcast(kept) if n <= MOST_BROADCAST_KEYS else kept
