@@ -18,7 +18,7 @@ def purchase_requests(star: StarFolder) -> DataFrame:
     return star("orders").select(
         F.concat(F.lit("R"), key.cast("string")).alias("id"),
         F.when(key % 97 != 0, user).alias("id_users"),
-        match.alias("id_matches"),
+        F.when(key % 53 == 0, match + 1_000_000_000).otherwise(match).alias("id_matches"),
         F.when((key % 7 != 0) & has_price(match, stand), match * 10 + stand).alias(
             "id_match_stand_price"
         ),

@@ -31,6 +31,7 @@ from taquilla.sources.binding import AS_OF, StarFolder, bind
 from taquilla.sources.schemas import TABLE_ORDER
 from taquilla.sources.tables import Tables
 from verification import incoming
+from verification.oracle_sql import NULLABLE_WHOLE
 
 NOW = dt.datetime(2001, 7, 15, 12, 0, 0)
 
@@ -180,6 +181,9 @@ OPERATORS: dict[str, Callable[[Tables, StarFolder], DataFrame]] = {
     "report_tickets_by_stand": lambda t, s: reports.tickets_by_stand(t),
     "report_top_matches": lambda t, s: reports.top_matches(t),
     "report_totals": lambda t, s: reports.report_totals(t),
+    "sales_report_totals": lambda t, s: reports.sales_report(t)["totalStats"],
+    "sales_report_tickets_by_stand": lambda t, s: reports.sales_report(t)["ticketsByStand"],
+    "sales_report_matches": lambda t, s: reports.sales_report(t)["matchesDetails"],
     "match_catalog": lambda t, s: _match_catalog(t),
     "match_history": lambda t, s: _match_history(t),
     "match_history_summary": lambda t, s: matches.match_history_summary(t),
@@ -239,6 +243,9 @@ OPERATORS: dict[str, Callable[[Tables, StarFolder], DataFrame]] = {
     "check_references": lambda t, s: checks.check_references(
         t, "simulations_events", incoming.incoming_events(s)
     ),
+    "check_references_requests": lambda t, s: checks.check_references(
+        t, "purchase_requests", _requests(t, s)
+    ),
     "check_references_tickets": lambda t, s: checks.check_references(t, "tickets", t.tickets),
     "check_unique": lambda t, s: checks.check_unique("users", incoming.incoming_users(s), t.users),
     "check_shape": lambda t, s: checks.check_shape("users", incoming.incoming_users(s)),
@@ -249,12 +256,14 @@ OPERATORS: dict[str, Callable[[Tables, StarFolder], DataFrame]] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    def query(operator: Callable[[Tables, StarFolder], DataFrame]):
+    def query(name: str):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             prepare(spark)
             star = StarFolder(spark, sf_dir)
-            return printable(operator(bind(star), star))
+            shown = printable(OPERATORS[name](bind(star), star))
+            doubles = {c: F.col(c).cast("double") for c in NULLABLE_WHOLE.get(name, ())}
+            return shown.withColumns(doubles) if doubles else shown
 
         return run
 
-    return {name: query(operator) for name, operator in OPERATORS.items()}
+    return {name: query(name) for name in OPERATORS}
