@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taquilla.llm import bpe, packing, substring_dedup
+from taquilla.llm import bpe, packing, quality_rules, substring_dedup
 from taquilla.llm.common import prepare, table
 
 
@@ -29,6 +29,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(
         table(prepare(spark), sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")
@@ -36,5 +41,10 @@ def op9_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_best_fit_packing, op9_bpe_chunk_reuse)
+    f.__name__: f for f in (
+        op1_substring_dedup,
+        op2_best_fit_packing,
+        op7_quality_rules,
+        op9_bpe_chunk_reuse,
+    )
 }
