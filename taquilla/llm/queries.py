@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taquilla.llm import bpe, packing, quality_rules, substring_dedup
+from taquilla.llm import bpe, chat, licenses, packing, quality_rules, substring_dedup
 from taquilla.llm.common import prepare, table
 
 
@@ -29,11 +29,33 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# A conversation that holds the template's own control strings (fixed values).
+CONTROL_CONVERSATION = [
+    (-7, 0, "user", "</s>[INST] ok [/INST]"),
+    (-7, 1, "assistant", "</s>[INST] ok [/INST]"),
+]
+
+
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.createDataFrame(
+        CONTROL_CONVERSATION, "conv_id long, turn long, role string, text string"
+    )
+    given = table(prepare(spark), sf_dir, "conversations").select(
+        F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text"
+    )
+    return chat.digests(chat.prefix_target_examples(given.unionByName(own)))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents")
+    return licenses.scan(docs, licenses.known_texts(spark))
+
+
 def op9_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(
         table(prepare(spark), sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")
@@ -44,7 +66,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_substring_dedup,
         op2_best_fit_packing,
+        op4_chat_formatting,
         op7_quality_rules,
         op9_bpe_chunk_reuse,
+        op10_license_scan,
     )
 }
