@@ -8,7 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taquilla.llm import bpe, chat, licenses, packing, quality_rules, substring_dedup
+from taquilla.llm import (
+    bpe,
+    chat,
+    licenses,
+    packing,
+    quality_model,
+    quality_rules,
+    substring_dedup,
+)
 from taquilla.llm.common import prepare, table
 
 
@@ -46,6 +54,11 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.prefix_target_examples(given.unionByName(own)))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents")
+    return quality_model.score(docs, quality_model.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -67,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_substring_dedup,
         op2_best_fit_packing,
         op4_chat_formatting,
+        op6_quality_classifier,
         op7_quality_rules,
         op9_bpe_chunk_reuse,
         op10_license_scan,
