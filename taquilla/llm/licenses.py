@@ -18,6 +18,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from taquilla.llm.common import written
+
+# Known digests, of about 150 bytes each, that are broadcast; more are joined by shuffling.
+MOST_BROADCAST = 10_000
 COPYRIGHT_LINE = r"(?i)^[ \t]*(copyright\b|\(c\)|©)[^\n]*$"
 # Spellings that licence comparison takes as equal, the canonical one second.
 EQUIVALENT = [
@@ -116,11 +120,22 @@ PERFORMANCE OF THIS SOFTWARE.""",
 ]
 
 
-def canonical(text: Column) -> Column:
-    """Canonical form of a text, or of one line."""
-    bare = F.regexp_replace(text, COPYRIGHT_LINE.replace("(?i)", "(?im)"), " ")
-    words = F.regexp_replace(F.lower(bare), r"[^\p{L}\p{N}]+", " ")
-    padded = F.concat(F.lit(" "), F.trim(words), F.lit(" "))
+def _plain(line: Column) -> Column:
+    """Lower-case words of one line; none of a copyright line."""
+    words = F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
+    return F.when(line.rlike(COPYRIGHT_LINE), "").otherwise(words)
+
+
+def _line_forms(text: Column) -> Column:
+    return F.transform(F.split(text, "\n"), _plain)
+
+
+def _whole(forms: Column) -> Column:
+    return F.array_join(F.array_remove(forms, ""), " ")
+
+
+def _equal_spellings(form: Column) -> Column:
+    padded = F.concat(F.lit(" "), form, F.lit(" "))
     same = reduce(
         lambda t, pair: F.replace(t, F.lit(f" {pair[0]} "), F.lit(f" {pair[1]} ")),
         EQUIVALENT,
@@ -134,32 +149,60 @@ def known_texts(spark: SparkSession) -> DataFrame:
 
 
 def digests(known: DataFrame) -> DataFrame:
-    """One licence per canonical digest; of several the first by name."""
-    form = known.select("license", canonical(F.col("text")).alias("form"))
+    """One licence per canonical digest, the first by name of several, and the form's length."""
+    form = _equal_spellings(_whole(_line_forms(F.col("text")))).alias("form")
     return (
-        form.where("form <> ''")
+        known.select("license", form)
+        .where("form <> ''")
         .groupBy(F.sha2("form", 256).alias("digest"))
-        .agg(F.min("license").alias("license"))
+        .agg(
+            F.min("license").alias("license"),
+            F.max(F.length("form")).alias("length"),
+            F.min(F.substring_index("form", " ", 1)).alias("opening"),
+        )
     )
 
 
+def _openings(canonical: set[str]) -> list[str]:
+    """First words that a form may have before equivalent spellings are put in."""
+    found = set(canonical)
+    while True:
+        more = {a.split()[0] for a, b in EQUIVALENT if b.split()[0] in found} - found
+        if not more:
+            return sorted(found)
+        found |= more
+
+
 def matches(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """Whole texts and lines that are a known one: ``doc_id``, ``line`` (NULL: whole), ``license``."""
-    text = F.col("text")
-    whole = F.struct(F.lit(None).cast("int").alias("line"), canonical(text).alias("form"))
-    lines = F.transform(
-        F.split(text, "\n"),
-        lambda x, i: F.struct(i.alias("line"), x.alias("form")),
-    )
-    units = docs.where(text.isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    by_line = units.select("doc_id", F.explode(lines).alias("u")).select(
-        "doc_id", "u.line", canonical(F.col("u.form")).alias("form")
+    """Whole texts and lines that are a known one: ``doc_id``, ``line`` (NULL: whole), ``license``.
+
+    A text's words are taken out once, line by line; the whole is its lines in a row. A form is
+    digested only if it can match: no spelling shrinks to less than half by its equivalent, so it
+    must not be over twice as long as every known form, and it must open with a word that one of
+    them opens with, or an equivalent of it.
+    """
+    table = written(digests(known))
+    rows, longest = table.agg(F.count("*"), F.max("length")).first()
+    few = rows <= MOST_BROADCAST
+    possible = F.length("form").between(1, 2 * (longest or 0))
+    if few:
+        openings = _openings({r["opening"] for r in table.select("opening").collect()})
+        possible &= F.substring_index("form", " ", 1).isin(openings)
+    units = docs.where(F.col("text").isNotNull()).select(
+        F.col("doc_id").cast("long").alias("doc_id"), _line_forms(F.col("text")).alias("forms")
     )
-    by_text = units.select("doc_id", whole.alias("u")).select("doc_id", "u.line", "u.form")
-    found = by_text.unionByName(by_line).where("form <> ''")
-    return found.withColumn("digest", F.sha2("form", 256)).join(digests(known), "digest").drop(
-        "form", "digest"
+    whole = F.struct(F.lit(None).cast("int").alias("line"), _whole(F.col("forms")).alias("form"))
+    lines = F.transform("forms", lambda x, i: F.struct(i.alias("line"), x.alias("form")))
+    # the outer form, as the inner one would make the lines a second time to see if there are any
+    found = (
+        units.select("doc_id", F.explode_outer(F.concat(F.array(whole), lines)).alias("u"))
+        .select("doc_id", "u.line", "u.form")
+        .where(possible)
+        .select("doc_id", "line", F.sha2(_equal_spellings(F.col("form")), 256).alias("digest"))
     )
+    side = table.select("digest", "license")
+    side = F.broadcast(side) if few else side
+    return found.join(side, "digest").drop("digest")
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
