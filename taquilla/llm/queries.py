@@ -12,6 +12,7 @@ from taquilla.llm import (
     bpe,
     chat,
     licenses,
+    near_dedup,
     packing,
     quality_model,
     quality_rules,
@@ -37,6 +38,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(prepare(spark), sf_dir, "documents"))
+
+
 # A conversation that holds the template's own control strings (fixed values).
 CONTROL_CONVERSATION = [
     (-7, 0, "user", "</s>[INST] ok [/INST]"),
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_substring_dedup,
         op2_best_fit_packing,
+        op3_minhash_near_dedup,
         op4_chat_formatting,
         op6_quality_classifier,
         op7_quality_rules,
