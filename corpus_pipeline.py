@@ -8,20 +8,50 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from taquilla.llm import packing, substring_dedup
+from taquilla.llm import near_dedup, packing, quality_model, quality_rules, substring_dedup
 from taquilla.llm.common import prepare, table, written
 
 
-def deduplicated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier takes for good."""
+    prepare(spark)
+    machine = quality_model.train(docs, table(spark, sf_dir, "labels"))
+    return quality_model.without_rejected(docs, machine)
+
+
+def ruled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    prepare(spark)
+    return quality_rules.without_rejected(docs, table(spark, sf_dir, "labels"))
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group of near-duplicates, that with the least id."""
+    prepare(spark)
+    return near_dedup.without_copies(docs)
+
+
+def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the long passages that a document with a smaller id holds too."""
     prepare(spark)
     return substring_dedup.without_repeats(docs)
 
 
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in full-length training sequences."""
+    prepare(spark)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("substring_dedup", deduplicated_passages),
+    ("quality_classifier", classified),
+    ("quality_rules", ruled),
+    ("minhash_near_dedup", without_near_copies),
+    ("substring_dedup", without_passages),
+    ("best_fit_packing", packed),
 ]
 
 # Neither a trained classifier nor a tokenizer can be put as SQL.

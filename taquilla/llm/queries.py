@@ -12,6 +12,7 @@ from taquilla.llm import (
     bpe,
     chat,
     licenses,
+    lm_score,
     near_dedup,
     packing,
     quality_model,
@@ -69,6 +70,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(prepare(spark), sf_dir, "documents"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents")
     return licenses.scan(docs, licenses.known_texts(spark))
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_chat_formatting,
         op6_quality_classifier,
         op7_quality_rules,
+        op8_lm_scoring,
         op9_bpe_chunk_reuse,
         op10_license_scan,
     )
