@@ -123,6 +123,11 @@ def measured(docs: DataFrame) -> DataFrame:
     return found.withColumn("__m", m).drop(*helpers)
 
 
+def _row_key() -> Column:
+    """Tells rows of one id apart; rows that agree in it have one verdict."""
+    return F.xxhash64("text", "lang")
+
+
 def _base_failed() -> Column:
     return (F.col("n_words") < LEAST_WORDS) | (
         100 * F.col("n_repeat_words") > 50 * F.col("n_words")
@@ -134,6 +139,7 @@ def _flat(rows: DataFrame) -> DataFrame:
     flat = rows.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("stratum"),
+        _row_key().alias("row_key"),
         "__m.*",
     )
     return flat.withColumn("base_failed", _base_failed()).withColumns(
@@ -254,17 +260,14 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept. The texts are measured again where they lie, which is
-    cheaper than moving them to their verdicts."""
+    """The rows of ``docs`` that are kept. Measures and verdicts are made on written rows: a filter
+    on the verdict would otherwise be pushed down to the texts and measure them many times over."""
     rows = written(_flat(measured(docs)))
-    cutoffs = written(calibrated(rows, labels))
-    inner = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
-    again = measured(docs).select(
-        inner,
-        F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("stratum"),
-        "__m.*",
-    )
-    again = again.withColumn("base_failed", _base_failed()).withColumns(
-        {f"rule_{name}": F.coalesce(value(), F.lit(0.0)) for name, value in RULES.items()}
+    gone = (
+        _verdicts(rows, written(calibrated(rows, labels)))
+        .where("not kept")
+        .select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key"))
+        .distinct()
     )
-    return _verdicts(again, cutoffs).where("kept").select("__row.*")
+    same = docs["doc_id"].cast("long").eqNullSafe(gone["__id"]) & (_row_key() == gone["__key"])
+    return docs.join(gone, same, "left_anti")
