@@ -17,6 +17,7 @@ from taquilla.llm import (
     packing,
     quality_model,
     quality_rules,
+    search,
     substring_dedup,
 )
 from taquilla.llm.common import prepare, table
@@ -60,6 +61,11 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.prefix_target_examples(given.unionByName(own)))
 
 
+def op5_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents")
+    return search.search(docs, docs.where("doc_id % 50 = 0"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents")
     return quality_model.score(docs, quality_model.train(docs, table(spark, sf_dir, "labels")))
@@ -91,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_best_fit_packing,
         op3_minhash_near_dedup,
         op4_chat_formatting,
+        op5_bm25_search,
         op6_quality_classifier,
         op7_quality_rules,
         op8_lm_scoring,
