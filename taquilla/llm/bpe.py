@@ -22,6 +22,7 @@ of its own text. A special token's string is its id, as in the library's plain c
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -70,8 +71,7 @@ def _character(raw: np.ndarray, at: int) -> int:
 
 
 def chunks(data: bytes) -> list[bytes]:
-    ends = cuts(data)
-    return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    return [data[a:b] for a, b in itertools.pairwise([0, *cuts(data)])]
 
 
 def joined(bpe: ByteBpe, left: bytes, right: bytes) -> bytes:

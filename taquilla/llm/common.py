@@ -49,7 +49,7 @@ def shared_folder(spark: SparkSession) -> str:
     The cluster names it in ``spark.checkpoint.dir``. Only a local session, as in tests, may go
     without; it has no other machine to share with and takes a folder next to its warehouse.
     """
-    top = spark.conf.get("spark.checkpoint.dir", None)
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")

@@ -84,7 +84,7 @@ def index_keys(signatures: np.ndarray) -> np.ndarray:
     for places in np.array_split(np.arange(SYMBOLS), CHUNKS):
         together = wide[:, places].sum(axis=1, dtype=np.uint64)
         for place in places:
-            left_out = np.uint64(0x9E3779B97F4A7C15) * np.uint64(int(place) + 1)
+            left_out = np.uint64((0x9E3779B97F4A7C15 * (int(place) + 1)) % (1 << 64))
             keys[:, place] = mixed((together - wide[:, place]) ^ left_out)
     return keys
 

@@ -244,8 +244,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
     rows = chosen.mapInArrow(extract, "doc_id long, quality int, features binary")
 
     def learn(batches):
-        table = pa.Table.from_batches(batches)
-        if table.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            table = pa.Table.from_batches(held)
             held = sorted(zip(*[table.column(c).to_pylist() for c in table.column_names], strict=True))
             found = [pickle.loads(row) for _, _, row in held]
             f = Features(
