@@ -201,7 +201,7 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
         parts.agg(F.collect_list(F.struct("at", "ids")).alias("parts")), vocabulary
     )
     results = ["text_key", "n_tokens", "ids_sha256", "decoded_sha256"]
-    finished = (
+    finished = written(
         first.where("n_tokens is not null")
         .select(results)
         .unionByName(put_together)

@@ -161,7 +161,7 @@ def repeated_parts(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
         .agg(F.collect_set("content").alias("contents"))
     )
     edges = written(_opened_edges(packed(docs).join(opened, "doc_id"), window, anchor))
-    again = (
+    again = written(
         edges.groupBy("anchor", "edge")
         .agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last"))
         .where("source < last")
