@@ -231,7 +231,7 @@ def score(docs: DataFrame) -> DataFrame:
     units = written(_units(texts(docs)))
     n_units, n_words = units.agg(F.count("*"), F.coalesce(F.sum("n_words"), F.lit(0))).first()
     bucket_bits = max(0, (n_units - 1).bit_length())
-    runs = written(_runs(units, bucket_bits))
+    runs = _runs(units, bucket_bits)
     totals = runs.groupBy("gram", "bucket").applyInArrow(
         _counted, "unit long, gram int, bucket int, totals binary"
     )
