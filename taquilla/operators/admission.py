@@ -245,7 +245,9 @@ def _tickets(drawn: DataFrame, second_code: Column) -> DataFrame:
         _digest("ticket").alias("id"),
         "id_users",
         "id_matches",
-        "id_match_stand_price",
+        F.when(
+            ~_missing(F.col("id_match_stand_price")), F.col("id_match_stand_price")
+        ).alias("id_match_stand_price"),
         F.coalesce(second_code, _code(0)).alias("ticket_code"),
         "price",
         _number(seat, 1, ROWS_IN_STAND).alias("row"),
