@@ -27,7 +27,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from taquilla.llm.common import (
@@ -49,6 +49,7 @@ PERCENT = 85  # of the union that the intersection must reach
 SYMBOLS = 64
 CHUNKS = 12
 DISTANCE = 2 * CHUNKS - 1
+DIRECT = 16  # members of a key whose pairs are formed without a look at their shingles
 _COLUMNS = 1 << 16  # shingles of a document hashed at a time
 
 _random = np.random.default_rng(20)
@@ -234,7 +235,7 @@ def _links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     for last in (False, True):
         joined = written(components(links))
         apart = _apart(members, joined)
-        pairs = _across(apart) if last else _with_picked(apart)
+        pairs = _across(apart, held) if last else _with_picked(apart)
         fresh = written(pairs.join(tried, ["a", "b"], "left_anti"))
         if fresh.isEmpty():
             if not last:
@@ -268,8 +269,17 @@ def _with_picked(apart: DataFrame) -> DataFrame:
     return _pairs(apart.join(picked, "key").where("component <> there"), "node", "other")
 
 
-def _across(apart: DataFrame) -> DataFrame:
-    """All pairs of one key that lie in different components and may be similar by their sizes."""
+def _across(apart: DataFrame, held: DataFrame) -> DataFrame:
+    """Pairs of one key that lie in different components and may be similar."""
+    counted = apart.groupBy("key").agg((F.count("*") > DIRECT).alias("large"))
+    sized = apart.join(written(counted), "key")
+    large = sized.where("large").select("node", "n_shingles", "component").distinct()
+    by_shingle = _pairs_by_shingle(written(large), held)
+    return _pairs_by_key(sized.where("not large")).unionByName(by_shingle).distinct()
+
+
+def _pairs_by_key(apart: DataFrame) -> DataFrame:
+    """All pairs of one key in different components, of sizes that allow the similarity."""
     other = apart.select(
         "key",
         F.col("node").alias("other"),
@@ -284,6 +294,76 @@ def _across(apart: DataFrame) -> DataFrame:
     return _pairs(apart.join(other, "key").where(possible), "node", "other")
 
 
+def _shingles(nodes: DataFrame, held: DataFrame) -> DataFrame:
+    """A row per node and shingle."""
+    kept = nodes.columns
+
+    def run(batches):
+        known = word_hashes()
+        for part in slices(batches):
+            for one in range(part.num_rows):
+                row = part.slice(one, 1)
+                found = shingle_hashes(unpacked(row.column("text")[0].as_py()), known)
+                for at in range(0, len(found), _COLUMNS):
+                    some = found[at : at + _COLUMNS]
+                    same = np.zeros(len(some), np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [row.column(c).take(pa.array(same)) for c in kept]
+                        + [pa.array(signed(some))],
+                        names=[*kept, "shingle"],
+                    )
+
+    texts_of = held.select(F.col("doc_id").alias("node"), "text")
+    return nodes.join(texts_of, "node").select(*kept, "text").mapInArrow(
+        run, "node long, n_shingles long, component long, shingle long"
+    )
+
+
+def _pairs_by_shingle(nodes: DataFrame, held: DataFrame) -> DataFrame:
+    """Pairs in different components that share a shingle early enough in the order by rarity.
+
+    ``at`` is a shingle's place in its node's order. Shingles that one node alone has come first
+    there; they pair nothing, so only their number is needed. A pair at the threshold has its
+    first common shingle within the first ``n - ceil(0.85 n) + 1`` of both, and from it on each
+    has as many shingles as the two must share.
+    """
+    spread = written(_shingles(nodes, held))
+    often = spread.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1")
+    common = spread.join(written(often), "shingle")
+    mine = Window.partitionBy("node")
+    place = F.row_number().over(mine.orderBy("often", "shingle")) - 1
+    alone = F.col("n_shingles") - F.count("*").over(mine)
+    early = written(
+        common.select("node", "n_shingles", "component", "shingle", (alone + place).alias("at"))
+        .where(100 * (F.col("n_shingles") - F.col("at")) >= PERCENT * F.col("n_shingles"))
+    )
+    # pairs inside the component that most nodes of a shingle belong to are not even looked at
+    main = (
+        early.groupBy("shingle", "component")
+        .agg(F.count("*").alias("nodes"))
+        .groupBy("shingle")
+        .agg(F.max(F.struct("nodes", "component")).alias("main"), F.count("*").alias("parts"))
+        .where("parts > 1")
+        .select("shingle", F.col("main.component").alias("main"))
+    )
+    placed = written(early.join(written(main), "shingle"))
+    other = placed.select(
+        "shingle",
+        F.col("node").alias("other"),
+        F.col("component").alias("there"),
+        F.col("n_shingles").alias("n_other"),
+        F.col("at").alias("at_other"),
+    )
+    enough = F.least(F.col("n_shingles") - F.col("at"), F.col("n_other") - F.col("at_other"))
+    possible = (
+        (F.col("component") != F.col("there"))
+        & ((F.col("there") == F.col("main")) | (F.col("node") < F.col("other")))
+        & ((100 + PERCENT) * enough >= PERCENT * (F.col("n_shingles") + F.col("n_other")))
+    )
+    outside = placed.where("component <> main")
+    return _pairs(outside.join(other, "shingle").where(possible), "node", "other")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` per row of ``docs``."""
     docs = texts(docs)

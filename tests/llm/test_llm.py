@@ -141,7 +141,7 @@ def shingles(text):
     return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if w else set()
 
 
-def test_near_dedup(docs, rows, empty):
+def check_near_dedup(docs, rows):
     least = {d: d for d, *_ in rows}
 
     def find(x):
@@ -162,9 +162,50 @@ def test_near_dedup(docs, rows, empty):
     kept = near_dedup.without_copies(docs)
     assert kept.columns == docs.columns
     assert kept.count() == sum(n for k, n in expected.items() if k[3])
+
+
+def test_near_dedup(docs, rows, empty):
+    check_near_dedup(docs, rows)
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_near_dedup_of_many_variants_around_the_threshold(spark, docs):
+    rng = random.Random(9)
+    base = [f"v{rng.randrange(400)}" for _ in range(130)]
+    rows = []
+    for i in range(150):
+        words = base[: rng.randrange(115, 131)]
+        for n in range(rng.randrange(2, 12)):
+            words[rng.randrange(len(words))] = f"own{i}" if n % 2 else f"x{rng.randrange(9)}"
+        rows.append((i, " ".join(words), "en", "s", 1, "x"))
+    check_near_dedup(spark.createDataFrame(rows, docs.schema).repartition(3), rows)
+
+
+def test_pairs_by_shingle_find_every_pair(spark, docs):
+    """Alone, without the links that the steps before find."""
+    rng = random.Random(10)
+    base = [f"v{rng.randrange(400)}" for _ in range(60)]
+    texts = []
+    for i in range(60):
+        words = base[: rng.randrange(45, 61)]
+        for _ in range(rng.randrange(5)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(30)}"
+        texts.append(" ".join(words))
+    sets = [shingles(t) for t in texts]
+    expected = {
+        (a, b)
+        for b, y in enumerate(sets)
+        for a, x in enumerate(sets[:b])
+        if 100 * len(x & y) >= 85 * len(x | y) and a % 7 != b % 7
+    }
+    nodes = [(i, len(s), i % 7) for i, s in enumerate(sets)]
+    nodes = spark.createDataFrame(nodes, "node long, n_shingles long, component long")
+    held = near_dedup.packed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    found = {tuple(r) for r in near_dedup._pairs_by_shingle(nodes, held).collect()}
+    assert expected and expected <= found
+    assert all(a % 7 != b % 7 for a, b in found)
+
+
 def test_index_finds_every_pair_within_the_distance():
     rng = np.random.default_rng(1)
     one = rng.integers(0, 1 << 16, (200, near_dedup.SYMBOLS)).astype(np.uint16)
