@@ -22,6 +22,7 @@ and to what), and each request is decided on its own against those steps.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,6 +44,7 @@ GROUP = ["id_matches", "id_match_stand_price"]
 ROWS_IN_STAND = 30
 SEATS_IN_ROW = 50
 CODE_LENGTH = 8
+SHORT_DRAWS = 4  # draws after the first that keep this length
 
 
 @dataclass(frozen=True)
@@ -235,10 +237,12 @@ def _number(digest: Column, start: int, most: int) -> Column:
 
 
 def _code(attempt: int) -> Column:
-    return F.upper(F.substring(_digest(f"code{attempt}"), 1, CODE_LENGTH))
+    """The code of a draw; late draws are longer, so that there are always free codes."""
+    length = min(CODE_LENGTH + max(0, attempt - SHORT_DRAWS), 32)
+    return F.upper(F.substring(_digest(f"code{attempt}"), 1, length))
 
 
-def _tickets(drawn: DataFrame, second_code: Column) -> DataFrame:
+def _tickets(drawn: DataFrame, redrawn: Column) -> DataFrame:
     seat = _digest("seat")
     return drawn.select(
         F.col("id").alias("id_request"),
@@ -248,7 +252,7 @@ def _tickets(drawn: DataFrame, second_code: Column) -> DataFrame:
         F.when(
             ~_missing(F.col("id_match_stand_price")), F.col("id_match_stand_price")
         ).alias("id_match_stand_price"),
-        F.coalesce(second_code, _code(0)).alias("ticket_code"),
+        F.coalesce(redrawn, _code(0)).alias("ticket_code"),
         "price",
         _number(seat, 1, ROWS_IN_STAND).alias("row"),
         _number(seat, 5, SEATS_IN_ROW).alias("seat"),
@@ -258,45 +262,49 @@ def _tickets(drawn: DataFrame, second_code: Column) -> DataFrame:
     )
 
 
-def _issue(t: Tables, accepted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Tickets of accepted requests, and the ids of requests left without enough codes.
+def _issue(t: Tables, accepted: DataFrame) -> DataFrame:
+    """Tickets of accepted requests.
 
-    Codes are digests, so a task that runs again issues the same ones. A code already in
-    use, or drawn twice, is drawn again once; a request with a code that clashes again
-    fails as a whole. Clashes are few, so the second round works on a small table.
+    Codes are digests, so a task that runs again issues the same ones. A code that is in use
+    already, or drawn twice, is drawn again until none clashes: every accepted request gets
+    its tickets. Clashes are few, so all draws after the first work on small tables.
     """
     drawn = accepted.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("quantity"))))
-    first = counted_side(drawn.select("id", "n", _code(0).alias("code")))
-    # a stored code of another length cannot be drawn
+    # a shorter stored code cannot be drawn
     stored = t.tickets.select(F.col("ticket_code").alias("code")).filter(
-        F.length("code") == CODE_LENGTH
+        F.length("code") >= CODE_LENGTH
     )
 
-    def repeated(codes: DataFrame) -> DataFrame:
-        counts = codes.groupBy("code").agg(F.count("*").alias("times"))
-        return counts.filter(F.col("times") > 1).select("code")
-
-    def in_use(codes: DataFrame) -> DataFrame:
-        return stored.join(codes.select("code"), "code", "left_semi")
-
-    clashing = repeated(first).unionByName(in_use(first)).distinct()
-    again, clashes = written_and_counted(
-        first.join(clashing, "code", "left_semi").select("id", "n", _code(1).alias("code"))
-    )
-    if not clashes:
-        return _tickets(drawn, F.lit(None).cast("string")), again.select("id")
-    again = F.broadcast(again) if clashes <= MOST_BROADCAST_KEYS else again
-    # the second draw clashes with itself, with stored codes, or with a first draw that stays
-    held = first.join(again.select("code"), "code", "left_semi").join(
-        again.select("id", "n"), ["id", "n"], "left_anti"
-    )
-    still = repeated(again).unionByName(in_use(again)).unionByName(held.select("code"))
-    failed = counted_side(
-        again.join(still.distinct(), "code", "left_semi").select("id").distinct()
+    def shared(codes: DataFrame, known: DataFrame) -> DataFrame:
+        return known.join(codes.select("code"), "code", "left_semi").select("code")
+
+    draws = [counted_side(drawn.select("id", "n", _code(0).alias("code")))]
+    while True:
+        last = draws[-1]
+        counts = last.groupBy("code").agg(F.count("*").alias("times"))
+        clashing = counts.filter(F.col("times") > 1).select("code").unionByName(shared(last, stored))
+        for earlier, later in zip(draws, draws[1:], strict=False):
+            kept = earlier.join(last.select("code"), "code", "left_semi").join(
+                later.select("id", "n"), ["id", "n"], "left_anti"
+            )
+            clashing = clashing.unionByName(kept.select("code"))
+        again, clashes = written_and_counted(
+            last.join(clashing.distinct(), "code", "left_semi").select(
+                "id", "n", _code(len(draws)).alias("code")
+            )
+        )
+        if not clashes:
+            break
+        draws.append(F.broadcast(again) if clashes <= MOST_BROADCAST_KEYS else again)
+    if len(draws) == 1:
+        return _tickets(drawn, F.lit(None).cast("string"))
+    numbered = [d.withColumn("draw", F.lit(i)) for i, d in enumerate(draws[1:])]
+    final = (
+        reduce(DataFrame.unionByName, numbered)
+        .groupBy("id", "n")
+        .agg(F.max_by("code", "draw").alias("redrawn"))
     )
-    second = again.select("id", "n", F.col("code").alias("second_code"))
-    sure = drawn.join(failed, "id", "left_anti").join(second, ["id", "n"], "left")
-    return _tickets(sure, F.col("second_code")), failed
+    return _tickets(drawn.join(final, ["id", "n"], "left"), F.col("redrawn"))
 
 
 def admit_purchases(t: Tables, requests: DataFrame) -> Admission:
@@ -304,21 +312,18 @@ def admit_purchases(t: Tables, requests: DataFrame) -> Admission:
     price, quantity, requested_at) and issue the tickets of the accepted ones.
 
     Checked and decided requests are written out once each, as several branches go on from
-    them. Places of a request that fails for lack of codes are not given to others.
+    them.
     """
     checked = cut_lineage(check_requests(t, requests))
     decided = cut_lineage(decide(checked))
-    tickets, failed = _issue(t, decided.filter("accepted"))
-    lost = failed.select(F.col("id").alias("failed_id"))
-    no_codes = F.col("failed_id").isNotNull()
-    decisions = decided.join(lost, F.col("id") == F.col("failed_id"), "left").select(
+    decisions = decided.select(
         "id",
         "id_users",
         "id_matches",
         "id_match_stand_price",
         "quantity",
-        (F.col("accepted") & ~no_codes).alias("accepted"),
-        F.when(no_codes, "no free ticket codes").otherwise(F.col("reason")).alias("reason"),
+        "accepted",
+        "reason",
         "places_left",
     )
-    return Admission(decisions, tickets)
+    return Admission(decisions, _issue(t, decided.filter("accepted")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from taquilla.functions.text import seat_text
 from taquilla.plans.dimensions import with_match, with_stand
-from taquilla.plans.nesting import nest, paged_arrays
+from taquilla.plans.nesting import with_children
 from taquilla.sources.tables import Tables, only, owner_scope
 
 HIDDEN_USER_COLUMNS = ("password",)
@@ -76,38 +76,23 @@ def transaction_listing(
 
 
 def transaction_details(t: Tables, tx_id=None) -> DataFrame:
-    """Transactions with match, teams and the array of their tickets."""
+    """A row per ticket of a transaction, with match and teams; without tickets one row."""
     transactions = only(t.transactions, "id", tx_id).select(
         F.col("id").alias("id_transaction"), "id_matches", "total_amount", "number_tickets"
     )
     tickets = only(t.tickets, "id_transaction", tx_id).select(
         "id", "id_transaction", "id_match_stand_price", "price", "ticket_code"
     )
-    pages = paged_arrays(
-        with_stand(t, tickets, "list_price", "id_stand", "stand_name"),
-        ["id_transaction"],
-        "id",
-        [
-            "id",
-            "id_match_stand_price",
-            "price",
-            "ticket_code",
-            "list_price",
-            "id_stand",
-            "stand_name",
-        ],
-        counted=tickets.select("id_transaction"),
+    items = ["id", "id_match_stand_price", "price", "ticket_code", "list_price", "id_stand", "stand_name"]
+    seated = with_stand(t, tickets, "list_price", "id_stand", "stand_name").select(
+        "id_transaction", F.struct(*items).alias("ticket")
     )
     facts = [c for c in MATCH_LISTING if c != "match_state"]
-    return with_match(t, nest(transactions, pages, ["id_transaction"]), facts).select(
-        F.col("id_transaction").alias("id"),
-        "total_amount",
-        "number_tickets",
-        *facts,
-        "page",
-        "pages",
-        F.col("items").alias("ticket"),
+    described = with_match(t, transactions, facts)
+    detailed = with_children(described, seated, "id_transaction").select(
+        F.col("id_transaction").alias("id"), "total_amount", "number_tickets", *facts, "ticket"
     )
+    return detailed if tx_id is None else detailed.orderBy("ticket.id")
 
 
 def entity_listing(t: Tables, table: str, key=None) -> DataFrame:

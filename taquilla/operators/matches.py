@@ -7,37 +7,36 @@ from pyspark.sql import functions as F
 
 from taquilla.functions.numeric import round_half_up
 from taquilla.plans.dimensions import priced_stands, with_teams
-from taquilla.plans.nesting import nest, paged_arrays
+from taquilla.plans.nesting import with_children
 from taquilla.plans.rollups import latest_simulation, tickets_by_match
 from taquilla.sources.schemas import CLOSED_STATES
 from taquilla.sources.tables import Tables, only
 
 MONEY = "decimal(38,2)"
-TEAM_FIELDS = ("id_team_api", "name", "city", "stadium", "image_url", "foundation")
+TEAM_FIELDS = ("id_team_api", "name", "city", "stadium", "image_url", "foundation", "created_at")
 
 
 def match_catalog(t: Tables, match_id=None) -> DataFrame:
-    """Matches with both teams and an array of their priced stands; [] without prices."""
+    """A row per match and priced stand, with both teams; a match without prices has one row."""
     matches = only(t.matches, "id", match_id)
-    priced = only(priced_stands(t), "id_match", match_id)
-    pages = paged_arrays(
-        priced,
-        ["id_match"],
-        "id_price",
-        [
+    stand = F.struct(
+        F.col("id_stand").alias("id"),
+        F.col("stand_name").alias("name"),
+        F.col("capacity").alias("total_capacity"),
+        F.col("stand_description").alias("description"),
+        F.col("stand_created_at").alias("created_at"),
+    )
+    priced = only(priced_stands(t), "id_match", match_id).select(
+        F.col("id_match").alias("id"),
+        F.struct(
             F.col("id_price").alias("id"),
+            "id_match",
             "id_stand",
             F.col("list_price").alias("price"),
-            F.struct(
-                F.col("id_stand").alias("id"),
-                F.col("stand_name").alias("name"),
-                F.col("capacity").alias("total_capacity"),
-                F.col("stand_description").alias("description"),
-            ).alias("stand"),
-        ],
-        counted=only(t.match_stand_prices, "id_match", match_id).select("id_match"),
-    ).withColumnRenamed("id_match", "id")
-    catalog = nest(with_teams(t, matches, *TEAM_FIELDS), pages, ["id"])
+            F.col("price_created_at").alias("created_at"),
+            stand.alias("stand"),
+        ).alias("stand_price"),
+    )
     sides = {
         side: F.struct(
             F.col(f"id_team_{side}").alias("id"),
@@ -45,13 +44,10 @@ def match_catalog(t: Tables, match_id=None) -> DataFrame:
         )
         for side in ("local", "visitor")
     }
-    return catalog.select(
-        *t.matches.columns,
-        *[value.alias(side) for side, value in sides.items()],
-        "page",
-        "pages",
-        F.col("items").alias("stand_prices"),
+    described = with_teams(t, matches, *TEAM_FIELDS).select(
+        *t.matches.columns, *[value.alias(side) for side, value in sides.items()]
     )
+    return with_children(described, priced, "id")
 
 
 def match_history(t: Tables) -> DataFrame:
@@ -94,10 +90,13 @@ def match_history(t: Tables) -> DataFrame:
 
 def match_history_summary(t: Tables) -> DataFrame:
     """One row: totals over the history and rounded averages per match."""
-    totals = match_history(t).agg(
+    closed = t.matches.filter(F.col("state").isin(*CLOSED_STATES)).select(
+        F.col("id").alias("id_match")
+    )
+    totals = closed.join(tickets_by_match(t.tickets), "id_match", "left").agg(
         F.count("*").alias("total_matches"),
-        F.coalesce(F.sum("total_tickets_sold"), F.lit(0)).alias("total_tickets_sold"),
-        F.coalesce(F.sum("total_revenue"), F.lit(0)).cast(MONEY).alias("total_revenue"),
+        F.coalesce(F.sum("tickets"), F.lit(0)).alias("total_tickets_sold"),
+        F.coalesce(F.sum("revenue"), F.lit(0)).cast(MONEY).alias("total_revenue"),
     )
     matches = F.when(F.col("total_matches") > 0, F.col("total_matches")).cast("decimal(20,0)")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from taquilla.functions.numeric import percent_text
 from taquilla.functions.text import match_half, score_text
 from taquilla.plans.dimensions import with_match
-from taquilla.plans.rollups import latest_simulation
+from taquilla.plans.rollups import latest_simulation, latest_simulations
 from taquilla.plans.sizing import lookup_side
 from taquilla.sources.tables import Tables, only
 
@@ -60,7 +60,7 @@ def _half_score(half: str) -> Column:
 
 def match_scoreboard(t: Tables, match_id=None) -> DataFrame:
     """Per simulated match: score, score by half, statistics of both sides, match info."""
-    simulations = only(latest_simulation(t), "id_matches", match_id)
+    simulations = latest_simulation(t, match_id)
     facts = ["match_state", "match_date", "match_stadium"]
     for side in ("local", "visitor"):
         facts += [f"id_team_{side}", f"{side}_name", f"{side}_image_url"]
@@ -80,9 +80,7 @@ def match_scoreboard(t: Tables, match_id=None) -> DataFrame:
 
 def _match_events(t: Tables, match_id) -> DataFrame:
     """Events of the simulation each match shows, with the match they belong to."""
-    simulations = only(latest_simulation(t), "id_matches", match_id).select(
-        F.col("id").alias("id_match_simulations"), F.col("id_matches").alias("match_id")
-    )
+    simulations = latest_simulations(t, match_id).withColumnRenamed("id", "id_match_simulations")
     return t.simulations_events.join(
         lookup_side(simulations), "id_match_simulations", "inner"
     )
@@ -120,18 +118,15 @@ def match_event_summary(t: Tables, match_id=None, literal: bool = False) -> Data
     ones of the original, which no stored event carries.
     """
     labels = ENGLISH_LABELS if literal else STORED_LABELS
-    counts = (
-        _match_events(t, match_id)
-        .groupBy("match_id")
-        .agg(
-            F.count("*").alias("total_events"),
-            *[F.count_if(F.col("type_event") == text).alias(n) for n, text in labels.items()],
-        )
-    )
-    simulated = only(latest_simulation(t), "id_matches", match_id).select(
-        F.col("id_matches").alias("match_id")
+    simulated = latest_simulations(t, match_id)
+    # of one match only its events are read; of all matches every event is folded where it lies
+    events = t.simulations_events if match_id is None else _match_events(t, match_id)
+    counts = events.groupBy(F.col("id_match_simulations").alias("id")).agg(
+        F.count("*").alias("total_events"),
+        *[F.count_if(F.col("type_event") == text).alias(n) for n, text in labels.items()],
     )
-    return simulated.join(counts, "match_id", "left").fillna(0, ["total_events", *labels])
+    joined = simulated.join(counts, "id", "left").drop("id")
+    return joined.fillna(0, ["total_events", *labels])
 
 
 def simulation_events(t: Tables, simulation_id=None) -> DataFrame:

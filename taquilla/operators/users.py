@@ -16,7 +16,7 @@ from taquilla.functions.text import (
     versus,
 )
 from taquilla.plans.dimensions import priced_stands, with_match, with_stand
-from taquilla.plans.nesting import paged_arrays
+from taquilla.plans.nesting import with_totals
 from taquilla.plans.rollups import sold
 from taquilla.plans.sizing import lookup_side
 from taquilla.sources.tables import Tables, only
@@ -154,58 +154,49 @@ def user_purchase_summary(t: Tables, user_id=None) -> DataFrame:
 
 
 def user_match_history(t: Tables, user_id=None) -> DataFrame:
-    """Per user and match: match facts, tickets, money, and the tickets as an array.
-
-    A (user, match) pair with very many tickets has several rows, see ``plans.nesting``.
-    """
-    tickets = _bought(t, user_id)
-    keys = ["id_users", "id_matches"]
-    seated = with_stand(t, tickets, "stand_name")
-    pages = paged_arrays(
-        seated,
-        keys,
-        "id",
-        [
-            "purchased_at",
-            F.col("id").alias("ticket_id"),
-            F.coalesce("stand_name", F.lit(NO_STAND)).alias("stand"),
-            "price",
-            seat_text(F.col("row"), F.col("seat")).alias("seat_info"),
-            purchase_moment_text(F.col("purchased_at")).alias("purchased_at_text"),
-        ],
-        counted=tickets.select(*keys, "price"),
-        totals={
-            "tickets_count": F.count("*"),
-            "total_spent_match": F.sum("price").cast(MONEY),
-        },
-        descending=True,
+    """A row per ticket with its match, both teams, and the user's tickets and money there."""
+    tickets = _bought(t, user_id).select(
+        "id", "id_users", "id_matches", "id_match_stand_price", "price", "row", "seat", "purchased_at"
     )
+    totals = {
+        "tickets_count": F.count("*"),
+        "total_spent_match": F.sum("price").cast(MONEY),
+    }
+    counted = with_totals(tickets, ["id_users", "id_matches"], totals)
+    sides = [
+        f"{side}_{field}" for side in ("local", "visitor") for field in ("name", "image_url")
+    ]
     history = with_match(
         t,
-        pages,
-        ["local_name", "visitor_name", "match_date", "match_hour", "match_stadium", "match_state"],
+        with_stand(t, counted, "stand_name"),
+        ["id_team_local", "id_team_visitor", *sides]
+        + ["match_date", "match_hour", "match_stadium", "match_state"],
         how="inner",
     )
     shown = history.select(
         F.col("id_users").alias("user_id"),
         "match_id",
-        "local_name",
-        "visitor_name",
+        F.col("id_team_local").alias("local_id"),
+        F.col("id_team_visitor").alias("visitor_id"),
+        *sides,
         F.col("match_date").alias("date"),
         long_date(F.col("match_date")).alias("date_formatted"),
         F.col("match_hour").alias("time"),
         half_day_hour(F.col("match_hour")).alias("time_formatted"),
         F.col("match_stadium").alias("stadium"),
         F.col("match_state").alias("state"),
-        "tickets_count",
-        "total_spent_match",
-        "page",
-        "pages",
-        F.col("items").alias("stands"),
+        *totals,
+        "purchased_at",
+        F.col("id").alias("ticket_id"),
+        F.coalesce("stand_name", F.lit(NO_STAND)).alias("stand"),
+        "price",
+        seat_text(F.col("row"), F.col("seat")).alias("seat_info"),
+        purchase_moment_text(F.col("purchased_at")).alias("purchased_at_text"),
     )
     if user_id is None:
         return shown
-    return shown.orderBy(F.desc_nulls_last("date"), "match_id", "page")
+    newest = [F.desc("purchased_at"), F.desc("ticket_id")]
+    return shown.orderBy(F.desc_nulls_last("date"), "match_id", *newest)
 
 
 def user_stand_distribution(t: Tables, user_id=None) -> DataFrame:

@@ -25,15 +25,20 @@ def with_teams(t: Tables, matches: DataFrame, *fields: str) -> DataFrame:
 
 
 def priced_stands(t: Tables) -> DataFrame:
-    """(id_price, id_match, id_stand, list_price, stand_name, capacity, description)."""
+    """Price rows with their stand, under names that cannot clash with ticket columns."""
     stands = t.soccer_stands.select(
         F.col("id").alias("id_stand"),
         F.col("name").alias("stand_name"),
         F.col("total_capacity").alias("capacity"),
         F.col("description").alias("stand_description"),
+        F.col("created_at").alias("stand_created_at"),
     )
     prices = t.match_stand_prices.select(
-        F.col("id").alias("id_price"), "id_match", "id_stand", F.col("price").alias("list_price")
+        F.col("id").alias("id_price"),
+        "id_match",
+        "id_stand",
+        F.col("price").alias("list_price"),
+        F.col("created_at").alias("price_created_at"),
     )
     return prices.join(stands, "id_stand", "inner")
 

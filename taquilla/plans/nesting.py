@@ -1,9 +1,7 @@
-"""Child rows as arrays on their parent, in arrays of limited length.
+"""Child rows beside their parent: one row per child, in one shape whatever their number.
 
-A parent with few children gets one array, as in a nested document. A parent that owns a
-large share of the whole child table gets several rows, numbered by ``page`` of ``pages``;
-together they hold every child exactly once. No task ever builds one array of unbounded
-length, and the pages of one parent are spread over tasks.
+Nested documents of the original come as rows. A parent that owns a large share of the whole
+child table has that many rows, spread over tasks; nothing builds an array of them.
 """
 
 from __future__ import annotations
@@ -11,66 +9,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taquilla.plans.sizing import counted_side
 
-PAGE_ROWS = 500
+def with_children(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
+    """A row per child with its parent's columns; a parent without children is one row.
+
+    Not a left join: of an inner join the children of a hot parent can be split over tasks.
+    """
+    known = children.select(key).distinct()
+    childless = parents.join(known, key, "left_anti")
+    return parents.join(children, key).unionByName(childless, allowMissingColumns=True)
 
 
-def paged_arrays(
-    children: DataFrame,
-    keys: list[str],
-    child_id: str,
-    item: list[Column | str],
-    counted: DataFrame,
-    totals: dict[str, Column] | None = None,
-    descending: bool = False,
-    page_rows: int = PAGE_ROWS,
-) -> DataFrame:
-    """(keys, page, pages, totals, items): children as sorted arrays of structs.
+def with_totals(children: DataFrame, keys: list[str], totals: dict[str, Column]) -> DataFrame:
+    """Children with aggregates over all children of the same keys; keys may be NULL.
 
-    Items sort by their leading fields. ``counted`` holds the children before any lookup; it
-    is counted first, and only parents above ``page_rows`` are carried on, with their
-    totals. Their children are dealt to pages by a hash of ``child_id``; all other parents
-    have one page, whose totals are those of the parent. ``totals`` aggregates child
-    columns per parent.
+    The second key is 0 on every row. It makes Spark shuffle the folded totals for the join
+    by themselves, so that the children of a hot key can be split over tasks.
     """
-    totals = totals or {}
-    heavy = counted_side(
-        counted.groupBy(*keys)
-        .agg(
-            F.count("*").alias("all_children"),
-            *[total.alias(f"all_{name}") for name, total in totals.items()],
-        )
-        .filter(F.col("all_children") > page_rows)
-    )
-    pages = F.coalesce(F.ceil(F.col("all_children") / page_rows), F.lit(1)).cast("int")
-    placed = (
-        children.join(heavy, keys, "left")
-        .withColumn("pages", pages)
-        .withColumn("page", F.pmod(F.xxhash64(child_id), F.col("pages")).cast("int"))
-        .repartition(*keys, "page")
-    )
-    arrays = placed.groupBy(*keys, "page", "pages").agg(
-        F.sort_array(F.collect_list(F.struct(*item)), asc=not descending).alias("items"),
-        *[total.alias(name) for name, total in totals.items()],
-        *[F.first(f"all_{name}").alias(f"all_{name}") for name in totals],
+    zero = F.pmod(F.xxhash64(*keys), F.lit(1))
+    folded = (
+        children.groupBy(*keys)
+        .agg(*[total.alias(name) for name, total in totals.items()])
+        .select(*[F.col(k).alias(f"of_{k}") for k in keys], *totals)
+        .withColumn("of_zero", F.pmod(F.xxhash64(*[f"of_{k}" for k in keys]), F.lit(1)))
     )
-    return arrays.select(
-        *keys,
-        "page",
-        "pages",
-        *[F.coalesce(f"all_{name}", name).alias(name) for name in totals],
-        "items",
-    )
-
-
-def nest(parents: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:
-    """Parents with their arrays; a parent without children gets one empty array."""
-    item_type = pages.schema["items"].dataType.simpleString()
-    return parents.join(pages, keys, "left").withColumns(
-        {
-            "page": F.coalesce(F.col("page"), F.lit(0)),
-            "pages": F.coalesce(F.col("pages"), F.lit(1)),
-            "items": F.coalesce(F.col("items"), F.array().cast(item_type)),
-        }
+    same = F.col("zero") == F.col("of_zero")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"of_{k}"))
+    return (
+        children.withColumn("zero", zero)
+        .join(folded, same)
+        .drop("zero", "of_zero", *[f"of_{k}" for k in keys])
     )

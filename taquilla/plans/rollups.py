@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taquilla.sources.schemas import CLOSED_STATES, SOLD
-from taquilla.sources.tables import Tables
+from taquilla.sources.tables import Tables, only
 
 
 def sold(tickets: DataFrame) -> DataFrame:
@@ -65,8 +65,19 @@ def sales_by_stand(t: Tables, by_price: DataFrame) -> DataFrame:
     )
 
 
-def latest_simulation(t: Tables) -> DataFrame:
-    """One simulation per match: the last one, should a match have several."""
-    sims = t.match_simulations
-    last = F.max_by(F.struct(*sims.columns), F.struct("created_at", "id")).alias("last")
-    return sims.groupBy(F.col("id_matches").alias("match")).agg(last).select("last.*")
+def latest_simulations(t: Tables, match_id=None) -> DataFrame:
+    """(id, match_id) of the simulation each match shows: its last, should it have several."""
+    return (
+        only(t.match_simulations, "id_matches", match_id)
+        .groupBy(F.col("id_matches").alias("match_id"))
+        .agg(F.max(F.struct("created_at", "id")).alias("last"))
+        .select(F.col("last.id").alias("id"), "match_id")
+    )
+
+
+def latest_simulation(t: Tables, match_id=None) -> DataFrame:
+    """The rows of the simulations that matches show."""
+    shown = latest_simulations(t, match_id).select("id")
+    return only(t.match_simulations, "id_matches", match_id).join(shown, "id", "left_semi").select(
+        *t.match_simulations.columns
+    )

@@ -146,39 +146,42 @@ def test_against_one_by_one(spark, make_tables, seed, capacity):
 def code(request, n, attempt, length):
     import hashlib
 
+    length += max(0, attempt - admission.SHORT_DRAWS)
     return hashlib.md5(f"{request}:{n}:code{attempt}".encode()).hexdigest()[:length].upper()
 
 
 @pytest.mark.parametrize("length,count", [(1, 12), (2, 60), (3, 100)])
 def test_codes_clash(spark, make_tables, monkeypatch, length, count):
-    """With short codes many clash: drawn again once, then the whole request fails."""
+    """With short codes many clash: they are drawn again until none does, and nobody is refused."""
     monkeypatch.setattr(admission, "CODE_LENGTH", length)
     draw = random.Random(length)
-    listed = [(draw.randint(1, 3), None) for _ in range(count)]
+    listed = [(draw.randint(1, 3), draw.choice(["n", None])) for _ in range(count)]
     stored = [code("r00000", 1, 0, length), code("r00001", 1, 1, length), "FFFFFFFFFF"]
     result = admission.admit_purchases(
-        tables(make_tables, 1, stored=stored), requests(spark, listed)
+        tables(make_tables, count, stored=stored), requests(spark, listed)
     )
-    drawn = {
-        (f"r{i:05d}", n): code(f"r{i:05d}", n, 0, length)
+    assert decided(result) == brute(listed, {"n": count})
+    granted = {k for k, v in brute(listed, {"n": count}).items() if v[0]}
+    final = {}
+    pending = [
+        (f"r{i:05d}", n)
         for i, (q, _) in enumerate(listed)
         for n in range(1, q + 1)
-    }
-    times = defaultdict(int)
-    for c in drawn.values():
-        times[c] += 1
-    again = {k for k, c in drawn.items() if times[c] > 1 or c in stored}
-    final = {k: code(*k, 1, length) if k in again else c for k, c in drawn.items()}
-    times = defaultdict(int)
-    for c in final.values():
-        times[c] += 1
-    failed = {k[0] for k in again if times[final[k]] > 1 or final[k] in stored}
-    assert failed and len(failed) < count or length == 1
-    got = decided(result)
-    assert {k for k, v in got.items() if v[1] == "no free ticket codes"} == failed
-    assert all(got[k][0] is (k not in failed) for k in got)
+        if f"r{i:05d}" in granted
+    ]
+    attempt = 0
+    while pending:
+        drawn = {k: code(*k, attempt, length) for k in pending}
+        times = defaultdict(int)
+        for c in drawn.values():
+            times[c] += 1
+        used = {*stored, *final.values()}
+        pending = [k for k, c in drawn.items() if times[c] > 1 or c in used]
+        final |= {k: c for k, c in drawn.items() if k not in set(pending)}
+        attempt += 1
+    assert attempt > 1 and len(set(final.values())) == len(final)
     issued = sorted((r["id_request"], r["ticket_code"]) for r in rows(result.tickets))
-    assert issued == sorted((k[0], c) for k, c in final.items() if k[0] not in failed)
+    assert issued == sorted((k[0], c) for k, c in final.items())
 
 
 def test_running_again_gives_the_same_tickets(spark, make_tables):

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from test_dashboard_reports import TEAMS, match, price, stand, ticket
 
 from taquilla.operators import listings, matches, occupancy, simulations, users
-from taquilla.plans.nesting import nest, paged_arrays
 
 STANDS = [stand("n", "Norte", 10), stand("s", "Sur", 5), stand("z", "Cero", 0)]
 
@@ -19,10 +18,11 @@ def test_catalog_of_a_match_without_prices_is_an_empty_array(make_tables):
         matches=[match("m1"), match("m2")],
         match_stand_prices=[price("m1", "s"), price("m1", "n")],
     )
-    got = {r["id"]: r for r in rows(matches.match_catalog(t))}
-    assert got["m2"]["stand_prices"] == []
-    assert [p["stand"]["name"] for p in got["m1"]["stand_prices"]] == ["Norte", "Sur"]
-    assert got["m1"]["local"]["name"] == "Alfa"
+    got = rows(matches.match_catalog(t))
+    assert [r["stand_price"] for r in got if r["id"] == "m2"] == [None]
+    priced = [r for r in got if r["id"] == "m1"]
+    assert sorted(r["stand_price"]["stand"]["name"] for r in priced) == ["Norte", "Sur"]
+    assert {r["local"]["name"] for r in priced} == {"Alfa"}
     assert [r["id"] for r in rows(matches.match_catalog(t, "m2"))] == ["m2"]
 
 
@@ -159,14 +159,14 @@ def test_user_summary_quirks_and_ties(make_tables):
 def test_user_history_distribution_and_recent(make_tables):
     t = user_tables(make_tables)
     history = rows(users.user_match_history(t, "u"))
-    assert [r["match_id"] for r in history] == ["m2", "m1"]
-    first = history[1]
+    assert [r["match_id"] for r in history] == ["m2", "m2", "m1", "m1", "m1"]
+    first = history[2]
     assert first["time_formatted"] == "12:05 am"
     assert first["date_formatted"] == "20 de enero del 2024"
     assert first["tickets_count"] == 3
-    assert [s["ticket_id"] for s in first["stands"]] == ["3", "2", "1"]
-    assert [s["seat_info"] for s in first["stands"]] == [None, "Fila 3 - Asiento 4", None]
-    assert history[0]["stands"][1]["stand"] == "Sin especificar"
+    assert [r["ticket_id"] for r in history[2:]] == ["3", "2", "1"]
+    assert [r["seat_info"] for r in history[2:]] == [None, "Fila 3 - Asiento 4", None]
+    assert history[1]["stand"] == "Sin especificar"
     shares = rows(users.user_stand_distribution(t, "u"))
     assert [(r["stand"], r["count"], r["percentage"]) for r in shares] == [
         ("Norte", 2, "40.0%"),
@@ -179,31 +179,26 @@ def test_user_history_distribution_and_recent(make_tables):
     ]
 
 
-def test_arrays_of_a_hot_parent_are_paged(spark):
-    children = spark.range(5000).select(
-        F.when(F.col("id") < 4000, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 10)).alias("k"),
-        F.col("id").alias("child"),
-    )
-    pages = paged_arrays(
-        children,
-        ["k"],
-        "child",
-        ["child"],
-        counted=children.select("k", "child"),
-        totals={"n": F.count("*"), "highest": F.max("child")},
-        page_rows=100,
-    )
-    parents = children.select("k").distinct().unionByName(spark.sql("SELECT 'childless' AS k"))
-    got = rows(nest(parents, pages, ["k"]))
-    hot = [r for r in got if r["k"] == "hot"]
-    assert len(hot) == 40 and {r["pages"] for r in hot} == {40}
-    assert {(r["n"], r["highest"]) for r in hot} == {(4000, 3999)}
-    assert sorted(i["child"] for r in hot for i in r["items"]) == list(range(4000))
-    assert max(len(r["items"]) for r in hot) < 200
-    assert all([i["child"] for i in r["items"]] == sorted(i["child"] for i in r["items"]) for r in hot)
-    cold = [r for r in got if r["k"].startswith("k")]
-    assert len(cold) == 10 and all(len(r["items"]) == 100 for r in cold)
-    assert [r["items"] for r in got if r["k"] == "childless"] == [[]]
+def test_one_row_per_child_whatever_their_number(make_tables):
+    def bought(n):
+        return make_tables(
+            teams=TEAMS,
+            matches=[match("m")],
+            transactions=[{"id": "x", "id_users": "u", "id_matches": "m"}],
+            tickets=[
+                ticket(f"{i:05d}", "m", id_users="u", id_transaction="x") for i in range(n)
+            ],
+        )
+
+    for n in (3, 5000):
+        t = bought(n)
+        details = rows(listings.transaction_details(t, "x"))
+        assert [r["ticket"]["id"] for r in details] == [f"{i:05d}" for i in range(n)]
+        history = rows(users.user_match_history(t, "u"))
+        assert [r["ticket_id"] for r in history] == [f"{n - 1 - i:05d}" for i in range(n)]
+        assert {(r["tickets_count"], r["local_name"]) for r in history} == {(n, "Alfa")}
+    nothing = rows(listings.transaction_details(bought(0), "x"))
+    assert [(r["id"], r["ticket"]) for r in nothing] == [("x", None)]
 
 
 def test_listings_scope_and_hidden_password(make_tables):
@@ -215,9 +210,9 @@ def test_listings_scope_and_hidden_password(make_tables):
     assert len(rows(listings.transaction_listing(t, user_id="u"))) == 2
     assert "password" not in listings.entity_listing(t, "users").columns
     assert one(listings.entity_listing(t, "users", "v"))["name"] == "Beto"
-    details = one(listings.transaction_details(t, "x"))
+    details = rows(listings.transaction_details(t, "x"))
     # tickets of any state
-    assert [k["id"] for k in details["ticket"]] == ["1", "2", "3", "6"]
+    assert [r["ticket"]["id"] for r in details] == ["1", "2", "3", "6"]
 
 
 def simulated(make_tables):

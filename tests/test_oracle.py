@@ -6,7 +6,7 @@ from pathlib import Path
 
 import pytest
 
-from taquilla.operators import dashboard, users
+from taquilla.operators import dashboard, listings, simulations, users
 from taquilla.plans.sizing import input_bytes, lookup_side
 from taquilla.sources.binding import AS_OF, StarFolder, bind
 from verification.compare import differences, duck_connection
@@ -32,6 +32,14 @@ def test_query_equals_sql(spark, connection, name):
     assert differences(spark, connection, FOLDER, name) is None
 
 
+@pytest.mark.parametrize(
+    "name",
+    ["page_events", "check_references_tickets"] + sorted(n for n in queries() if n.endswith(("_one", "_own"))),
+)
+def test_entries_have_rows(spark, name):
+    assert not queries()[name](spark, FOLDER).isEmpty()
+
+
 @pytest.fixture(scope="module")
 def bound(spark):
     return bind(StarFolder(spark, FOLDER))
@@ -57,6 +65,16 @@ def test_rank_is_limited_before_the_shuffle(bound):
     assert "WindowGroupLimit" in text and "Partial" in text
 
 
+def test_the_key_reaches_the_scan(bound):
+    for df in (
+        simulations.match_scoreboard(bound, 4),
+        simulations.match_event_summary(bound, 4),
+        simulations.match_timeline(bound, 4),
+    ):
+        assert "EqualTo(s_suppkey,4)" in plan(df) and "max_by" not in plan(df)
+    assert "EqualTo(o_orderkey,1)" in plan(listings.transaction_details(bound, 1))
+
+
 def test_no_operator_forms_all_pairs(spark):
     for name, query in queries().items():
         if name.startswith(("dashboard_document", "admit")):

@@ -29,6 +29,18 @@ def purchase_requests(star: StarFolder) -> DataFrame:
     )
 
 
+def incoming_tickets(tickets: DataFrame) -> DataFrame:
+    """The tickets, some with keys that no row has."""
+    key = F.col("id_transaction")
+    wrong = {"id_users": 101, "id_matches": 103, "id_match_stand_price": 107, "id_transaction": 109}
+    return tickets.withColumns(
+        {
+            column: F.when(key % every == 0, F.col(column) + 1_000_000_000_000).otherwise(F.col(column))
+            for column, every in wrong.items()
+        }
+    )
+
+
 def raw_transactions(star: StarFolder) -> DataFrame:
     """Transactions as sent, with empty and zero values."""
     key = F.col("o_orderkey")

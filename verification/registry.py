@@ -31,7 +31,13 @@ from taquilla.sources.binding import AS_OF, StarFolder, bind
 from taquilla.sources.schemas import TABLE_ORDER
 from taquilla.sources.tables import Tables
 from verification import incoming
-from verification.oracle_sql import NULLABLE_WHOLE
+from verification.oracle_sql import (
+    NULLABLE_WHOLE,
+    ONE_MATCH,
+    ONE_TEAM,
+    ONE_TRANSACTION,
+    ONE_USER,
+)
 
 NOW = dt.datetime(2001, 7, 15, 12, 0, 0)
 
@@ -48,14 +54,9 @@ def printable(df: DataFrame) -> DataFrame:
     return df.select(*[shown(f) for f in df.schema.fields])
 
 
-def _rows(nested: DataFrame, items: str) -> DataFrame:
-    """One row per array element, whatever the pages; an empty array gives one row."""
-    kept = [c for c in nested.columns if c not in (items, "page", "pages")]
-    return nested.select(*kept, F.explode_outer(items).alias("item"))
-
-
-def _match_catalog(t: Tables) -> DataFrame:
-    return _rows(matches.match_catalog(t), "stand_prices").select(
+def _match_catalog(t: Tables, match_id=None) -> DataFrame:
+    price = F.col("stand_price")
+    return matches.match_catalog(t, match_id).select(
         "id",
         "match_date",
         "match_hour",
@@ -63,12 +64,15 @@ def _match_catalog(t: Tables) -> DataFrame:
         "stadium",
         F.col("local.name").alias("local_name"),
         F.col("local.city").alias("local_city"),
+        F.col("local.created_at").alias("local_created_at"),
         F.col("visitor.name").alias("visitor_name"),
         F.col("visitor.foundation").alias("visitor_foundation"),
-        F.col("item.id").alias("price_id"),
-        F.col("item.price").alias("price"),
-        F.col("item.stand.name").alias("stand_name"),
-        F.col("item.stand.total_capacity").alias("stand_capacity"),
+        price["id"].alias("price_id"),
+        price["id_match"].alias("price_match"),
+        price["price"].alias("price"),
+        price["stand"]["name"].alias("stand_name"),
+        price["stand"]["total_capacity"].alias("stand_capacity"),
+        price["stand"]["created_at"].alias("stand_created_at"),
     )
 
 
@@ -81,23 +85,19 @@ def _match_history(t: Tables) -> DataFrame:
     )
 
 
-def _user_match_history(t: Tables) -> DataFrame:
-    return _rows(users.user_match_history(t), "stands").select("*", "item.*").drop("item")
-
-
-def _transaction_details(t: Tables) -> DataFrame:
-    details = _rows(listings.transaction_details(t), "ticket")
+def _transaction_details(t: Tables, tx_id=None) -> DataFrame:
+    details = listings.transaction_details(t, tx_id)
     return details.select(
-        *[c for c in details.columns if c != "item"],
-        F.col("item.id").alias("ticket_id"),
-        F.col("item.price").alias("price"),
-        F.col("item.list_price").alias("list_price"),
-        F.col("item.stand_name").alias("stand_name"),
+        *[c for c in details.columns if c != "ticket"],
+        F.col("ticket.id").alias("ticket_id"),
+        F.col("ticket.price").alias("price"),
+        F.col("ticket.list_price").alias("list_price"),
+        F.col("ticket.stand_name").alias("stand_name"),
     )
 
 
-def _match_scoreboard(t: Tables) -> DataFrame:
-    board = simulations.match_scoreboard(t)
+def _match_scoreboard(t: Tables, match_id=None) -> DataFrame:
+    board = simulations.match_scoreboard(t, match_id)
 
     def side(name: str) -> list[Column]:
         s = F.col(name)
@@ -188,7 +188,7 @@ OPERATORS: dict[str, Callable[[Tables, StarFolder], DataFrame]] = {
     "match_history": lambda t, s: _match_history(t),
     "match_history_summary": lambda t, s: matches.match_history_summary(t),
     "user_purchase_summary": lambda t, s: users.user_purchase_summary(t),
-    "user_match_history": lambda t, s: _user_match_history(t),
+    "user_match_history": lambda t, s: users.user_match_history(t),
     "user_stand_distribution": lambda t, s: users.user_stand_distribution(t),
     "user_recent_purchases": lambda t, s: users.user_recent_purchases(t),
     "match_occupancy": lambda t, s: occupancy.match_occupancy(t),
@@ -207,7 +207,10 @@ OPERATORS: dict[str, Callable[[Tables, StarFolder], DataFrame]] = {
     "paged_listing_events": lambda t, s: listings.paged_listing(
         t, "simulations_events", page=3, limit=50
     ),
-    "page_events": lambda t, s: listings.page_events(t, page=1, limit=20),
+    # the last page holds the simulations with events
+    "page_events": lambda t, s: listings.page_events(
+        t, page=-(-t.match_simulations.count() // 20), limit=20
+    ),
     "simulation_events": lambda t, s: simulations.simulation_events(t),
     "simulation_with_events": lambda t, s: simulations.simulation_with_events(t),
     "entity_listing_teams": lambda t, s: listings.entity_listing(t, "teams"),
@@ -246,12 +249,27 @@ OPERATORS: dict[str, Callable[[Tables, StarFolder], DataFrame]] = {
     "check_references_requests": lambda t, s: checks.check_references(
         t, "purchase_requests", _requests(t, s)
     ),
-    "check_references_tickets": lambda t, s: checks.check_references(t, "tickets", t.tickets),
+    "check_references_tickets": lambda t, s: checks.check_references(
+        t, "tickets", incoming.incoming_tickets(t.tickets)
+    ),
     "check_unique": lambda t, s: checks.check_unique("users", incoming.incoming_users(s), t.users),
     "check_shape": lambda t, s: checks.check_shape("users", incoming.incoming_users(s)),
     "check_rules_requests": lambda t, s: checks.check_rules("purchase_requests", _requests(t, s)),
     "check_rules_matches": lambda t, s: checks.check_rules("matches", incoming.raw_matches(s)),
     "check_settlement": lambda t, s: checks.check_settlement(t, _played(t)),
+    # one key or one owner
+    "match_catalog_one": lambda t, s: _match_catalog(t, ONE_MATCH),
+    "user_match_history_own": lambda t, s: users.user_match_history(t, ONE_USER),
+    "user_stand_distribution_own": lambda t, s: users.user_stand_distribution(t, ONE_USER),
+    "user_recent_purchases_own": lambda t, s: users.user_recent_purchases(t, ONE_USER),
+    "ticket_listing_own": lambda t, s: listings.ticket_listing(t, user_id=ONE_USER),
+    "transaction_listing_own": lambda t, s: listings.transaction_listing(t, user_id=ONE_USER),
+    "transaction_details_one": lambda t, s: _transaction_details(t, ONE_TRANSACTION),
+    "match_scoreboard_one": lambda t, s: _match_scoreboard(t, ONE_MATCH),
+    "match_timeline_one": lambda t, s: simulations.match_timeline(t, ONE_MATCH),
+    "match_event_summary_one": lambda t, s: simulations.match_event_summary(t, ONE_MATCH),
+    "simulation_events_one": lambda t, s: simulations.simulation_events(t, 100 * ONE_MATCH),
+    "entity_listing_one": lambda t, s: listings.entity_listing(t, "teams", ONE_TEAM),
 }
 
 
