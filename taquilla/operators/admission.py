@@ -77,16 +77,32 @@ def check_requests(t: Tables, requests: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("taken"))
     )
     has_stand = ~_missing(F.col("id_match_stand_price"))
-    # requests without a stand share one NULL key and are spread over buckets instead
-    bucket = F.when(has_stand, 0).otherwise(F.pmod(F.xxhash64("id"), F.lit(1024)))
-    zero = F.pmod(F.xxhash64("taken_price"), F.lit(1))
-    spread_taken = taken.withColumn("taken_bucket", zero)
+    # requests without a stand, or without a user, share one NULL key; they are spread over
+    # buckets instead, and all others are in bucket 0
+    spread = F.pmod(F.xxhash64("id"), F.lit(1024))
+    bucket = F.when(has_stand, 0).otherwise(spread)
+    user_bucket = F.when(F.col("id_users").isNotNull(), 0).otherwise(spread)
+
+    def zero(column: str) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(1))
+
+    users = users.withColumn("known_user_bucket", zero("known_user"))
+    prices = prices.withColumn("known_bucket", zero("known_price"))
+    spread_taken = taken.withColumn("taken_bucket", zero("taken_price"))
     known = (
-        requests.withColumn("bucket", bucket)
+        requests.withColumns({"bucket": bucket, "user_bucket": user_bucket})
         .join(lookup_side(matches), F.col("id_matches") == F.col("known_match"), "left")
-        .join(users, F.col("id_users") == F.col("known_user"), "left")
         .join(
-            lookup_side(prices), F.col("id_match_stand_price") == F.col("known_price"), "left"
+            users,
+            (F.col("id_users") == F.col("known_user"))
+            & (F.col("user_bucket") == F.col("known_user_bucket")),
+            "left",
+        )
+        .join(
+            lookup_side(prices),
+            (F.col("id_match_stand_price") == F.col("known_price"))
+            & (F.col("bucket") == F.col("known_bucket")),
+            "left",
         )
         .join(
             spread_taken,
