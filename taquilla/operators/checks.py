@@ -17,6 +17,7 @@ from taquilla.sources.schemas import (
     IDENTIFICATION_TYPES,
     MATCH_STATES,
     ROLES,
+    TABLE_ORDER,
     TEXT_LIMITS,
     TICKET_STATES,
     UNIQUE_COLUMNS,
@@ -61,6 +62,12 @@ _REQUEST_KEYS = tuple(
 )
 
 
+def _known(table: str) -> None:
+    """A misspelt table would have no rules and pass every check."""
+    if table != "purchase_requests" and table not in TABLE_ORDER:
+        raise ValueError(f"no rules are known for a table {table!r}")
+
+
 def _violations(rows: DataFrame, rules: list[tuple[str, str, Column]]) -> DataFrame:
     """One narrow pass over the rows for any number of (field, rule, condition)."""
     found = [
@@ -76,7 +83,7 @@ def _violations(rows: DataFrame, rules: list[tuple[str, str, Column]]) -> DataFr
 
 def check_required(table: str, rows: DataFrame) -> DataFrame:
     """Mandatory fields. A key is missing when NULL or ''; a numeric key may be 0."""
-
+    _known(table)
     def falsy(field: str) -> Column:
         dtype, column = rows.schema[field].dataType, F.col(field)
         if isinstance(dtype, T.StringType):
@@ -90,6 +97,7 @@ def check_required(table: str, rows: DataFrame) -> DataFrame:
 
 def check_domain(table: str, rows: DataFrame) -> DataFrame:
     """Enumerated columns; NULL is allowed."""
+    _known(table)
     return _violations(
         rows,
         [
@@ -105,6 +113,7 @@ def check_references(t: Tables, table: str, rows: DataFrame) -> DataFrame:
     The distinct keys are looked up, not the rows, so a key on very many rows is one row in
     the join; the rows are then met with the keys that are missing.
     """
+    _known(table)
     missing = []
     for child, column, parent in (*FOREIGN_KEYS, *_REQUEST_KEYS):
         if child == table and column in rows.columns:
@@ -129,6 +138,7 @@ def check_unique(table: str, rows: DataFrame, existing: DataFrame | None = None)
     Values are counted first, so one that very many rows share is a single row in the join
     that finds its owners.
     """
+    _known(table)
     found = []
     for column in UNIQUE_COLUMNS.get(table, ()):
         if column not in rows.columns:
@@ -162,6 +172,7 @@ def check_unique(table: str, rows: DataFrame, existing: DataFrame | None = None)
 
 def check_shape(table: str, rows: DataFrame) -> DataFrame:
     """E-mail form, text lengths, capacity; NULL is left to the required check."""
+    _known(table)
     rules = []
     if table == "users" and "email" in rows.columns:
         rules.append(("email", "not an e-mail", ~F.col("email").rlike(EMAIL_PATTERN)))
@@ -181,6 +192,7 @@ def check_shape(table: str, rows: DataFrame) -> DataFrame:
 
 def check_rules(table: str, rows: DataFrame) -> DataFrame:
     """Rules between columns: two different teams, 1 to 10 tickets per request."""
+    _known(table)
     rules = {
         "matches": [
             (

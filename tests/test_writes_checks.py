@@ -361,3 +361,18 @@ def test_tables_survive_a_round_trip(make_tables, spark, tmp_path):
 def test_simulated_fixture_has_clean_references(make_tables):
     t = simulated(make_tables)
     assert checks.check_references(t, "simulations_events", t.simulations_events).isEmpty()
+
+
+def test_an_unknown_table_is_an_error(make_tables):
+    t = make_tables()
+    for check in (
+        checks.check_required,
+        checks.check_domain,
+        checks.check_unique,
+        checks.check_shape,
+        checks.check_rules,
+    ):
+        with pytest.raises(ValueError, match="matchs"):
+            check("matchs", t.matches)
+    with pytest.raises(ValueError, match="matchs"):
+        checks.check_references(t, "matchs", t.matches)
