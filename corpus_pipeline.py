@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from taquilla.llm import near_dedup, packing, quality_model, quality_rules, substring_dedup
 from taquilla.llm.common import prepare, table, written
 
+# The stage's own rule. A pair right at 0.8 shares no key with a chance of 3.8e-7.
+NEAR_COPY = near_dedup.Rule(shingle=5, percent=80, symbols=80, chunks=18)
+
 
 def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier takes for good."""
@@ -29,9 +32,9 @@ def ruled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near-duplicates, that with the least id."""
+    """Of documents that share 0.8 of their five-word runs, that with the least id."""
     prepare(spark)
-    return near_dedup.without_copies(docs)
+    return near_dedup.without_copies(docs, NEAR_COPY)
 
 
 def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

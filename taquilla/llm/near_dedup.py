@@ -1,11 +1,14 @@
 """Near-duplicate components: MinHash signatures under a multi-index Hamming join.
 
-1. A document's set is its distinct ``SHINGLE``-word runs in lower case. Documents with one and
+A ``Rule`` says how many words a shingle has, which similarity links, and how signatures are cut.
+
+1. A document's set is its distinct runs of ``shingle`` words in lower case. Documents with one and
    the same set are one node, named by the smallest id; copies go no further.
-2. A node's signature has ``SYMBOLS`` minima of 16 bits. Two nodes whose similarity is at the
-   threshold differ in ``DISTANCE`` symbols or fewer but for about one pair in a million.
-3. Signatures are split into ``CHUNKS`` chunks. By the pigeonhole principle two that differ in at
-   most ``DISTANCE = 2 * CHUNKS - 1`` symbols have a chunk with at most one difference. Every chunk
+2. A node's signature has ``symbols`` minima of 16 bits. Two nodes whose similarity is at the
+   threshold differ in more than ``distance`` symbols with the chance ``Rule.missed``: 8.8e-6 by
+   the default rule.
+3. Signatures are split into ``chunks`` chunks. By the pigeonhole principle two that differ in at
+   most ``distance = 2 * chunks - 1`` symbols have a chunk with at most one difference. Every chunk
    is looked up with each one of its symbols left out, so all such pairs share a key, for certain.
 4. Nodes under one key are candidates. All pairs of a key are not formed: first every node meets
    the key's least node, and links that hold on the full sets join components; then those still
@@ -24,6 +27,9 @@ row is a link of the id. NULL id: linked with nothing, component NULL, kept.
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -52,9 +58,40 @@ DISTANCE = 2 * CHUNKS - 1
 DIRECT = 16  # members of a key whose pairs are formed without a look at their shingles
 _COLUMNS = 1 << 16  # shingles of a document hashed at a time
 
-_random = np.random.default_rng(20)
-_TIMES = _random.integers(0, 1 << 63, SYMBOLS, np.uint64) * np.uint64(2) + np.uint64(1)
-_FLIPS = _random.integers(0, 1 << 63, SYMBOLS, np.uint64)
+
+@dataclass(frozen=True)
+class Rule:
+    """Which documents are linked, and the signatures by which they are found."""
+
+    shingle: int = SHINGLE
+    percent: int = PERCENT
+    symbols: int = SYMBOLS
+    chunks: int = CHUNKS
+
+    @property
+    def distance(self) -> int:
+        return 2 * self.chunks - 1
+
+    @property
+    def missed(self) -> float:
+        """Chance that a pair right at the threshold shares no key."""
+        p, n = 1 - self.percent / 100, self.symbols
+        return sum(
+            math.comb(n, d) * p**d * (1 - p) ** (n - d) for d in range(self.distance + 1, n + 1)
+        )
+
+    def similar(self, both, union):
+        return 100 * both >= self.percent * union
+
+
+DEFAULT = Rule()
+
+
+def _random(symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and flips of the hash functions behind the symbols."""
+    random = np.random.default_rng(20)
+    times = random.integers(0, 1 << 63, symbols, np.uint64) * np.uint64(2) + np.uint64(1)
+    return times, random.integers(0, 1 << 63, symbols, np.uint64)
 
 
 def shingle_hashes(data: bytes, known: Remembered, size: int = SHINGLE) -> np.ndarray:
@@ -68,21 +105,23 @@ def shingle_hashes(data: bytes, known: Remembered, size: int = SHINGLE) -> np.nd
     return np.unique(Spans(words).of(starts, starts + size))
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    least = np.full(SYMBOLS, np.iinfo(np.uint64).max, np.uint64)
+def signature(shingles: np.ndarray, functions: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    times, flips = functions
+    least = np.full(len(times), np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(shingles), _COLUMNS):
-        part = (shingles[at : at + _COLUMNS][None, :] ^ _FLIPS[:, None]) * _TIMES[:, None]
+        part = (shingles[at : at + _COLUMNS][None, :] ^ flips[:, None]) * times[:, None]
         np.minimum(least, part.min(axis=1), out=least)
     return (mixed(least) & np.uint64(0xFFFF)).astype(np.uint16)
 
 
-def index_keys(signatures: np.ndarray) -> np.ndarray:
-    """One key per chunk and left-out symbol: an array of ``SYMBOLS`` keys per signature."""
+def index_keys(signatures: np.ndarray, chunks: int = CHUNKS) -> np.ndarray:
+    """One key per chunk and left-out symbol: as many keys as symbols per signature."""
+    symbols = signatures.shape[1]
     wide = mixed(
-        signatures.astype(np.uint64) + (np.arange(SYMBOLS, dtype=np.uint64) << np.uint64(32))
+        signatures.astype(np.uint64) + (np.arange(symbols, dtype=np.uint64) << np.uint64(32))
     )
     keys = np.empty(wide.shape, np.uint64)
-    for places in np.array_split(np.arange(SYMBOLS), CHUNKS):
+    for places in np.array_split(np.arange(symbols), chunks):
         together = wide[:, places].sum(axis=1, dtype=np.uint64)
         for place in places:
             left_out = np.uint64((0x9E3779B97F4A7C15 * (int(place) + 1)) % (1 << 64))
@@ -90,18 +129,18 @@ def index_keys(signatures: np.ndarray) -> np.ndarray:
     return keys
 
 
-def _sets(docs: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, rule: Rule = DEFAULT) -> DataFrame:
     """Size, identity and signature of every document's set."""
 
     def run(batches):
-        known = word_hashes()
+        known, functions = word_hashes(), _random(rule.symbols)
         for part in slices(batches):
             sizes, names, signatures = [], [], []
             for text in part.column("text").to_pylist():
-                found = shingle_hashes((text or "").encode(), known)
+                found = shingle_hashes((text or "").encode(), known, rule.shingle)
                 sizes.append(len(found))
                 names.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
-                signatures.append(signature(found).tobytes() if len(found) else None)
+                signatures.append(signature(found, functions).tobytes() if len(found) else None)
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"),
@@ -117,18 +156,19 @@ def _sets(docs: DataFrame) -> DataFrame:
     )
 
 
-def _keys(nodes: DataFrame) -> DataFrame:
+def _keys(nodes: DataFrame, rule: Rule = DEFAULT) -> DataFrame:
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             raw = b"".join(batch.column("signature").to_pylist())
-            keys = index_keys(np.frombuffer(raw, np.uint16).reshape(-1, SYMBOLS))
+            signatures = np.frombuffer(raw, np.uint16).reshape(-1, rule.symbols)
+            keys = index_keys(signatures, rule.chunks)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(signed(keys.ravel())),
-                    pa.array(np.repeat(batch.column("node").to_numpy(), SYMBOLS)),
-                    pa.array(np.repeat(batch.column("n_shingles").to_numpy(), SYMBOLS)),
+                    pa.array(np.repeat(batch.column("node").to_numpy(), rule.symbols)),
+                    pa.array(np.repeat(batch.column("n_shingles").to_numpy(), rule.symbols)),
                 ],
                 names=["key", "node", "n_shingles"],
             )
@@ -138,7 +178,7 @@ def _keys(nodes: DataFrame) -> DataFrame:
     )
 
 
-def _linked(pairs: DataFrame, held: DataFrame) -> DataFrame:
+def _linked(pairs: DataFrame, held: DataFrame, rule: Rule = DEFAULT) -> DataFrame:
     """The pairs whose full sets reach the threshold."""
 
     def run(batches):
@@ -153,10 +193,10 @@ def _linked(pairs: DataFrame, held: DataFrame) -> DataFrame:
                 ):
                     if last != other:
                         last = other
-                        last_set = shingle_hashes(unpacked(other), known)
-                    first = shingle_hashes(unpacked(one), known)
+                        last_set = shingle_hashes(unpacked(other), known, rule.shingle)
+                    first = shingle_hashes(unpacked(one), known, rule.shingle)
                     both = len(np.intersect1d(first, last_set, assume_unique=True))
-                    if 100 * both >= PERCENT * (len(first) + len(last_set) - both):
+                    if rule.similar(both, len(first) + len(last_set) - both):
                         a.append(left)
                         b.append(right)
                 yield pa.RecordBatch.from_arrays(
@@ -213,9 +253,9 @@ def _pairs(rows: DataFrame, one: str, other: str) -> DataFrame:
     )
 
 
-def _links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def _links(nodes: DataFrame, docs: DataFrame, rule: Rule = DEFAULT) -> DataFrame:
     """Links that join the nodes into their components."""
-    keys = _keys(nodes)
+    keys = _keys(nodes, rule)
     several = (
         keys.groupBy("key")
         .agg(F.min("node").alias("least"), F.max("node").alias("most"))
@@ -231,17 +271,17 @@ def _links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     )
 
     tried = written(_pairs(members, "node", "least"))
-    links = written(_linked(tried, held))
+    links = written(_linked(tried, held, rule))
     for last in (False, True):
         joined = written(components(links))
         apart = _apart(members, joined)
-        pairs = _across(apart, held) if last else _with_picked(apart)
+        pairs = _across(apart, held, rule) if last else _with_picked(apart)
         fresh = written(pairs.join(tried, ["a", "b"], "left_anti"))
         if fresh.isEmpty():
             if not last:
                 continue
             break
-        links = written(links.unionByName(_linked(fresh, held)))
+        links = written(links.unionByName(_linked(fresh, held, rule)))
         tried = written(tried.unionByName(fresh))
     return links
 
@@ -269,16 +309,16 @@ def _with_picked(apart: DataFrame) -> DataFrame:
     return _pairs(apart.join(picked, "key").where("component <> there"), "node", "other")
 
 
-def _across(apart: DataFrame, held: DataFrame) -> DataFrame:
+def _across(apart: DataFrame, held: DataFrame, rule: Rule = DEFAULT) -> DataFrame:
     """Pairs of one key that lie in different components and may be similar."""
     counted = apart.groupBy("key").agg((F.count("*") > DIRECT).alias("large"))
     sized = apart.join(written(counted), "key")
     large = sized.where("large").select("node", "n_shingles", "component").distinct()
-    by_shingle = _pairs_by_shingle(written(large), held)
-    return _pairs_by_key(sized.where("not large")).unionByName(by_shingle).distinct()
+    by_shingle = _pairs_by_shingle(written(large), held, rule)
+    return _pairs_by_key(sized.where("not large"), rule).unionByName(by_shingle).distinct()
 
 
-def _pairs_by_key(apart: DataFrame) -> DataFrame:
+def _pairs_by_key(apart: DataFrame, rule: Rule = DEFAULT) -> DataFrame:
     """All pairs of one key in different components, of sizes that allow the similarity."""
     other = apart.select(
         "key",
@@ -289,12 +329,12 @@ def _pairs_by_key(apart: DataFrame) -> DataFrame:
     possible = (
         (F.col("node") < F.col("other"))
         & (F.col("component") != F.col("there"))
-        & (100 * F.least("n_shingles", "n_other") >= PERCENT * F.greatest("n_shingles", "n_other"))
+        & rule.similar(F.least("n_shingles", "n_other"), F.greatest("n_shingles", "n_other"))
     )
     return _pairs(apart.join(other, "key").where(possible), "node", "other")
 
 
-def _shingles(nodes: DataFrame, held: DataFrame) -> DataFrame:
+def _shingles(nodes: DataFrame, held: DataFrame, rule: Rule = DEFAULT) -> DataFrame:
     """A row per node and shingle."""
     kept = nodes.columns
 
@@ -303,7 +343,8 @@ def _shingles(nodes: DataFrame, held: DataFrame) -> DataFrame:
         for part in slices(batches):
             for one in range(part.num_rows):
                 row = part.slice(one, 1)
-                found = shingle_hashes(unpacked(row.column("text")[0].as_py()), known)
+                data = unpacked(row.column("text")[0].as_py())
+                found = shingle_hashes(data, known, rule.shingle)
                 for at in range(0, len(found), _COLUMNS):
                     some = found[at : at + _COLUMNS]
                     same = np.zeros(len(some), np.int64)
@@ -319,15 +360,15 @@ def _shingles(nodes: DataFrame, held: DataFrame) -> DataFrame:
     )
 
 
-def _pairs_by_shingle(nodes: DataFrame, held: DataFrame) -> DataFrame:
+def _pairs_by_shingle(nodes: DataFrame, held: DataFrame, rule: Rule = DEFAULT) -> DataFrame:
     """Pairs in different components that share a shingle early enough in the order by rarity.
 
     ``at`` is a shingle's place in its node's order. Shingles that one node alone has come first
     there; they pair nothing, so only their number is needed. A pair at the threshold has its
-    first common shingle within the first ``n - ceil(0.85 n) + 1`` of both, and from it on each
+    first common shingle within the first ``n - ceil(n * percent / 100) + 1`` of both, and from it on each
     has as many shingles as the two must share.
     """
-    spread = written(_shingles(nodes, held))
+    spread = written(_shingles(nodes, held, rule))
     often = spread.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1")
     common = spread.join(written(often), "shingle")
     mine = Window.partitionBy("node")
@@ -335,7 +376,7 @@ def _pairs_by_shingle(nodes: DataFrame, held: DataFrame) -> DataFrame:
     alone = F.col("n_shingles") - F.count("*").over(mine)
     early = written(
         common.select("node", "n_shingles", "component", "shingle", (alone + place).alias("at"))
-        .where(100 * (F.col("n_shingles") - F.col("at")) >= PERCENT * F.col("n_shingles"))
+        .where(rule.similar(F.col("n_shingles") - F.col("at"), F.col("n_shingles")))
     )
     # pairs inside the component that most nodes of a shingle belong to are not even looked at
     main = (
@@ -358,16 +399,16 @@ def _pairs_by_shingle(nodes: DataFrame, held: DataFrame) -> DataFrame:
     possible = (
         (F.col("component") != F.col("there"))
         & ((F.col("there") == F.col("main")) | (F.col("node") < F.col("other")))
-        & ((100 + PERCENT) * enough >= PERCENT * (F.col("n_shingles") + F.col("n_other")))
+        & rule.similar(enough, F.col("n_shingles") + F.col("n_other") - enough)
     )
     outside = placed.where("component <> main")
     return _pairs(outside.join(other, "shingle").where(possible), "node", "other")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, rule: Rule = DEFAULT) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` per row of ``docs``."""
     docs = texts(docs)
-    sets = written(_sets(docs))
+    sets = written(_sets(docs, rule))
     named = sets.where("doc_id is not null and name is not null")
     nodes = written(
         named.groupBy("name").agg(
@@ -377,7 +418,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         )
     )
     same = named.select("doc_id", "name").join(nodes.select("name", "node"), "name")
-    links = _links(nodes, docs)
+    links = _links(nodes, docs, rule)
     # an id's own copies, and the sets of other rows with that id, are links as well
     copies = same.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     by_id = written(components(links.unionByName(copies)))
@@ -391,9 +432,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def without_copies(docs: DataFrame) -> DataFrame:
+def without_copies(docs: DataFrame, rule: Rule = DEFAULT) -> DataFrame:
     """One document of each component: the rows whose id is the component's least."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__gone"))
+    gone = near_duplicates(docs, rule).where("not kept").select(F.col("doc_id").alias("__gone"))
     return docs.join(
         gone.distinct(), docs["doc_id"].cast("long") == F.col("__gone"), "left_anti"
     )
