@@ -2,7 +2,7 @@
 
 Document frequencies, the number of documents and their mean length are counted over the whole
 corpus, so a score does not depend on the shard. A shard is an inverted index of the documents
-dealt to it by a hash of their id. Its postings lie in blocks of ``BLOCK`` documents, and each
+dealt to it by a hash of their row. Its postings lie in blocks of ``BLOCK`` documents, and each
 term keeps its greatest contribution per block. As in WAND, a block's bounds over all query terms
 add up to the most any of its documents can score: the blocks that promise most are scored first,
 and those that cannot beat the k-th best found are skipped. Each shard returns its ``k`` best per
@@ -10,16 +10,20 @@ query, and the best of these are the exact result.
 
 Queries are documents: every word of the whole text, in lower case, counts as often as it occurs.
 A document is no result of its own query. Scores are rounded to nine places, ties go to the
-smaller id. Queries are sent to every shard; shards are bounded by their
-text.
+smaller id.
+
+A task has one shard and one block of queries. Shards are bounded by their uncompressed text and
+blocks by their terms, so neither grows with the corpus; their number does. Every shard is sent to
+every block and every block to every shard, and a shard is indexed once per block.
 
 Defined results. NULL or empty text: neither found nor a query with results. NULL id: no result
-and no query. Rows with one id: documents of their own, each may be found under that id.
+and no query. Rows with one id: documents of their own, each may be found under that id, and one
+query of all their words.
 """
 
 from __future__ import annotations
 
-import itertools
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -40,17 +44,21 @@ from taquilla.llm.common import (
 K1, B = 1.2, 0.75
 TOP = 10
 BLOCK = 64
-SHARD_BYTES = 12 << 20  # of compressed text
+SHARD_BYTES = 24 << 20  # of text before it is compressed
+ASKED_BYTES = 48 << 20  # of terms and weights of the queries in a block
+_TERM_BYTES = 16
 
 
 class Shard:
     """Inverted index of some documents."""
 
-    def __init__(self, ids: np.ndarray, words: list[list[bytes]], mean_length: float):
+    def __init__(self, ids: np.ndarray, words: Iterable[list[bytes]], mean_length: float):
         self.ids = ids
-        sizes = np.array([len(w) for w in words], np.int64)
-        terms = hashed(list(itertools.chain.from_iterable(words)), word_hashes())
-        doc = np.repeat(np.arange(len(words)), sizes)
+        known = word_hashes()
+        by_doc = [hashed(w, known) for w in words]  # the words of one document at a time
+        sizes = np.array([len(w) for w in by_doc], np.int64)
+        terms = np.concatenate([np.empty(0, np.uint64), *by_doc])
+        doc = np.repeat(np.arange(len(by_doc)), sizes)
         order = np.lexsort((doc, terms))
         terms, doc = terms[order], doc[order]
         new = np.ones(len(terms), bool)
@@ -151,7 +159,23 @@ def _terms(docs: DataFrame) -> DataFrame:
     )
 
 
-def search(docs: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
+def _dealt(rows: DataFrame, parts: int, name: str) -> DataFrame:
+    """Rows dealt to parts by a hash of ``row``, so that rows of one id are spread too."""
+    return rows.withColumn(name, F.pmod(F.xxhash64("row"), F.lit(parts).cast("long")))
+
+
+def _in_all(rows: DataFrame, parts: int, name: str) -> DataFrame:
+    every = F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))
+    return rows.withColumn(name, F.explode(every))
+
+
+def search(
+    docs: DataFrame,
+    queries: DataFrame,
+    top: int = TOP,
+    shard_bytes: int = SHARD_BYTES,
+    asked_bytes: int = ASKED_BYTES,
+) -> DataFrame:
     """The best ``top`` of ``docs`` per row of ``queries`` (``doc_id``, ``text``)."""
     docs = texts(docs).where("doc_id is not null and text is not null")
     asked = _terms(texts(queries).where("doc_id is not null and text is not null"))
@@ -161,27 +185,35 @@ def search(docs: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
             F.count("*").alias("df")
         )
     )
-    held = written(packed(docs).withColumn("size", F.length("text")))
+    sized = docs.withColumn("size", F.octet_length("text"))
+    held = written(packed(sized).withColumn("row", F.monotonically_increasing_id()))
     n_docs, size = held.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     n_words = all_terms.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     mean_length = max(1.0, n_words / max(1, n_docs))
-    shards = max(1, -(-size // SHARD_BYTES))
+    shards = max(1, -(-size // shard_bytes))
 
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = (
         asked.select("doc_id", F.explode(F.arrays_zip("terms", "counts")).alias("t"))
         .select("doc_id", F.col("t.terms").alias("term"), F.col("t.counts").alias("n"))
+        .groupBy("doc_id", "term")
+        .agg(F.sum("n").alias("n"))
         .join(frequencies, "term")
         .groupBy("doc_id")
         .agg(F.collect_list(F.struct("term", (F.col("n") * idf).alias("weight"))).alias("terms"))
     )
-    everywhere = written(weighted).withColumn(
-        "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))
-    )
-    dealt = held.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(shards).cast("long")).alias("shard"))
+    weighted = written(weighted.withColumn("row", F.monotonically_increasing_id()))
+    n_terms = weighted.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()[0]
+    blocks = max(1, -(-n_terms * _TERM_BYTES // asked_bytes))
+    own_side = _in_all(_dealt(held, shards, "shard"), blocks, "block")
+    asked_side = _in_all(_dealt(weighted, blocks, "block"), shards, "shard")
+
+    kinds = {"query_id": pa.int64(), "doc_id": pa.int64(), "score": pa.float64()}
 
     def run(key, own: pa.Table, asked_: pa.Table) -> pa.Table:
-        words = [unpacked(b).lower().split() for b in own.column("text").to_pylist()]
+        if not (own.num_rows and asked_.num_rows):
+            return pa.table({n: pa.array([], k) for n, k in kinds.items()})
+        words = (unpacked(b.as_py()).lower().split() for b in own.column("text"))
         index = Shard(own.column("doc_id").to_numpy(), words, mean_length)
         rows = {"query_id": [], "doc_id": [], "score": []}
         for i in range(asked_.num_rows):
@@ -197,12 +229,14 @@ def search(docs: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
                 rows["query_id"].append(query)
                 rows["doc_id"].append(doc_id)
                 rows["score"].append(-score)
-        kinds = (pa.int64(), pa.int64(), pa.float64())
-        return pa.table({n: pa.array(v, k) for (n, v), k in zip(rows.items(), kinds, strict=True)})
+        return pa.table({n: pa.array(rows[n], k) for n, k in kinds.items()})
 
     per_shard = (
-        dealt.groupBy("shard")
-        .cogroup(everywhere.select("shard", "doc_id", "terms").groupBy("shard"))
+        own_side.select("shard", "block", "doc_id", "text")
+        .groupBy("shard", "block")
+        .cogroup(
+            asked_side.select("shard", "block", "doc_id", "terms").groupBy("shard", "block")
+        )
         .applyInArrow(run, "query_id long, doc_id long, score double")
     )
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
