@@ -1,4 +1,4 @@
-"""Licence scan: canonical digests of whole texts and of their lines, looked up in a table.
+"""Licence scan: canonical digests of whole texts, paragraphs and lines, looked up in a table.
 
 Two texts that differ only in case, punctuation, spacing, copyright lines or equivalent spellings
 have one canonical form. Its SHA-256 is joined by hash to the digests of known licence texts and
@@ -6,6 +6,17 @@ notices. Everything is column expressions; lines meet the known digests where th
 only lines that match move. The known texts are a parameter: beyond the broadcast threshold the
 same join is shuffled.
 
+A known text of several lines may stand above, below or between other content, with other line
+breaks. Paragraphs are runs of lines that have words; a blank, punctuation-only or copyright line
+ends one. A known text is found where as many paragraphs in a row as it has make up its form, or
+where one paragraph of several lines does.
+A text wrapped so that a line begins with the word copyright is not found: it passes for a copyright
+line.
+
+The table is ``KNOWN`` and the files of ``license_texts``, named by licence: the texts of 17
+licences as published, and notices that they tell to put on files. It is no complete list: there
+is no Creative Commons text but CC0, no AGPL, EPL or OFL.
+
 Defined results. NULL or empty text: no licence. A text of copyright lines and punctuation alone
 is canonically empty and matches nothing. Rows with one id are one document, which holds the
 licences of all of them; so are rows with a NULL id.
@@ -14,6 +25,7 @@ licences of all of them; so are rows with a NULL id.
 from __future__ import annotations
 
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,7 +74,7 @@ EQUIVALENT = [
     ("per cent", "percent"),
     ("copyright owner", "copyright holder"),
 ]
-# Short licence texts and notices, as published.
+# Short licence texts and notices, as published; longer ones are files.
 KNOWN = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     (
@@ -144,19 +156,57 @@ def _equal_spellings(form: Column) -> Column:
     return F.trim(same)
 
 
+def _paragraphs(forms: Column) -> Column:
+    """Runs of lines with words; the lines of each are parted by a line end."""
+    runs = F.split(F.array_join(forms, "\n"), "\n\n+")
+    return F.array_remove(F.transform(runs, lambda x: F.trim(x, F.lit("\n"))), "")
+
+
+def _on_one_line(paragraph: Column) -> Column:
+    return F.replace(paragraph, F.lit("\n"), F.lit(" "))
+
+
+def _digest(form: Column) -> Column:
+    return F.sha2(_equal_spellings(form), 256)
+
+
+def _file_license(name: str) -> str:
+    """Licence of a file: ``MPL-2.0.txt`` and ``MPL-2.0.notice.txt`` are both ``MPL-2.0``."""
+    stem = name.removesuffix(".txt")
+    kind = stem.rpartition(".")[2]
+    return stem.removesuffix(f".{kind}") if kind.isalpha() else stem
+
+
+def known_rows() -> list[tuple[str, str]]:
+    files = sorted((Path(__file__).parent / "license_texts").glob("*.txt"))
+    return KNOWN + [(_file_license(f.name), f.read_text("utf-8")) for f in files]
+
+
 def known_texts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(KNOWN, "license string, text string")
+    return spark.createDataFrame(known_rows(), "license string, text string")
 
 
 def digests(known: DataFrame) -> DataFrame:
-    """One licence per canonical digest, the first by name of several, and the form's length."""
-    form = _equal_spellings(_whole(_line_forms(F.col("text")))).alias("form")
+    """One licence per canonical digest, the first by name of several, and the form's length.
+
+    ``starts`` has the ways to divide the text: digest of the first paragraph, and their number.
+    """
+    forms = _line_forms(F.col("text"))
+    form = _equal_spellings(_whole(forms)).alias("form")
+    paragraphs = F.col("paragraphs")
+    divided = F.struct(
+        _digest(_on_one_line(F.element_at(paragraphs, 1))).alias("first"),
+        F.size(paragraphs).alias("n"),
+    )
+    at_once = F.struct(F.sha2("form", 256).alias("first"), F.lit(1).alias("n"))
     return (
-        known.select("license", form)
+        known.select("license", form, _paragraphs(forms).alias("paragraphs"))
         .where("form <> ''")
+        .withColumn("starts", F.array(divided, at_once))
         .groupBy(F.sha2("form", 256).alias("digest"))
         .agg(
             F.min("license").alias("license"),
+            F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"),
             F.max(F.length("form")).alias("length"),
             F.min(F.substring_index("form", " ", 1)).alias("opening"),
         )
@@ -174,43 +224,89 @@ def _openings(canonical: set[str]) -> list[str]:
 
 
 def matches(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """Whole texts and lines that are a known one: ``doc_id``, ``line`` (NULL: whole), ``license``.
+    """What is a known text: ``doc_id``, ``line``, ``paragraph`` and ``license``.
+
+    ``line`` is the place of a line, ``paragraph`` that of the first of some paragraphs; both are
+    NULL where the whole text matches, and then its paragraphs together are no match of their own.
 
     A text's words are taken out once, line by line; the whole is its lines in a row. A form is
     digested only if it can match: no spelling shrinks to less than half by its equivalent, so it
     must not be over twice as long as every known form, and it must open with a word that one of
-    them opens with, or an equivalent of it.
+    them opens with, or an equivalent of it. What follows a paragraph is looked at only if that
+    paragraph begins a known text.
     """
     table = written(digests(known))
+    starts = table.select("digest", "license", F.explode("starts").alias("s"))
+    starts = written(starts.select("digest", "license", "s.first", "s.n"))
     rows, longest = table.agg(F.count("*"), F.max("length")).first()
+    most = starts.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     few = rows <= MOST_BROADCAST
-    possible = F.length("form").between(1, 2 * (longest or 0))
+    openings = firsts = None
     if few:
         openings = _openings({r["opening"] for r in table.select("opening").collect()})
-        possible &= F.substring_index("form", " ", 1).isin(openings)
+        firsts = [r["first"] for r in starts.select("first").distinct().collect()]
+
+    def possible(form: Column) -> Column:
+        fits = F.length(form).between(1, 2 * (longest or 0))
+        return fits & F.substring_index(form, " ", 1).isin(openings) if few else fits
+
+    def begins(form: Column) -> Column:
+        return possible(form) & _digest(form).isin(firsts) if few else possible(form)
+
+    none = F.lit(None).cast("int")
+
+    def unit(form: Column, line: Column = none, at: Column = none, rest: Column | None = None):
+        rest = F.lit(None).cast("array<string>") if rest is None else rest
+        names = {"form": form, "line": line, "paragraph": at, "rest": rest}
+        return F.struct(*(c.alias(n) for n, c in names.items()))
+
     units = docs.where(F.col("text").isNotNull()).select(
         F.col("doc_id").cast("long").alias("doc_id"), _line_forms(F.col("text")).alias("forms")
     )
-    whole = F.struct(F.lit(None).cast("int").alias("line"), _whole(F.col("forms")).alias("form"))
-    lines = F.transform("forms", lambda x, i: F.struct(i.alias("line"), x.alias("form")))
+    units = units.withColumn("paragraphs", _paragraphs(F.col("forms")))
+    lines = F.transform("forms", lambda x, i: unit(x, i))
+    numbered = F.transform(
+        "paragraphs", lambda x, i: F.struct(i.alias("at"), _on_one_line(x).alias("form"))
+    )
+    parts = F.transform(
+        F.filter(numbered, lambda p: begins(p["form"])),
+        lambda p: unit(p["form"], at=p["at"], rest=F.slice("paragraphs", p["at"] + 1, most)),
+    )
+    every = F.concat(F.array(unit(_whole(F.col("forms")))), lines, parts)
     # the outer form, as the inner one would make the lines a second time to see if there are any
     found = (
-        units.select("doc_id", F.explode_outer(F.concat(F.array(whole), lines)).alias("u"))
-        .select("doc_id", "u.line", "u.form")
-        .where(possible)
-        .select("doc_id", "line", F.sha2(_equal_spellings(F.col("form")), 256).alias("digest"))
+        units.select("doc_id", F.size("paragraphs").alias("total"), F.explode_outer(every).alias("u"))
+        .select("doc_id", "total", "u.*")
+        .where(possible(F.col("form")))
+        .withColumn("first", _digest(F.col("form")))
     )
-    side = table.select("digest", "license")
+
+    # n = 0: what a line or a whole text must be
+    entire = table.select("digest", "license", F.col("digest").alias("first"), F.lit(0).alias("n"))
+    side = entire.unionByName(starts)
     side = F.broadcast(side) if few else side
-    return found.join(side, "digest").drop("digest")
+    in_a_row = F.array_join(F.slice("rest", F.lit(1), F.col("n")), "\n")
+    together = (
+        (F.size("rest") >= F.col("n"))
+        & (F.col("n") < F.col("total"))
+        & in_a_row.contains("\n")
+        & (_digest(_on_one_line(in_a_row)) == F.col("digest"))
+    )
+    return (
+        found.join(side, "first")
+        .where(F.isnull("paragraph") == (F.col("n") == 0))
+        .where(F.isnull("paragraph") | together)
+        .select("doc_id", "line", "paragraph", "license")
+    )
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     """Per id: the licence its whole text is, its notices, and all licences found."""
     at = {"at": F.coalesce("doc_id", F.lit(0)), "no": F.isnull("doc_id")}  # NULL ids join too
+    place = F.coalesce("line", "paragraph")
     per_doc = matches(docs, known).withColumns(at).groupBy(*at).agg(
-        F.min(F.when(F.col("line").isNull(), F.col("license"))).alias("whole_license"),
-        F.count("line").alias("n_notices"),
+        F.min(F.when(F.isnull(place), F.col("license"))).alias("whole_license"),
+        F.count(place).alias("n_notices"),
         F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"),
     )
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
