@@ -5,7 +5,7 @@ A ``Rule`` says how many words a shingle has, which similarity links, and how si
 1. A document's set is its distinct runs of ``shingle`` words in lower case. Documents with one and
    the same set are one node, named by the smallest id; copies go no further.
 2. A node's signature has ``symbols`` minima of 16 bits. Two nodes whose similarity is at the
-   threshold differ in more than ``distance`` symbols with the chance ``Rule.missed``: 8.8e-6 by
+   threshold differ in more than ``distance`` symbols with the chance ``Rule.missed``: 6.3e-7 by
    the default rule.
 3. Signatures are split into ``chunks`` chunks. By the pigeonhole principle two that differ in at
    most ``distance = 2 * chunks - 1`` symbols have a chunk with at most one difference. Every chunk
@@ -53,7 +53,7 @@ from taquilla.llm.common import (
 SHINGLE = 3
 PERCENT = 85  # of the union that the intersection must reach
 SYMBOLS = 64
-CHUNKS = 12
+CHUNKS = 13
 DISTANCE = 2 * CHUNKS - 1
 DIRECT = 16  # members of a key whose pairs are formed without a look at their shingles
 _COLUMNS = 1 << 16  # shingles of a document hashed at a time

@@ -71,3 +71,7 @@ def test_signatures_of_the_stage_miss_less_than_one_pair_in_a_million():
     rule = corpus_pipeline.NEAR_COPY
     assert (rule.shingle, rule.percent) == (5, 80)
     assert near_dedup.DEFAULT == near_dedup.Rule(3, 85)
+
+
+def test_default_signatures_miss_less_than_one_pair_in_a_million():
+    assert near_dedup.DEFAULT.missed < 1e-6
