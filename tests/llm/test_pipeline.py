@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from taquilla.llm import near_dedup
@@ -75,3 +77,33 @@ def test_signatures_of_the_stage_miss_less_than_one_pair_in_a_million():
 
 def test_default_signatures_miss_less_than_one_pair_in_a_million():
     assert near_dedup.DEFAULT.missed < 1e-6
+
+
+def test_run_is_its_stages_in_order(spark, tmp_path):
+    """Against plain Python but for the classifier, whose scores come from the trained machine."""
+    rng = random.Random(5)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    base = [rng.choice(vocabulary) for _ in range(200)]
+    passage = [rng.choice(vocabulary) for _ in range(60)]
+    texts = [base, base + [rng.choice(vocabulary) for _ in range(40)], ["too", "short"]]
+    texts += [[rng.choice(vocabulary) for _ in range(80)] + passage for _ in range(3)]
+    rows = [(i, " ".join(t), "en", "s", None) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(0, 1), (3, 1), (99, 0)], "doc_id long, quality int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    judged = {r.doc_id for r in corpus_pipeline.classified(spark, docs, str(tmp_path)).collect()}
+    ruled = [r for r in rows if r[0] in judged and len(r[1].split()) >= 50]
+    left = least_of_components(ruled)
+    first, expected = {}, {}
+    for d, text, *_ in sorted(r for r in ruled if r[0] in left):
+        w, gone = text.split(), set()
+        for i in range(len(w) - 49):
+            if first.setdefault(tuple(w[i : i + 50]), d) < d:
+                gone |= set(range(i, i + 50))
+        expected[d] = " ".join(x for i, x in enumerate(w) if i not in gone)
+    assert {0, 3, 4, 5} == set(expected) and len(expected[4].split()) == 80
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    sizes = {d: len(library.encode(t, add_special_tokens=False).ids) + 1 for d, t in expected.items()}
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.length for r in found} == sizes and len(found) == len(sizes)
