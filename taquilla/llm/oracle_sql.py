@@ -185,9 +185,20 @@ SELECT d.doc_id, whole_license, coalesce(n_notices, 0)::BIGINT AS n_notices,
 FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN per_doc p ON d.doc_id = p.doc_id
 """
 
+EXACT_DEDUP = r"""
+WITH forms AS (
+  SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS form FROM documents
+), groups AS (
+  SELECT form, min(doc_id) AS keep_id, count(*) AS group_size FROM forms GROUP BY form
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(form) AS text_sha256
+FROM forms JOIN groups USING (form)
+"""
+
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": SUBSTRING_DEDUP,
     "op4_chat_formatting": CHAT_FORMATTING,
     "op7_quality_rules": QUALITY_RULES,
     "op10_license_scan": LICENSE_SCAN,
+    "op13_exact_dedup": EXACT_DEDUP,
 }

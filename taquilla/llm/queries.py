@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from taquilla.llm import (
     bpe,
     chat,
+    exact_dedup,
     licenses,
     lm_score,
     near_dedup,
@@ -91,6 +92,10 @@ def op9_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(prepare(spark), sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_substring_dedup,
@@ -103,5 +108,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_lm_scoring,
         op9_bpe_chunk_reuse,
         op10_license_scan,
+        op13_exact_dedup,
     )
 }
