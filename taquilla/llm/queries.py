@@ -19,6 +19,7 @@ from taquilla.llm import (
     quality_model,
     quality_rules,
     search,
+    spelling,
     substring_dedup,
 )
 from taquilla.llm.common import prepare, table
@@ -92,6 +93,10 @@ def op9_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(prepare(spark), sf_dir, "documents"))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(prepare(spark), sf_dir, "documents"))
 
@@ -108,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_lm_scoring,
         op9_bpe_chunk_reuse,
         op10_license_scan,
+        op12_spelling_variants,
         op13_exact_dedup,
     )
 }
