@@ -185,6 +185,47 @@ SELECT d.doc_id, whole_license, coalesce(n_notices, 0)::BIGINT AS n_notices,
 FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN per_doc p ON d.doc_id = p.doc_id
 """
 
+PHRASE_COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), places AS (
+  SELECT lang, w, unnest(range(1, len(w) + 1)) AS i
+  FROM (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces)
+), totals AS (
+  SELECT lang, count(*) AS n FROM places GROUP BY lang
+), f AS (
+  SELECT lang, size, phrase, count(*) AS f
+  FROM (SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase
+        FROM places CROSS JOIN (VALUES (1), (2), (3)) sizes(size) WHERE i + size - 1 <= len(w))
+  GROUP BY ALL HAVING count(*) >= 10
+), candidates AS (
+  SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE size >= 2
+), cuts AS (
+  SELECT c.lang, c.phrase, c.size, c.a, k, one.f AS l, two.f AS r,
+    (1000000::HUGEINT * c.a * c.a) // (one.f::HUGEINT * two.f) AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates) c
+  JOIN f one ON one.lang = c.lang AND one.phrase = array_to_string(w[1:k], ' ')
+  JOIN f two ON two.lang = c.lang AND two.phrase = array_to_string(w[k + 1:], ' ')
+), worst AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inside AS (
+  SELECT lang, phrase, max(a) AS longest
+  FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase
+        FROM candidates WHERE size = 3)
+  GROUP BY ALL
+), ranked AS (
+  SELECT v.*, row_number() OVER (
+    PARTITION BY v.lang ORDER BY score DESC, a DESC, encode(v.phrase)) AS rank
+  FROM worst v LEFT JOIN inside i ON i.lang = v.lang AND i.phrase = v.phrase
+  WHERE v.size = 3 OR longest IS NULL OR 100 * longest < 50 * a
+)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
 EXACT_DEDUP = r"""
 WITH forms AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS form FROM documents
@@ -200,5 +241,6 @@ ORACLES: dict[str, str] = {
     "op4_chat_formatting": CHAT_FORMATTING,
     "op7_quality_rules": QUALITY_RULES,
     "op10_license_scan": LICENSE_SCAN,
+    "op11_phrase_collocations": PHRASE_COLLOCATIONS,
     "op13_exact_dedup": EXACT_DEDUP,
 }

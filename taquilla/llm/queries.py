@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from taquilla.llm import (
     bpe,
     chat,
+    collocations,
     exact_dedup,
     licenses,
     lm_score,
@@ -93,6 +94,10 @@ def op9_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(prepare(spark), sf_dir, "documents"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(prepare(spark), sf_dir, "documents"))
 
@@ -113,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_lm_scoring,
         op9_bpe_chunk_reuse,
         op10_license_scan,
+        op11_phrase_collocations,
         op12_spelling_variants,
         op13_exact_dedup,
     )
