@@ -89,7 +89,8 @@ class Windows:
     def __init__(self, lang: str, tokens: list[bytes], known, maps: dict[int, np.ndarray]):
         self.words = hashed(tokens, known)
         self.maps = maps
-        self.hashes = mixed(self.words + np.uint64(xxhash.xxh3_64_intdigest(lang.encode())))
+        # a seed of its own: a language may be called like a word
+        self.hashes = mixed(self.words + np.uint64(xxhash.xxh3_64_intdigest(lang.encode(), seed=1)))
         self.open = self.words != np.uint64(known[_END])
         self.size = 1
 

@@ -22,7 +22,7 @@ def invented():
     texts = [None, "", " \t. ", "one", "New York City. new york city! NEW YORK" * 12, "a a a a a a a a a a a a a a a b"]
     texts += [" ".join(rng.choice(words) + rng.choice([" ", " ", "  ", "\t", ", ", ".", "\n", "\r\n", " ; "]) for _ in range(300)) for _ in range(30)]
     texts += ["of the state of the union is " * 300, "long" * 20_000 + " tail " + "long" * 20_000 + " tail"] * 5
-    langs = ["en", None, "und", "de", ""]
+    langs = ["w1", None, "und", "w2", ""]  # called like words
     rows = [(i, t, langs[i % 5], "p", 1, "w", 2) for i, t in enumerate(texts)]
     return rows + rows[10:14] + [(None, "new york city " * 3, "en", "p", 1, "w", 2)]
 
