@@ -60,6 +60,10 @@ SET_BYTES = 96 << 20
 MOST_GATHERED = 4 << 20
 MOST_NAMED = 1_000_000
 ROWS_PER_BATCH = 1 << 16
+# Tries: words have two digits of this radix; states that draw their places in one round.
+RADIX_BITS = 9
+RADIX = 1 << RADIX_BITS
+MOST_DRAWN = 50_000
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -199,11 +203,17 @@ def candidates(rows: DataFrame, most_words: int, least: int, bits: int) -> DataF
 # --- counts -------------------------------------------------------------------------------------
 
 
+def digits(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two symbols of every word number; of 0, which no word has, the symbol of no arc."""
+    known = numbers > 0
+    return known * ((numbers >> RADIX_BITS) + 1), known * ((numbers & (RADIX - 1)) + 1)
+
+
 class Trie:
-    """A double-array trie over words: ``check[base[state] + word] == state`` for every arc.
+    """A double-array trie: ``check[base[state] + symbol] == state`` for every arc.
 
-    States are places in the arrays; the first is the start. Words are numbered from 1, the most
-    used first, so that the arcs of a state lie close together.
+    Words are numbered, the most used first, and a word is two symbols, the digits of its number.
+    So a state has few arcs, close together. States are places in the arrays, the first the start.
     """
 
     def __init__(self, phrases: list[bytes]):
@@ -219,30 +229,27 @@ class Trie:
         ids = np.zeros((n, deepest), np.int64)
         for i, words in enumerate(split):
             ids[i, : len(words)] = [self.number[w] for w in words]
-        alphabet = len(self.number)
-        self.used = np.zeros(4 * alphabet + 1024, bool)
-        self.used[: alphabet + 1] = True  # never the place of an arc
-        self.base = np.zeros(len(self.used), np.int64)
-        self.check = np.full(len(self.used), -1, np.int64)
-        self.lowest = alphabet + 1
+        self.first = max(RADIX, (len(self.number) >> RADIX_BITS) + 1) + 1  # no arc ends before
+        self.lowest, self.chance = self.first, np.random.default_rng(0)
+        self.used = np.zeros(4 * self.first, bool)
+        self.base, self.check = np.zeros(4 * self.first, np.int64), np.full(4 * self.first, -1, np.int64)
+        self.used[: self.first] = True
         at = np.zeros(n, np.int64)  # the state each phrase has come to
         reached = []
         for depth in range(deepest):
             on = np.flatnonzero(sizes > depth)
-            arcs, back = np.unique(
-                at[on] * (alphabet + 1) + ids[on, depth], return_inverse=True
-            )
-            places = self._placed(arcs // (alphabet + 1), arcs % (alphabet + 1), alphabet)
-            at[on] = places[back]
+            for symbols in digits(ids[on, depth]):
+                arcs, back = np.unique(at[on] * self.first + symbols, return_inverse=True)
+                at[on] = self._placed(arcs // self.first, arcs % self.first)[back]
             whole = on[sizes[on] == depth + 1]
             reached.append((whole, at[whole]))
-        length = int(np.flatnonzero(self.used)[-1]) + alphabet + 2
+        length = int(np.flatnonzero(self.used)[-1]) + self.first + 1
         self._grown(length)
         self.base, self.check = (x[:length].astype(np.int32) for x in (self.base, self.check))
         self.accept = np.full(length, -1, np.int32)
         for whole, states in reached:
             self.accept[states] = whole
-        del self.used, self.lowest
+        del self.used
 
     def _grown(self, length: int) -> None:
         more = length - len(self.used)
@@ -252,59 +259,76 @@ class Trie:
             self.base = np.concatenate([self.base, np.zeros(more, np.int64)])
             self.check = np.concatenate([self.check, np.full(more, -1, np.int64)])
 
-    def _placed(self, parents: np.ndarray, words: np.ndarray, alphabet: int) -> np.ndarray:
+    def _placed(self, parents: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """Places for arcs sorted by parent; the parents with most arcs choose first."""
         starts = np.flatnonzero(np.r_[True, parents[1:] != parents[:-1]])
         sizes = np.diff(np.r_[starts, len(parents)])
         places = np.empty(len(parents), np.int64)
-        for i in np.argsort(-sizes, kind="stable"):
-            if sizes[i] == 1:
-                break
-            own = words[starts[i] : starts[i] + sizes[i]]
-            base = self._fit(own, alphabet)
-            span = slice(starts[i], starts[i] + sizes[i])
-            places[span] = base + own
-            self.used[places[span]] = True
-        single = starts[sizes == 1]
-        if len(single):
-            self._grown(self.lowest + int(self.used[self.lowest :].sum()) + len(single))
-            free = np.flatnonzero(~self.used[self.lowest :])[: len(single)] + self.lowest
-            places[single] = free
-            self.used[free] = True
-        self.base[parents] = places - words
+        for size in np.unique(sizes)[::-1].tolist():
+            rows = starts[sizes == size][:, None] + np.arange(size)
+            if size >= 32:
+                for row in rows:
+                    places[row] = self._fit(symbols[row]) + symbols[row]
+                    self.used[places[row]] = True
+            else:
+                places[rows] = self._fitted(symbols[rows])
+        self.base[parents] = places - symbols
         self.check[places] = parents
         return places
 
-    def _fit(self, words: np.ndarray, alphabet: int) -> int:
-        """The least base from the lowest free stretch on at which all arcs find a free place."""
-        width = max(32, min(4096, 400_000 // len(words)))
-        at = self.lowest
+    def _fit(self, symbols: np.ndarray) -> int:
+        """A base for one state with many arcs; a stretch without any is not tried again."""
         while True:
-            self._grown(at + width + alphabet + 2)
-            free = np.flatnonzero(~self.used[at : at + width]) + at
-            if at == self.lowest and len(free) < width // 16:
-                self.lowest += width // 2
-            bases = free - words[0]
-            for word in words[1:]:
-                bases = bases[~self.used[bases + word]]
-                if not len(bases):
-                    break
-            else:
-                if len(bases):
-                    return int(bases[0])
-            at += width
+            self._grown(self.lowest + 2 * self.first)
+            bases = np.flatnonzero(~self.used[self.lowest : self.lowest + 64]) + self.lowest - symbols[0]
+            if len(bases):
+                bases = bases[~self.used[bases[:, None] + symbols].any(1)]
+            if len(bases):
+                return int(bases[0])
+            self.lowest += 64
+
+    def _fitted(self, symbols: np.ndarray) -> np.ndarray:
+        """Places for states with equally many arcs, a row each, in rounds of drawn bases.
+
+        A state whose draw is taken, or claimed by a later row of the same round, draws again.
+        """
+        places = np.empty_like(symbols)
+        left = np.arange(len(symbols))
+        claimed_by = np.empty(0, np.int64)
+        while len(left):
+            free = np.flatnonzero(~self.used[: len(self.used) - self.first])
+            if len(free) < 2 * symbols.shape[1] * len(left):
+                self._grown(len(self.used) + 2 * symbols.shape[1] * len(left))
+                continue
+            tried = left[:MOST_DRAWN]
+            drawn = self.chance.choice(free, len(tried), replace=False)
+            own = (drawn - symbols[tried, 0])[:, None] + symbols[tried]
+            if len(claimed_by) < len(self.used):
+                claimed_by = np.empty(len(self.used), np.int64)
+            open_ = ~self.used[own].any(1)
+            claimed_by[own[open_]] = tried[open_][:, None]
+            open_ &= (claimed_by[own] == tried[:, None]).all(1)
+            places[tried[open_]] = own[open_]
+            self.used[own[open_]] = True
+            if open_.sum() < len(tried) // 16:
+                self._grown(len(self.used) + len(self.used) // 4)
+            left = np.r_[tried[~open_], left[MOST_DRAWN:]]
+        return places
 
     def counted(self, tokens: list[bytes], counts: np.ndarray) -> None:
         """Add the occurrences of every phrase to ``counts``."""
         ids = np.fromiter(map(self.number.get, tokens, repeat(0)), np.int64, len(tokens))
-        place, state = np.arange(len(ids)), np.zeros(len(ids), np.int64)
+        both = digits(ids)
+        place = np.flatnonzero(ids)
+        state = np.zeros(len(place), np.int64)
         while len(place):
-            word = ids[place]
-            following = self.base[state] + word
-            on = (word > 0) & (self.check[following] == state)
-            place, state = place[on] + 1, following[on]
+            for symbols in both:
+                following = self.base[state] + symbols[place]
+                on = self.check[following] == state
+                place, state = place[on], following[on]
             hits = self.accept[state]
             counts += np.bincount(hits[hits >= 0], minlength=len(counts))
+            place = place + 1
             inside = place < len(ids)
             place, state = place[inside], state[inside]
 
