@@ -60,10 +60,12 @@ SET_BYTES = 96 << 20
 MOST_GATHERED = 4 << 20
 MOST_NAMED = 1_000_000
 ROWS_PER_BATCH = 1 << 16
-# Tries: words have two digits of this radix; states that draw their places in one round.
+# Tries: words have two digits of this radix; states that draw their places in one round, and
+# that are too few to draw.
 RADIX_BITS = 9
 RADIX = 1 << RADIX_BITS
 MOST_DRAWN = 50_000
+FEW_LEFT = 200
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -290,12 +292,13 @@ class Trie:
     def _fitted(self, symbols: np.ndarray) -> np.ndarray:
         """Places for states with equally many arcs, a row each, in rounds of drawn bases.
 
-        A state whose draw is taken, or claimed by a later row of the same round, draws again.
+        A state whose draw is taken, or claimed by a later row of the same round, draws again; the
+        last few look for a base one by one.
         """
         places = np.empty_like(symbols)
         left = np.arange(len(symbols))
         claimed_by = np.empty(0, np.int64)
-        while len(left):
+        while len(left) > FEW_LEFT:
             free = np.flatnonzero(~self.used[: len(self.used) - self.first])
             if len(free) < 2 * symbols.shape[1] * len(left):
                 self._grown(len(self.used) + 2 * symbols.shape[1] * len(left))
@@ -313,6 +316,9 @@ class Trie:
             if open_.sum() < len(tried) // 16:
                 self._grown(len(self.used) + len(self.used) // 4)
             left = np.r_[tried[~open_], left[MOST_DRAWN:]]
+        for row in left:
+            places[row] = self._fit(symbols[row]) + symbols[row]
+            self.used[places[row]] = True
         return places
 
     def counted(self, tokens: list[bytes], counts: np.ndarray) -> None:
