@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,20 +42,33 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, which the cluster names in ``spark.checkpoint.dir``.
+
+    Only a local session, which has no other machine to share with, may fall back to a folder of
+    its own.
+    """
+    context = spark.sparkContext
+    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="taquilla-checkpoint-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def step_folder(spark: SparkSession) -> str:
+    """A folder of its own below the shared one."""
+    return f"{shared_folder(spark)}/taquilla-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and go on from the files.
 
     Used where a small rollup of a large table feeds several branches of one result: the
-    large table is then read once, and a lost executor costs no second pass. The folder is
-    the one the cluster names in ``spark.checkpoint.dir``; only a local session, which has
-    no other machine to share with, may fall back to a folder of its own.
+    large table is then read once, and a lost executor costs no second pass.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="taquilla-checkpoint-")
-        context.setCheckpointDir(folder)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -59,19 +59,17 @@ def read_tables(spark: SparkSession, path: str, key: T.DataType | None = None) -
     return Tables(spark, **{name: partial(opener, name) for name in TABLE_ORDER})
 
 
-def write_table(
-    name: str, rows: DataFrame, path: str, mode: str = "append", writers_per_day: int = 16
-) -> None:
-    """Append rows to a stored table, or write a new version of it to an empty ``path``.
+def write_table(name: str, rows: DataFrame, path: str, mode: str = "append") -> None:
+    """Append rows to a plain stored table, or write it to an empty ``path``.
 
-    A new version must not be written over the folder it is computed from.
+    It must not be written over the folder it is computed from. ``sources.versions`` keeps tables
+    whose readers see a change whole and whose rewrites touch only the files concerned.
     """
     if name == "tickets":
         laid_out = rows.withColumn(PURCHASE_DAY, F.to_date("purchased_at"))
-        # Rows of one day go to a few writers, not to every task, and not to a single one:
-        # the second key spreads a day that holds a large share of all sales.
-        spread = F.pmod(F.xxhash64("id"), F.lit(writers_per_day))
-        writer = laid_out.repartition(F.col(PURCHASE_DAY), spread).write.partitionBy(PURCHASE_DAY)
+        # Spark splits a day that holds a large share of all sales by its measured bytes, and
+        # lets small days share a task.
+        writer = laid_out.hint("rebalance", F.col(PURCHASE_DAY)).write.partitionBy(PURCHASE_DAY)
     else:
         writer = rows.write
     writer.mode(mode).parquet(f"{path}/{name}")

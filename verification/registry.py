@@ -23,13 +23,15 @@ from taquilla.operators import (
     occupancy,
     reports,
     simulations,
+    stored,
     users,
     writes,
 )
-from taquilla.session import prepare
+from taquilla.session import prepare, step_folder
 from taquilla.sources.binding import AS_OF, StarFolder, bind
 from taquilla.sources.schemas import TABLE_ORDER
 from taquilla.sources.tables import Tables
+from taquilla.sources.versions import StoredTable
 from verification import incoming
 from verification.oracle_sql import (
     NULLABLE_WHOLE,
@@ -159,6 +161,44 @@ def _settled_rows(t: Tables) -> DataFrame:
     ).unionByName(after.tickets.select(F.lit("tickets").alias("table_name"), "id", "state"))
 
 
+def _stored(t: Tables, folder: str, name: str) -> StoredTable:
+    """A table of the binding as the first version of a stored one."""
+    table = stored.stored_table(t.spark, folder, name, t[name].schema)
+    table.append(t[name])
+    return table
+
+
+def _append_tickets(t: Tables, star: StarFolder) -> DataFrame:
+    """The given tickets and those of the admitted requests, appended and read back."""
+    table = _stored(t, step_folder(t.spark), "tickets")
+    table.append(admission.admit_purchases(t, _requests(t, star)).tickets)
+    return table.read().drop(stored.PURCHASE_MONTH)
+
+
+def _patch_stored(t: Tables, star: StarFolder) -> DataFrame:
+    table = _stored(t, step_folder(t.spark), "transactions")
+    stored.patch_stored(table, "transactions", incoming.transaction_patches(star), is_admin=True)
+    return table.read()
+
+
+def _settle_stored(t: Tables) -> DataFrame:
+    folder = step_folder(t.spark)
+    kept = {name: _stored(t, folder, name) for name in ("matches", "tickets")}
+    stored.settle_stored(kept["matches"], kept["tickets"], _played(t))
+    parts = [
+        table.read().select(F.lit(name).alias("table_name"), F.col("id").cast("string").alias("id"), "state")
+        for name, table in kept.items()
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+def _delete_stored(t: Tables) -> DataFrame:
+    table = _stored(t, step_folder(t.spark), "tickets")
+    gone = t.users.filter(F.col("identification_type") == "TI").select(F.col("id").alias("id_users"))
+    stored.delete_stored(table, gone, "id_users")
+    return table.read().drop(stored.PURCHASE_MONTH)
+
+
 def _requests(t: Tables, star: StarFolder) -> DataFrame:
     return incoming.purchase_requests(star)
 
@@ -233,6 +273,10 @@ OPERATORS: dict[str, Callable[[Tables, StarFolder], DataFrame]] = {
     "provision_prices": lambda t, s: writes.provision_prices(t.matches, t.soccer_stands, NOW),
     "admit_purchases": lambda t, s: admission.admit_purchases(t, _requests(t, s)).decisions,
     "admit_purchases_tickets": lambda t, s: admission.admit_purchases(t, _requests(t, s)).tickets,
+    "append_tickets": _append_tickets,
+    "patch_stored": _patch_stored,
+    "settle_stored": lambda t, s: _settle_stored(t),
+    "delete_stored": lambda t, s: _delete_stored(t),
     "check_required_requests": lambda t, s: checks.check_required(
         "purchase_requests", _requests(t, s)
     ),
