@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from taquilla.functions.text import seat_text
 from taquilla.plans.dimensions import with_match, with_stand
 from taquilla.plans.nesting import with_children
+from taquilla.plans.pages import MOST_SORTED, page_of
 from taquilla.sources.tables import Tables, only, owner_scope
 
 HIDDEN_USER_COLUMNS = ("password",)
@@ -100,12 +101,12 @@ def entity_listing(t: Tables, table: str, key=None) -> DataFrame:
     return only(t[table], "id", key).drop(*HIDDEN_USER_COLUMNS)
 
 
-def paged_listing(t: Tables, table: str, page: int = 1, limit: int = 20) -> DataFrame:
+def paged_listing(
+    t: Tables, table: str, page: int = 1, limit: int = 20, most_sorted: int = MOST_SORTED
+) -> DataFrame:
     """One page of a table by id descending, with the total number of rows."""
-    rows = entity_listing(t, table)
-    total = rows.agg(F.count("*").alias("n"))
-    wanted = rows.orderBy(F.desc("id")).offset((page - 1) * limit).limit(limit)
-    return wanted.withColumn("total", total.scalar())
+    wanted, total = page_of(entity_listing(t, table), "id", page, limit, most_sorted)
+    return wanted.withColumn("total", F.lit(total).cast("long"))
 
 
 def page_events(t: Tables, page: int = 1, limit: int = 20) -> DataFrame:

@@ -247,6 +247,9 @@ OPERATORS: dict[str, Callable[[Tables, StarFolder], DataFrame]] = {
     "paged_listing_events": lambda t, s: listings.paged_listing(
         t, "simulations_events", page=3, limit=50
     ),
+    "paged_listing_deep": lambda t, s: listings.paged_listing(
+        t, "simulations_events", page=7, limit=50, most_sorted=60
+    ),
     # the last page holds the simulations with events
     "page_events": lambda t, s: listings.page_events(
         t, page=-(-t.match_simulations.count() // 20), limit=20
