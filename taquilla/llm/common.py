@@ -65,6 +65,14 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, lengthened until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """The two columns the operators read; other columns may have any name."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))

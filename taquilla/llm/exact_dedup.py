@@ -28,7 +28,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taquilla.llm.common import shared_folder, written
+from taquilla.llm.common import shared_folder, unused, written
 
 # Loads in which ``exact_duplicates`` adds a table.
 LOADS = 3
@@ -49,13 +49,6 @@ def buckets_for(texts: int) -> int:
     return max(LEAST_BUCKETS, math.ceil(texts / TEXTS_PER_BUCKET))
 
 
-def unused(name: str, columns: list[str]) -> str:
-    taken = {c.lower() for c in columns}
-    while name in taken:
-        name += "_"
-    return name
-
-
 class DigestIndex:
     """One row per distinct text: (digest, keep_id, load, place).
 

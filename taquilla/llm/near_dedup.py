@@ -46,6 +46,7 @@ from taquilla.llm.common import (
     slices,
     texts,
     unpacked,
+    unused,
     word_hashes,
     written,
 )
@@ -434,7 +435,6 @@ def near_duplicates(docs: DataFrame, rule: Rule = DEFAULT) -> DataFrame:
 
 def without_copies(docs: DataFrame, rule: Rule = DEFAULT) -> DataFrame:
     """One document of each component: the rows whose id is the component's least."""
-    gone = near_duplicates(docs, rule).where("not kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(
-        gone.distinct(), docs["doc_id"].cast("long") == F.col("__gone"), "left_anti"
-    )
+    own = unused("gone_id", docs.columns)
+    gone = near_duplicates(docs, rule).where("not kept").select(F.col("doc_id").alias(own))
+    return docs.join(gone.distinct(), docs["doc_id"].cast("long") == F.col(own), "left_anti")

@@ -25,11 +25,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from taquilla.llm.common import Remembered, hashed, slices, word_hashes
+from taquilla.llm.common import Remembered, hashed, slices, unused, word_hashes
 
 SAMPLE = 12_000
 BUCKETS = 1 << 14
@@ -201,12 +201,20 @@ def fit(f: Features, good: np.ndarray) -> Machine:
     return machine
 
 
+def _stated_size(docs: DataFrame) -> Column:
+    """``n_chars`` as a whole number; NULL where there is none, or a text that is no number."""
+    if "n_chars" not in docs.columns:
+        return F.lit(None).cast("long")
+    stated = F.col("n_chars")
+    is_text = isinstance(docs.schema["n_chars"].dataType, T.StringType)
+    return stated.try_cast("long") if is_text else stated.cast("long")
+
+
 def _columns(docs: DataFrame) -> list[Column]:
-    stated = F.col("n_chars") if "n_chars" in docs.columns else F.lit(None)
     return [
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text"),
-        stated.cast("long").alias("n_chars"),
+        _stated_size(docs).alias("n_chars"),
     ]
 
 
@@ -290,19 +298,14 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
 def without_rejected(docs: DataFrame, machine: Machine) -> DataFrame:
     """The rows of ``docs`` that the machine takes for good, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
-    stated = "n_chars" in docs.columns
+    size = unused("stated_size", docs.columns)
+    names = docs.columns
 
     def run(batches):
         known = word_hashes()
         for part in slices(batches):
-            lengths = (
-                pc.cast(part.column("n_chars"), pa.int64()).to_pylist()
-                if stated
-                else [None] * part.num_rows
-            )
-            found = scores(
-                features(part.column("text").to_pylist(), lengths, known), shared.value
-            )
-            yield part.filter(pa.array(found >= THRESHOLD))
+            texts, lengths = part.column("text").to_pylist(), part.column(size).to_pylist()
+            found = scores(features(texts, lengths, known), shared.value)
+            yield part.filter(pa.array(found >= THRESHOLD)).select(names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.withColumn(size, _stated_size(docs)).mapInArrow(run, docs.schema)

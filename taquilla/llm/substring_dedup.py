@@ -42,6 +42,7 @@ from taquilla.llm.common import (
     split_words,
     texts,
     unpacked,
+    unused,
     with_text,
     word_hashes,
     written,
@@ -228,14 +229,16 @@ def removed_words(
 
 
 def marked(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """All rows and columns of ``docs``, the text compressed, with what is to be removed."""
+    """All rows and columns of ``docs``, the text compressed, then what is to be removed.
+
+    The two columns more, pieces and edges, are the last, under names that ``docs`` does not use.
+    """
+    own_id, pieces, edges = (unused(name, docs.columns) for name in ("own_id", "pieces", "edges"))
     parts = repeated_parts(docs, window, anchor).select(
-        F.col("doc_id").alias("__id"),
-        F.col("pieces").alias("__pieces"),
-        F.col("edges").alias("__edges"),
+        F.col("doc_id").alias(own_id), F.col("pieces").alias(pieces), F.col("edges").alias(edges)
     )
     own = packed(docs)
-    return own.join(parts, own["doc_id"].cast("long") == parts["__id"], "left").drop("__id")
+    return own.join(parts, own["doc_id"].cast("long") == parts[own_id], "left").drop(own_id)
 
 
 def removed_rows(batches, window: int, anchor: int):
@@ -244,8 +247,8 @@ def removed_rows(batches, window: int, anchor: int):
     for part in slices(batches):
         listed = zip(
             part.column("text").to_pylist(),
-            part.column("__pieces").to_pylist(),
-            part.column("__edges").to_pylist(),
+            part.columns[-2].to_pylist(),
+            part.columns[-1].to_pylist(),
             strict=True,
         )
         rows = []
