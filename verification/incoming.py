@@ -140,3 +140,63 @@ def incoming_users(star: StarFolder) -> DataFrame:
         F.when(key % 5 == 0, "PP").otherwise("CC").alias("identification_type"),
         F.when(key % 6 == 0, "root").otherwise("usuario").alias("rol"),
     )
+
+
+def renamed_states(tickets: DataFrame) -> DataFrame:
+    """The tickets, some in a state that the domain does not have."""
+    odd = F.col("id_transaction") % 113 == 0
+    return tickets.withColumn("state", F.when(odd, "devuelto").otherwise(F.col("state")))
+
+
+def reissued_tickets(tickets: DataFrame) -> DataFrame:
+    """New tickets whose codes are taken, shared by the tickets of a sale, missing or new."""
+    key = F.col("id_transaction")
+    return tickets.select(
+        F.concat(F.lit("N"), "id").alias("id"),
+        F.when(key % 4 == 0, F.col("ticket_code"))
+        .when(key % 4 == 1, F.concat(F.lit("sale"), key.cast("string")))
+        .when(key % 4 == 2, F.concat(F.lit("N"), "id"))
+        .alias("ticket_code"),
+    )
+
+
+def raw_tickets(tickets: DataFrame) -> DataFrame:
+    """The tickets as sent: without state, moment or place here and there."""
+    key = F.col("id_transaction")
+    return tickets.withColumns(
+        {
+            "state": F.when(key % 3 != 0, F.col("state")),
+            "purchased_at": F.when(key % 5 != 0, F.col("purchased_at")),
+            "id_match_stand_price": F.when(key % 7 != 0, F.col("id_match_stand_price")),
+        }
+    )
+
+
+def raw_simulations(simulations: DataFrame) -> DataFrame:
+    """The simulations as sent: cards and goals of a half missing, possession 0."""
+    key = F.col("id_matches")
+    return simulations.withColumns(
+        {
+            "local_yellow_cards": F.when(key % 2 == 0, F.col("local_yellow_cards")),
+            "local_goals_first_half": F.when(key % 3 != 0, F.col("local_goals_first_half")),
+            "visitor_possession": F.when(key % 4 == 0, F.lit(0))
+            .otherwise(F.col("visitor_possession"))
+            .cast("decimal(5,2)"),
+            "created_at": F.when(key % 5 != 0, F.col("created_at")),
+        }
+    )
+
+
+def ticket_patches(tickets: DataFrame) -> DataFrame:
+    """A patch to two of three sales: state and price, and a seat, which may not change."""
+    key = F.col("id_transaction")
+    return tickets.where(key % 3 != 0).select(
+        "id",
+        F.lit(1).alias("seq"),
+        F.when(key % 3 == 1, F.array(F.lit("state"), F.lit("seat")))
+        .otherwise(F.array(F.lit("price")))
+        .alias("set_fields"),
+        F.lit("usado").alias("state"),
+        (F.col("price") + 1).cast("decimal(10,2)").alias("price"),
+        F.lit(0).alias("seat"),
+    )

@@ -199,6 +199,15 @@ def _delete_stored(t: Tables) -> DataFrame:
     return table.read().drop(stored.PURCHASE_MONTH)
 
 
+def _ticket_one(t: Tables) -> DataFrame:
+    first = t.tickets.agg(F.min("id")).first()[0]
+    return listings.ticket_listing(t, ticket_id=first, is_admin=True)
+
+
+def _cascade(t: Tables, table: str, gone: Column) -> DataFrame:
+    return _all_ids(writes.delete_cascade(t, table, t[table].filter(gone).select("id")))
+
+
 def _requests(t: Tables, star: StarFolder) -> DataFrame:
     return incoming.purchase_requests(star)
 
@@ -266,11 +275,28 @@ OPERATORS: dict[str, Callable[[Tables, StarFolder], DataFrame]] = {
     "apply_defaults_matches": lambda t, s: writes.apply_defaults(
         "matches", incoming.raw_matches(s), NOW
     ),
+    "apply_defaults_tickets": lambda t, s: writes.apply_defaults(
+        "tickets", incoming.raw_tickets(t.tickets), NOW
+    ),
+    "apply_defaults_simulations": lambda t, s: writes.apply_defaults(
+        "match_simulations", incoming.raw_simulations(t.match_simulations), NOW
+    ),
+    "patch_tickets": lambda t, s: writes.patch_rows(
+        "tickets", t.tickets, incoming.ticket_patches(t.tickets)
+    ),
     "patch_rows": lambda t, s: writes.patch_rows(
         "transactions", t.transactions, incoming.transaction_patches(s), is_admin=True
     ),
     "delete_cascade_teams": lambda t, s: _delete_teams(t),
     "delete_cascade_users": lambda t, s: _delete_users(t),
+    "delete_cascade_matches": lambda t, s: _cascade(t, "matches", F.col("id") % 6 == 0),
+    "delete_cascade_stands": lambda t, s: _cascade(t, "soccer_stands", F.col("name") == "Norte"),
+    "delete_cascade_prices": lambda t, s: _cascade(
+        t, "match_stand_prices", F.col("id_match") % 5 == 0
+    ),
+    "delete_cascade_transactions": lambda t, s: _cascade(
+        t, "transactions", F.col("number_tickets") == 2
+    ),
     "settle_matches": lambda t, s: _settled(t)[1],
     "settle_matches_rows": lambda t, s: _settled_rows(t),
     "provision_prices": lambda t, s: writes.provision_prices(t.matches, t.soccer_stands, NOW),
@@ -290,6 +316,10 @@ OPERATORS: dict[str, Callable[[Tables, StarFolder], DataFrame]] = {
         "simulations_events", t.simulations_events
     ),
     "check_domain_users": lambda t, s: checks.check_domain("users", incoming.incoming_users(s)),
+    "check_domain_tickets": lambda t, s: checks.check_domain(
+        "tickets", incoming.renamed_states(t.tickets)
+    ),
+    "check_domain_matches": lambda t, s: checks.check_domain("matches", incoming.raw_matches(s)),
     "check_references": lambda t, s: checks.check_references(
         t, "simulations_events", incoming.incoming_events(s)
     ),
@@ -300,6 +330,9 @@ OPERATORS: dict[str, Callable[[Tables, StarFolder], DataFrame]] = {
         t, "tickets", incoming.incoming_tickets(t.tickets)
     ),
     "check_unique": lambda t, s: checks.check_unique("users", incoming.incoming_users(s), t.users),
+    "check_unique_tickets": lambda t, s: checks.check_unique(
+        "tickets", incoming.reissued_tickets(t.tickets), t.tickets
+    ),
     "check_shape": lambda t, s: checks.check_shape("users", incoming.incoming_users(s)),
     "check_rules_requests": lambda t, s: checks.check_rules("purchase_requests", _requests(t, s)),
     "check_rules_matches": lambda t, s: checks.check_rules("matches", incoming.raw_matches(s)),
@@ -316,6 +349,14 @@ OPERATORS: dict[str, Callable[[Tables, StarFolder], DataFrame]] = {
     "match_timeline_one": lambda t, s: simulations.match_timeline(t, ONE_MATCH),
     "match_event_summary_one": lambda t, s: simulations.match_event_summary(t, ONE_MATCH),
     "simulation_events_one": lambda t, s: simulations.simulation_events(t, 100 * ONE_MATCH),
+    "user_purchase_summary_one": lambda t, s: users.user_purchase_summary(t, ONE_USER),
+    "match_occupancy_one": lambda t, s: occupancy.match_occupancy(t, ONE_MATCH),
+    "match_stand_summary_one": lambda t, s: occupancy.match_stand_summary(t, ONE_MATCH),
+    "match_stand_totals_one": lambda t, s: occupancy.match_stand_totals(t, ONE_MATCH),
+    "ticket_one": lambda t, s: _ticket_one(t),
+    "transaction_one": lambda t, s: listings.transaction_listing(
+        t, tx_id=ONE_TRANSACTION, is_admin=True
+    ),
     "entity_listing_one": lambda t, s: listings.entity_listing(t, "teams", ONE_TEAM),
 }
 
