@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 from taquilla.operators.checks import MOST_TICKETS_PER_REQUEST
 from taquilla.plans.dimensions import priced_stands
 from taquilla.plans.sizing import (
-    MOST_BROADCAST_KEYS,
-    counted_side,
     lookup_side,
-    written_and_counted,
+    marked,
+    measured_side,
+    written_and_measured,
 )
 from taquilla.session import cut_lineage
 from taquilla.sources.schemas import SOLD
@@ -224,7 +224,8 @@ def decide(checked: DataFrame) -> DataFrame:
         in_order.alias("accepted"),
         F.lit(None).cast("bigint").alias("places_left"),
     )
-    with_steps = contested.join(_steps(contested), GROUP, "left")
+    # written, so that beyond a broadcast the requests of a hot stand can be split over tasks
+    with_steps = contested.join(measured_side(_steps(contested)), GROUP, "left")
     before = F.filter(
         "steps",
         lambda s: F.struct(s["requested_at"], s["id"]) < F.struct("requested_at", "id"),
@@ -294,7 +295,7 @@ def _issue(t: Tables, accepted: DataFrame) -> DataFrame:
     def shared(codes: DataFrame, known: DataFrame) -> DataFrame:
         return known.join(codes.select("code"), "code", "left_semi").select("code")
 
-    draws = [counted_side(drawn.select("id", "n", _code(0).alias("code")))]
+    draws = [measured_side(drawn.select("id", "n", _code(0).alias("code")))]
     while True:
         last = draws[-1]
         counts = last.groupBy("code").agg(F.count("*").alias("times"))
@@ -304,14 +305,14 @@ def _issue(t: Tables, accepted: DataFrame) -> DataFrame:
                 later.select("id", "n"), ["id", "n"], "left_anti"
             )
             clashing = clashing.unionByName(kept.select("code"))
-        again, clashes = written_and_counted(
+        again, clashes, size = written_and_measured(
             last.join(clashing.distinct(), "code", "left_semi").select(
                 "id", "n", _code(len(draws)).alias("code")
             )
         )
         if not clashes:
             break
-        draws.append(F.broadcast(again) if clashes <= MOST_BROADCAST_KEYS else again)
+        draws.append(marked(again, size))
     if len(draws) == 1:
         return _tickets(drawn, F.lit(None).cast("string"))
     numbered = [d.withColumn("draw", F.lit(i)) for i, d in enumerate(draws[1:])]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from taquilla.functions.numeric import falsy_number, falsy_text
-from taquilla.plans.sizing import counted_side, lookup_side
+from taquilla.plans.rollups import stacked_keys
+from taquilla.plans.sizing import marked, measured_side, written_and_measured
 from taquilla.sources.schemas import (
     EVENT_TYPES,
     FINISHED,
@@ -68,6 +70,12 @@ def _known(table: str) -> None:
         raise ValueError(f"no rules are known for a table {table!r}")
 
 
+def _present(rows: DataFrame, columns: Iterable[str]) -> None:
+    absent = [c for c in columns if c not in rows.columns]
+    if absent:
+        raise ValueError(f"the rows lack {', '.join(absent)}")
+
+
 def _violations(rows: DataFrame, rules: list[tuple[str, str, Column]]) -> DataFrame:
     """One narrow pass over the rows for any number of (field, rule, condition)."""
     found = [
@@ -110,26 +118,35 @@ def check_domain(table: str, rows: DataFrame) -> DataFrame:
 def check_references(t: Tables, table: str, rows: DataFrame) -> DataFrame:
     """Foreign keys that point at no row. NULL refers to nothing and is fine.
 
-    The distinct keys are looked up, not the rows, so a key on very many rows is one row in
-    the join; the rows are then met with the keys that are missing.
+    All key columns go through one fold: a row per column and distinct key, however many rows
+    hold it, is looked up among the ids of the parents, on the same partitioning. Only if keys
+    are missing are the rows read a second time. Every key column must be there.
     """
     _known(table)
-    missing = []
-    for child, column, parent in (*FOREIGN_KEYS, *_REQUEST_KEYS):
-        if child == table and column in rows.columns:
-            referring = rows.select("id", F.col(column).alias("key")).filter(
-                F.col("key").isNotNull()
-            )
-            known = lookup_side(t[parent].select(F.col("id").alias("key")))
-            keys = referring.select("key").distinct().join(known, "key", "left_anti")
-            missing.append(
-                referring.join(counted_side(keys), "key", "left_semi").select(
-                    "id", F.lit(column).alias("field"), F.lit(f"no such row in {parent}").alias("rule")
-                )
-            )
-    if not missing:
+    parents = {
+        column: parent
+        for child, column, parent in (*FOREIGN_KEYS, *_REQUEST_KEYS)
+        if child == table
+    }
+    _present(rows, parents)
+    if not parents:
+        return _violations(rows, [])
+    referring = stacked_keys(rows, parents)
+    known = [
+        t[parent].select(F.lit(column).alias("field"), F.col("id").alias("key"))
+        for column, parent in parents.items()
+    ]
+    missing, n, size = written_and_measured(
+        referring.select("field", "key")
+        .distinct()
+        .join(reduce(DataFrame.unionByName, known), ["field", "key"], "left_anti")
+    )
+    if not n:
         return _violations(rows, [])
-    return reduce(DataFrame.unionByName, missing)
+    names = F.create_map(*[F.lit(v) for pair in parents.items() for v in pair])
+    return referring.join(marked(missing, size), ["field", "key"], "left_semi").select(
+        "id", "field", F.concat(F.lit("no such row in "), names[F.col("field")]).alias("rule")
+    )
 
 
 def check_unique(table: str, rows: DataFrame, existing: DataFrame | None = None) -> DataFrame:
@@ -146,13 +163,13 @@ def check_unique(table: str, rows: DataFrame, existing: DataFrame | None = None)
         valued = rows.select("id", F.col(column).alias("value")).filter(F.col("value").isNotNull())
         repeated = valued.groupBy("value").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
         found.append(
-            valued.join(counted_side(repeated.select("value")), "value", "left_semi").select(
+            valued.join(measured_side(repeated.select("value")), "value", "left_semi").select(
                 "id", F.lit(column).alias("field"), F.lit("repeated in batch").alias("rule")
             )
         )
         if existing is not None:
             # one row per stored value in question; a stored row is no clash with itself
-            asked = counted_side(valued.select("value").distinct())
+            asked = measured_side(valued.select("value").distinct())
             owners = (
                 existing.select("id", F.col(column).alias("value"))
                 .join(asked, "value", "left_semi")
@@ -191,29 +208,20 @@ def check_shape(table: str, rows: DataFrame) -> DataFrame:
 
 
 def check_rules(table: str, rows: DataFrame) -> DataFrame:
-    """Rules between columns: two different teams, 1 to 10 tickets per request."""
+    """Rules between columns: two different teams, 1 to 10 tickets per request.
+
+    Every column of a rule must be there; rows without it would pass unseen.
+    """
     _known(table)
-    rules = {
-        "matches": [
-            (
-                "id_team_visitor",
-                "same team twice",
-                F.col("id_team_local") == F.col("id_team_visitor")
-                if "id_team_local" in rows.columns
-                else F.lit(False),
-            )
-        ],
-        "purchase_requests": [
-            (
-                "quantity",
-                "not from 1 to 10",
-                ~F.col("quantity").between(1, MOST_TICKETS_PER_REQUEST)
-                if "quantity" in rows.columns
-                else F.lit(False),
-            )
-        ],
-    }
-    return _violations(rows, rules.get(table, []))
+    if table == "matches":
+        _present(rows, ("id_team_local", "id_team_visitor"))
+        same = F.col("id_team_local") == F.col("id_team_visitor")
+        return _violations(rows, [("id_team_visitor", "same team twice", same)])
+    if table == "purchase_requests":
+        _present(rows, ("quantity",))
+        outside = ~F.col("quantity").between(1, MOST_TICKETS_PER_REQUEST)
+        return _violations(rows, [("quantity", "not from 1 to 10", outside)])
+    return _violations(rows, [])
 
 
 def check_settlement(t: Tables, match_ids: DataFrame) -> DataFrame:

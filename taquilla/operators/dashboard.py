@@ -30,11 +30,43 @@ def _money_sum(value: Column) -> Column:
     return F.coalesce(F.sum(value), F.lit(0)).cast(MONEY)
 
 
-def daily_monthly_stats(t: Tables, as_of: dt.date) -> DataFrame:
+def recent_days(t: Tables, as_of: dt.date, days: int = REVENUE_DAYS) -> DataFrame:
+    """A row per day of sale since ``days`` days ago or the first of the month.
+
+    (day, tickets, todays_ids, revenue, transactions); what the sections below need of days.
+    """
+    today = F.to_date("purchased_at") == F.lit(as_of)
+    first = min(as_of - dt.timedelta(days=days), as_of.replace(day=1))
+    return (
+        bought_since(sold(t.tickets), first)
+        .groupBy(F.to_date("purchased_at").alias("day"))
+        .agg(
+            F.count("id").alias("tickets"),
+            F.count_distinct(F.when(today, F.col("id"))).alias("todays_ids"),
+            F.sum("price").alias("revenue"),
+            F.count_distinct("id_transaction").alias("transactions"),
+        )
+    )
+
+
+def _days_since(by_day: DataFrame, first: dt.date) -> DataFrame:
+    return by_day.filter(F.col("day") >= F.lit(first))
+
+
+def daily_monthly_stats(
+    t: Tables, as_of: dt.date, by_day: DataFrame | None = None
+) -> DataFrame:
     """One row: tickets and revenue of the day, revenue since the first of the month.
 
-    Nothing older than the month is read.
+    Nothing older than the month is read. The rollup ``recent_days`` may be handed in instead.
     """
+    if by_day is not None:
+        is_today = F.col("day") == F.lit(as_of)
+        return _days_since(by_day, as_of.replace(day=1)).agg(
+            F.coalesce(F.sum("todays_ids"), F.lit(0)).alias("daily_tickets_sold"),
+            _money_sum(F.when(is_today, F.col("revenue"))).alias("daily_revenue"),
+            _money_sum(F.col("revenue")).alias("monthly_revenue"),
+        )
     today = (F.col("purchased_at") >= F.lit(as_of)) & (
         F.col("purchased_at") < F.lit(as_of + dt.timedelta(days=1))
     )
@@ -132,13 +164,28 @@ def stand_comparison(t: Tables, sold_by_price: DataFrame | None = None) -> DataF
     )
 
 
-def sales_trend(t: Tables, as_of: dt.date, days: int = TREND_DAYS) -> DataFrame:
+def sales_trend(
+    t: Tables, as_of: dt.date, days: int = TREND_DAYS, by_day: DataFrame | None = None
+) -> DataFrame:
     """Tickets and revenue per day since ``days`` days ago; days without sales are absent."""
-    recent = bought_since(sold(t.tickets), as_of - dt.timedelta(days=days))
+    first = as_of - dt.timedelta(days=days)
+    if by_day is not None:
+        trend = _days_since(by_day, first).select(
+            F.col("day").alias("sale_date"),
+            F.col("tickets").alias("tickets_sold"),
+            F.coalesce("revenue", F.lit(0)).cast(MONEY).alias("daily_revenue"),
+        )
+    else:
+        trend = (
+            bought_since(sold(t.tickets), first)
+            .groupBy(F.to_date("purchased_at").alias("sale_date"))
+            .agg(
+                F.count("id").alias("tickets_sold"),
+                _money_sum(F.col("price")).alias("daily_revenue"),
+            )
+        )
     return (
-        recent.groupBy(F.to_date("purchased_at").alias("sale_date"))
-        .agg(F.count("id").alias("tickets_sold"), _money_sum(F.col("price")).alias("daily_revenue"))
-        .orderBy("sale_date")
+        trend.orderBy("sale_date")
         .select(
             "sale_date",
             weekday_name(F.col("sale_date")).alias("day_name"),
@@ -148,8 +195,17 @@ def sales_trend(t: Tables, as_of: dt.date, days: int = TREND_DAYS) -> DataFrame:
     )
 
 
-def daily_revenue(t: Tables, as_of: dt.date, days: int = REVENUE_DAYS) -> DataFrame:
+def daily_revenue(
+    t: Tables, as_of: dt.date, days: int = REVENUE_DAYS, by_day: DataFrame | None = None
+) -> DataFrame:
     """Revenue and distinct transactions per day since ``days`` days ago."""
+    if by_day is not None:
+        shown = _days_since(by_day, as_of - dt.timedelta(days=days)).select(
+            F.col("day").alias("sale_date"),
+            F.coalesce("revenue", F.lit(0)).cast(MONEY).alias("daily_revenue"),
+            F.col("transactions").alias("transactions_count"),
+        )
+        return shown.orderBy(F.desc("sale_date"))
     recent = bought_since(sold(t.tickets), as_of - dt.timedelta(days=days))
     return (
         recent.groupBy(F.to_date("purchased_at").alias("sale_date"))
@@ -168,17 +224,24 @@ def _sales_totals(t: Tables) -> DataFrame:
 
 
 def general_summary(
-    t: Tables, as_of: dt.date, totals: DataFrame | None = None, days: int = TREND_DAYS
+    t: Tables,
+    as_of: dt.date,
+    totals: DataFrame | None = None,
+    days: int = TREND_DAYS,
+    by_day: DataFrame | None = None,
 ) -> DataFrame:
     """One row of overall counts. The daily average is over days that had sales."""
     if totals is None:
         totals = _sales_totals(t)
-    per_day = (
-        bought_since(sold(t.tickets), as_of - dt.timedelta(days=days))
-        .groupBy(F.to_date("purchased_at").alias("day"))
-        .agg(F.count("id").alias("n"))
-    )
-    average = per_day.agg(F.coalesce(F.avg("n"), F.lit(0.0)).alias("average"))
+    first = as_of - dt.timedelta(days=days)
+    if by_day is None:
+        by_day = (
+            bought_since(sold(t.tickets), first)
+            .groupBy(F.to_date("purchased_at").alias("day"))
+            .agg(F.count("id").alias("tickets"))
+        )
+    per_day = _days_since(by_day, first)
+    average = per_day.agg(F.coalesce(F.avg("tickets"), F.lit(0.0)).alias("average"))
     return totals.select(
         active(t.matches).agg(F.count("*").alias("n")).scalar().alias("active_matches"),
         t.soccer_stands.agg(F.count("*").alias("n")).scalar().alias("total_stands"),
@@ -206,9 +269,11 @@ def dashboard_document(t: Tables, as_of: dt.date, k: int = 10) -> DataFrame:
 
     The arrays hold at most ``k`` matches, one entry per stand and one per day of the last
     weeks; nothing in them grows with the sales. The sold tickets of all time are read once
-    and folded per price row and match; three sections go on from that rollup.
+    and folded per price row and match; three sections go on from that rollup. Those of the
+    last weeks are read once more and folded per day; four sections go on from those days.
     """
     spark = t.spark
+    by_day = cut_lineage(recent_days(t, as_of))
     by_price = cut_lineage(tickets_by_price(sold(t.tickets)))
     by_match = by_price.groupBy("id_match").agg(F.sum("tickets").alias("tickets"))
     totals = by_price.agg(
@@ -227,9 +292,9 @@ def dashboard_document(t: Tables, as_of: dt.date, k: int = 10) -> DataFrame:
         F.col("match_id"),
     ]
     stands = stand_comparison(t, by_price)
-    trend = sales_trend(t, as_of)
-    revenue = daily_revenue(t, as_of)
-    stats = daily_monthly_stats(t, as_of).select(
+    trend = sales_trend(t, as_of, by_day=by_day)
+    revenue = daily_revenue(t, as_of, by_day=by_day)
+    stats = daily_monthly_stats(t, as_of, by_day).select(
         F.struct(
             F.col("daily_tickets_sold").alias("ticketsSold"),
             F.col("daily_revenue").alias("revenue"),
@@ -247,7 +312,7 @@ def dashboard_document(t: Tables, as_of: dt.date, k: int = 10) -> DataFrame:
         _rows(stands, by_share, stands.columns, True).scalar().alias("standComparison"),
         _rows(trend, [F.col("sale_date")], trend.columns, True).scalar().alias("salesTrend"),
         _rows(revenue, newest_first, revenue.columns, True).scalar().alias("dailyRevenue"),
-        general_summary(t, as_of, totals).select(F.struct("*")).scalar().alias("summary"),
+        general_summary(t, as_of, totals, by_day=by_day).select(F.struct("*")).scalar().alias("summary"),
     )
 
 

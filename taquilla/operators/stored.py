@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from taquilla.operators.writes import patch_rows
-from taquilla.plans.sizing import counted_side
+from taquilla.plans.sizing import measured_side
 from taquilla.sources.schemas import FINISHED, FOREIGN_KEYS, SOLD, USED
 from taquilla.sources.versions import StoredTable
 
@@ -35,7 +35,7 @@ def patch_stored(
 
 def delete_stored(table: StoredTable, keys: DataFrame, key: str = "id") -> tuple[int, list[str]]:
     """Rows whose ``key`` is among ``keys`` go. Rows with a NULL key stay and meet no join."""
-    gone = counted_side(keys.select(F.col(key).alias("gone")).where("gone IS NOT NULL").distinct())
+    gone = measured_side(keys.select(F.col(key).alias("gone")).where("gone IS NOT NULL").distinct())
 
     def rest(rows: DataFrame) -> DataFrame:
         keyed = rows.where(F.col(key).isNotNull()).join(gone, F.col(key) == F.col("gone"), "left_anti")
@@ -49,7 +49,7 @@ def settle_stored(
 ) -> tuple[int, int]:
     """Finish matches that are not finished yet; their sold tickets become used."""
     not_yet = matches.read().where(~F.col("state").eqNullSafe(FINISHED))
-    opened = counted_side(not_yet.join(match_ids.select("id").distinct(), "id", "left_semi").select("id"))
+    opened = measured_side(not_yet.join(match_ids.select("id").distinct(), "id", "left_semi").select("id"))
     settled = opened.select(F.col("id").alias("settled"))
 
     def finished(rows: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from taquilla.functions.text import (
     seat_text,
     versus,
 )
-from taquilla.plans.dimensions import priced_stands, with_match, with_stand
+from taquilla.plans.dimensions import match_facts, priced_stands, with_match, with_stand
 from taquilla.plans.nesting import with_totals
 from taquilla.plans.rollups import sold
 from taquilla.plans.sizing import lookup_side
@@ -166,12 +166,15 @@ def user_match_history(t: Tables, user_id=None) -> DataFrame:
     sides = [
         f"{side}_{field}" for side in ("local", "visitor") for field in ("name", "image_url")
     ]
-    history = with_match(
-        t,
-        with_stand(t, counted, "stand_name"),
-        ["id_team_local", "id_team_visitor", *sides]
-        + ["match_date", "match_hour", "match_stadium", "match_state"],
-        how="inner",
+    # texts of a match are made once per match, not per ticket
+    facts = match_facts(t).withColumns(
+        {
+            "date_formatted": long_date(F.col("match_date")),
+            "time_formatted": half_day_hour(F.col("match_hour")),
+        }
+    )
+    history = with_stand(t, counted, "stand_name").join(
+        lookup_side(facts), F.col("id_matches") == F.col("match_id")
     )
     shown = history.select(
         F.col("id_users").alias("user_id"),
@@ -180,9 +183,9 @@ def user_match_history(t: Tables, user_id=None) -> DataFrame:
         F.col("id_team_visitor").alias("visitor_id"),
         *sides,
         F.col("match_date").alias("date"),
-        long_date(F.col("match_date")).alias("date_formatted"),
+        "date_formatted",
         F.col("match_hour").alias("time"),
-        half_day_hour(F.col("match_hour")).alias("time_formatted"),
+        "time_formatted",
         F.col("match_stadium").alias("stadium"),
         F.col("match_state").alias("state"),
         *totals,

@@ -14,7 +14,14 @@ from pyspark.sql import types as T
 
 from taquilla.functions.numeric import falsy_number, falsy_text
 from taquilla.functions.text import day_month_year
-from taquilla.plans.sizing import counted_side, lookup_side
+from taquilla.plans.dimensions import NULL_BUCKETS
+from taquilla.plans.rollups import stacked_keys
+from taquilla.plans.sizing import (
+    lookup_side,
+    measured_side,
+    most_broadcast_bytes,
+    written_and_measured,
+)
 from taquilla.sources.schemas import (
     COUNT_STATISTICS,
     FINISHED,
@@ -172,7 +179,7 @@ def patch_rows(
         return F.max_by(F.struct(F.col(field).alias("value")), order).alias(f"new_{field}")
 
     last = patches.groupBy(F.col("id").alias("patch_id")).agg(*[last_set(f) for f in fields])
-    folded = counted_side(last)
+    folded = measured_side(last)
     patched = rows.join(folded, F.col("id") == F.col("patch_id"), "left")
 
     def after(name: str) -> Column:
@@ -185,7 +192,7 @@ def patch_rows(
 
 
 def patches_without_row(rows: DataFrame, patches: DataFrame) -> DataFrame:
-    wanted = counted_side(patches.select("id").distinct())
+    wanted = measured_side(patches.select("id").distinct())
     found = rows.select("id").join(wanted, "id", "left_semi")
     return patches.join(found, "id", "left_anti")
 
@@ -193,45 +200,51 @@ def patches_without_row(rows: DataFrame, patches: DataFrame) -> DataFrame:
 def delete_cascade(t: Tables, table: str, ids: DataFrame) -> Tables:
     """The tables without the rows of ``ids`` (column id) and all that depends on them.
 
-    Follows the foreign keys from parents to children. Only keys of rows that go are
-    carried on; each table is then reduced by anti joins.
+    Follows the foreign keys from parents to children. Only keys of rows that go are carried
+    on. Of a table that others refer to, the ids that go are found in one narrow pass over all
+    its key columns, and the rows are reduced by them; a table nothing refers to is reduced by
+    its keys.
     """
-    gone: dict[str, DataFrame] = {table: counted_side(ids.select("id").distinct())}
+    gone: dict[str, DataFrame] = {table: measured_side(ids.select("id").distinct())}
     kept = {}
     for name in TABLE_ORDER:
         rows = t[name]
-        hits = [
-            (column, gone[parent])
+        hits = {
+            column: gone[parent]
             for child, column, parent in FOREIGN_KEYS
             if child == name and parent in gone
-        ]
-        if name == table:
-            hits.append(("id", gone[table]))
-        if not hits:
-            continue
-        kept[name] = reduce(
-            lambda left, hit: left.join(
-                hit[1].withColumnRenamed("id", "gone_id"),
-                F.col(hit[0]) == F.col("gone_id"),
-                "left_anti",
-            ),
-            hits,
-            rows,
-        )
-        if any(parent == name for _, _, parent in FOREIGN_KEYS):
-            parts = [
-                rows.join(
-                    keys.withColumnRenamed("id", "gone_id"),
-                    F.col(column) == F.col("gone_id"),
-                    "left_semi",
-                ).select("id")
-                for column, keys in hits
+        }
+        is_parent = any(parent == name for _, _, parent in FOREIGN_KEYS)
+        if hits and is_parent and name != table:
+            keys = [
+                ids_.select(F.lit(column).alias("field"), F.col("id").alias("key"))
+                for column, ids_ in hits.items()
             ]
-            if name != table:
-                gone[name] = counted_side(reduce(DataFrame.unionByName, parts).distinct())
+            found = stacked_keys(rows, hits).join(
+                measured_side(reduce(DataFrame.unionByName, keys)), ["field", "key"], "left_semi"
+            )
+            gone[name] = measured_side(found.select("id").distinct())
+        if name in gone:
+            kept[name] = rows.join(gone[name], "id", "left_anti").select(*rows.columns)
+        elif hits:
+            kept[name] = reduce(
+                lambda left, hit: _without(left, *hit), hits.items(), rows
+            )
     return t.with_tables(**kept)
 
 
+def _without(rows: DataFrame, column: str, gone: DataFrame) -> DataFrame:
+    """The rows whose key is not among ``gone``. All NULL keys stay, spread over buckets."""
+    bucket = F.when(
+        F.col(column).isNull(), F.pmod(F.xxhash64("id"), F.lit(NULL_BUCKETS))
+    ).otherwise(0)
+    keys = gone.select(
+        F.col("id").alias("gone_id"), F.pmod(F.xxhash64("id"), F.lit(1)).alias("gone_bucket")
+    )
+    is_gone = (F.col(column) == F.col("gone_id")) & (F.col("own_bucket") == F.col("gone_bucket"))
+    return rows.withColumn("own_bucket", bucket).join(keys, is_gone, "left_anti").drop("own_bucket")
+
+
 def settle_matches(t: Tables, match_ids: DataFrame) -> tuple[Tables, DataFrame]:
     """Finish the matches of ``match_ids`` (column id): their sold tickets become used.
 
@@ -271,26 +284,36 @@ def stand_price(name: Column) -> Column:
 
 
 def provision_prices(
-    new_matches: DataFrame, stands: DataFrame, now: dt.datetime, lanes: int = 64
+    new_matches: DataFrame, stands: DataFrame, now: dt.datetime, block_bytes: int | None = None
 ) -> DataFrame:
     """One price row for every stand of every new match.
 
-    The result is by definition matches times stands. Matches are dealt to lanes by a hash
-    of their id and the stands are copied to each lane, so this is a plain equi-join on the
-    lane: broadcast while the stands are small, else sort-merge over all lanes.
+    The result is by definition matches times stands. The matches stay where they lie, so the
+    tasks follow them; the stands come in blocks of about ``block_bytes``, each sent to all of
+    them. The bound is that of any broadcast if none is given.
     """
-    if stands.isEmpty():
-        raise ValueError("there are no stands to price")
-    dealt = new_matches.select(
-        F.col("id").alias("id_match"), F.pmod(F.xxhash64("id"), F.lit(lanes)).alias("lane")
-    )
-    copied = stands.select(
-        F.col("id").alias("id_stand"),
-        stand_price(F.col("name")).alias("price"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(lanes - 1).cast("bigint"))).alias("lane"),
+    priced, n, size = written_and_measured(
+        stands.select(F.col("id").alias("id_stand"), stand_price(F.col("name")).alias("price"))
     )
+    if not n:
+        raise ValueError("there are no stands to price")
+    # half of the bound on average, as a hash deals them
+    most = block_bytes or most_broadcast_bytes(stands.sparkSession)
+    blocks = -(-2 * size // most) if size > most else 1
+
+    def zero(column: str) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(1))
+
+    matches = new_matches.select(F.col("id").alias("id_match"), zero("id").alias("zero"))
+    number = F.pmod(F.xxhash64("id_stand"), F.lit(blocks))
+    parts = [
+        matches.join(
+            F.broadcast(priced.filter(number == block).withColumn("zero", zero("id_stand"))), "zero"
+        )
+        for block in range(blocks)
+    ]
     key = F.concat_ws(":", F.col("id_match").cast("string"), F.col("id_stand").cast("string"))
-    return dealt.join(copied, "lane", "inner").select(
+    return reduce(DataFrame.unionByName, parts).select(
         F.md5(key).alias("id"),
         "id_match",
         "id_stand",

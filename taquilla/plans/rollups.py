@@ -7,6 +7,8 @@ is folded on the map side and never meets one task as raw rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,3 +83,15 @@ def latest_simulation(t: Tables, match_id=None) -> DataFrame:
     return only(t.match_simulations, "id_matches", match_id).join(shown, "id", "left_semi").select(
         *t.match_simulations.columns
     )
+
+
+def stacked_keys(rows: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """(id, field, key): the keys of several columns, without NULL, from one pass over the rows."""
+    pairs = F.array(
+        *[F.struct(F.lit(c).alias("field"), F.col(c).alias("key")) for c in columns]
+    )
+    return (
+        rows.select("id", F.explode(pairs).alias("k"))
+        .select("id", "k.field", "k.key")
+        .filter(F.col("key").isNotNull())
+    )

@@ -2,19 +2,44 @@
 
 Catalyst multiplies the sizes of joined inputs and cannot foresee how few keys a check or a
 request batch comes down to. Left alone it would shuffle all tickets to look up a few
-matches. Both helpers mark a side only where its size is known; beyond their bounds the join
+matches. The helpers mark a side only where its bytes are known; beyond their bounds the join
 is left to sort-merge, whose skewed partitions are split at run time.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+import re
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from taquilla.session import cut_lineage
 
-# keys of 36 characters in a hash table: about 100 MB
-MOST_BROADCAST_KEYS = 500_000
+# A hash table takes two to three times the bytes of its rows, and a task may hold several.
+PART_OF_HEAP = 16
+_UNITS = {"b": 0, "k": 10, "": 20, "m": 20, "g": 30, "t": 40}
+
+
+def most_broadcast_bytes(spark: SparkSession) -> int:
+    """The bytes of rows that may be sent to every executor, by its heap."""
+    heap = spark.conf.get("spark.executor.memory", "1g").strip().lower()
+    number, unit = re.fullmatch(r"(\d+)\s*([bkmgt]?)b?", heap).groups()
+    return (int(number) << _UNITS[unit]) // PART_OF_HEAP
+
+
+def _value_bytes(column: Column, dtype: T.DataType) -> Column:
+    """Bytes of a value in a row of Spark: eight, and what it has beside them."""
+    if isinstance(dtype, T.StructType):
+        parts = [_value_bytes(column[f.name], f.dataType) for f in dtype.fields]
+        return sum(parts, F.lit(16))
+    if isinstance(dtype, T.StringType):
+        return 8 + F.coalesce(F.octet_length(column), F.lit(0))
+    if isinstance(dtype, T.BinaryType):
+        return 8 + F.coalesce(F.length(column), F.lit(0))
+    if isinstance(dtype, (T.ArrayType, T.MapType)):
+        return 8 + F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0))
+    return F.lit(8)
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -32,18 +57,26 @@ def lookup_side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if input_bytes(df) <= most else df
 
 
-def written_and_counted(df: DataFrame) -> tuple[DataFrame, int]:
-    """A frame written to the checkpoint folder, and its rows, counted on the way."""
+def written_and_measured(df: DataFrame) -> tuple[DataFrame, int, int]:
+    """A frame written to the checkpoint folder, its rows and their bytes, counted on the way."""
     seen = Observation()
-    kept = cut_lineage(df.observe(seen, F.count(F.lit(1)).alias("rows")))
-    return kept, seen.get["rows"]
+    row = sum((_value_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16))
+    counted = F.count(F.lit(1)).alias("rows")
+    sized = F.coalesce(F.sum(row.cast("long")), F.lit(0)).alias("bytes")
+    kept = cut_lineage(df.observe(seen, counted, sized))
+    return kept, seen.get["rows"], seen.get["bytes"]
+
+
+def marked(df: DataFrame, size: int) -> DataFrame:
+    """A written frame of ``size`` bytes, marked for broadcast if they are few."""
+    return F.broadcast(df) if size <= most_broadcast_bytes(df.sparkSession) else df
 
 
-def counted_side(keys: DataFrame) -> DataFrame:
-    """A frame of keys, written out, counted, and marked if it has few rows.
+def measured_side(rows: DataFrame) -> DataFrame:
+    """A frame written out, measured, and marked if it has few bytes.
 
-    For narrow frames that come out of a reduction of large tables and meet a large table
-    again, such as the keys to delete or the values that break a rule.
+    For frames that come out of a reduction of large tables and meet a large table again, such
+    as the keys to delete, the values that break a rule, or the patches of a batch.
     """
-    kept, n = written_and_counted(keys)
-    return F.broadcast(kept) if n <= MOST_BROADCAST_KEYS else kept
+    kept, _, size = written_and_measured(rows)
+    return marked(kept, size)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from taquilla.plans.sizing import counted_side
+from taquilla.plans.sizing import measured_side
 
 # bits of a file's bitmap: one block of Spark's bitmap functions
 BITMAP_BITS = 32_768
@@ -185,7 +185,7 @@ class StoredTable:
         files = self.files(version)
         if files is None:
             return []
-        wanted = counted_side(keys.select(key).where(F.col(key).isNotNull()).distinct())
+        wanted = measured_side(keys.select(key).where(F.col(key).isNotNull()).distinct())
         near = [r["file"] for r in files.where(self._may_hold(wanted, key)).select("file").collect()]
         if not near:
             return []
