@@ -4,9 +4,12 @@ Hierarchical best fit over residuals:
 
 * Each task tokenizes its documents where they lie. Only lengths and checksums go on; a piece
   of the full length is a sequence of its own and needs no packing.
-* Round 0 packs groups of up to ``GROUP`` pieces by best fit, longest first. Any bin that fits
-  below another would have been put there, so at most one bin of a group is no more than half
-  full: whatever comes later can save at most one sequence per group.
+* The pieces are dealt evenly to as many tasks as there are groups of up to ``GROUP`` pieces, so
+  that every group has its share of short and long ones whatever the order of the rows.
+* Round 0 packs each group by best fit, longest first. Any bin that fits below another would have
+  been put there, so at most one bin of a group is no more than half full, and putting whole bins
+  together can save at most one sequence per group. What other dealings of the pieces could save
+  is the difference between samples of ``GROUP`` pieces and all of them.
 * Nearly full bins are emitted. That one bin and the ``HOSTS`` emptiest others, which could take
   it in, go up the tree; all others are emitted too. In the next round bins of ``FAN_IN`` groups
   are items for best fit again, until one group is left.
@@ -149,19 +152,14 @@ def pack(docs: DataFrame, vocabulary: str, limit: int = LIMIT) -> DataFrame:
     )
 
     def first(batches):
-        def groups():
-            held = []
-            for batch in batches:
-                held += [(row["length"], [row]) for row in batch.to_pylist()]
-                while len(held) >= GROUP:
-                    yield held[:GROUP]
-                    held = held[GROUP:]
-            if held:
-                yield held
-
-        yield from _merged(groups(), limit, 0, False)
-
-    rounds = [written(cut.where(F.col("length") < limit).mapInArrow(first, _BIN_SQL))]
+        held = [(row["length"], [row]) for batch in batches for row in batch.to_pylist()]
+        if held:
+            yield from _merged(iter([held]), limit, 0, False)
+
+    short = cut.where(F.col("length") < limit)
+    groups = max(1, -(-short.count() // GROUP))
+    # evenly, not by a key: rows that are alike go to all groups
+    rounds = [written(short.repartition(groups).mapInArrow(first, _BIN_SQL))]
     while True:
         carried = rounds[-1].where(~F.col("closed"))
         tasks = -(-carried.count() // (FAN_IN * (HOSTS + 1)))
