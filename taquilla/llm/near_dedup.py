@@ -223,8 +223,9 @@ def components(links: DataFrame) -> DataFrame:
     def stars(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         around = both if large else both.where("b < a")
+        # written: the links of a hub can be split over tasks beside a plain exchange only
         least = around.groupBy("a").agg(F.min("b").alias("m"))
-        least = least.select("a", F.least("a", "m").alias("m"))
+        least = written(least.select("a", F.least("a", "m").alias("m")))
         joined = around.join(least, "a")
         if large:
             moved = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -257,7 +258,7 @@ def _pairs(rows: DataFrame, one: str, other: str) -> DataFrame:
 def _links(nodes: DataFrame, docs: DataFrame, rule: Rule = DEFAULT) -> DataFrame:
     """Links that join the nodes into their components."""
     keys = _keys(nodes, rule)
-    several = (
+    several = written(
         keys.groupBy("key")
         .agg(F.min("node").alias("least"), F.max("node").alias("most"))
         .where("least < most")
@@ -292,7 +293,7 @@ def _apart(members: DataFrame, joined: DataFrame) -> DataFrame:
     placed = members.join(joined, "node", "left").select(
         "key", "node", "n_shingles", F.coalesce("component", "node").alias("component")
     )
-    mixed_keys = (
+    mixed_keys = written(
         placed.groupBy("key")
         .agg(F.min("component").alias("one"), F.max("component").alias("other"))
         .where("one < other")
