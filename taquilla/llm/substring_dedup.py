@@ -130,7 +130,8 @@ def repeated_parts(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     """Pieces and edges to remove: ``doc_id``, ``pieces``, ``edges`` (arrays of hashes)."""
     docs = texts(docs)
     pieces = written(_pieces(docs, window, anchor))
-    shared = (
+    # written: the pieces of a hot anchor can be split over tasks beside a plain exchange only
+    shared = written(
         pieces.groupBy("anchor")
         .agg(
             F.min("doc_id").alias("lo"),
