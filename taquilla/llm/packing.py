@@ -24,7 +24,6 @@ as a document of its own. No documents: no rows.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
@@ -105,27 +104,24 @@ def best_fit(sizes: list[int], limit: int) -> list[list[int]]:
     return bins
 
 
-def _merged(groups: Iterator[list], limit: int, round_: int, last: bool):
-    """Best fit over each group of bins; a row per bin: closed or not, number, size, members."""
+def _merged(group: list, limit: int, round_: int, last: bool, hosts: int):
+    """Best fit over a group of bins; a row per bin: closed or not, number, size, members."""
     number = (round_ << 56) | (TaskContext.get().partitionId() << 32)
-    for group in groups:
-        group.sort(key=lambda b: [(m[f] is None, m[f]) for m in b[1] for f in _FIELDS])
-        packs = []
-        for found in best_fit([size for size, _ in group], limit):
-            members, offset = [], 0
-            for member in (m for i in found for m in group[i][1]):
-                members.append(member | {"offset": offset})
-                offset += member["length"]
-            packs.append((offset, members))
-        packs.sort(key=lambda p: p[0])
-        rows = []
-        for rank, (size, members) in enumerate(packs):
-            closed = last or rank > HOSTS or (limit - size) * NEARLY < limit
-            rows.append(
-                {"closed": closed, "sequence_id": number, "size": size, "members": members}
-            )
-            number += 1
-        yield pa.RecordBatch.from_pylist(rows, schema=_BIN)
+    group.sort(key=lambda b: [(m[f] is None, m[f]) for m in b[1] for f in _FIELDS])
+    packs = []
+    for found in best_fit([size for size, _ in group], limit):
+        members, offset = [], 0
+        for member in (m for i in found for m in group[i][1]):
+            members.append(member | {"offset": offset})
+            offset += member["length"]
+        packs.append((offset, members))
+    packs.sort(key=lambda p: p[0])
+    rows = []
+    for rank, (size, members) in enumerate(packs):
+        closed = last or rank > hosts or (limit - size) * NEARLY < limit
+        rows.append({"closed": closed, "sequence_id": number, "size": size, "members": members})
+        number += 1
+    yield pa.RecordBatch.from_pylist(rows, schema=_BIN)
 
 
 _BIN = pa.schema(
@@ -142,8 +138,19 @@ _BIN_SQL = (
 )
 
 
-def pack(docs: DataFrame, vocabulary: str, limit: int = LIMIT) -> DataFrame:
-    """Pieces with ``sequence_id`` and ``offset``, the place inside the sequence."""
+def pack(
+    docs: DataFrame,
+    vocabulary: str,
+    limit: int = LIMIT,
+    group: int = GROUP,
+    fan_in: int = FAN_IN,
+    hosts: int = HOSTS,
+) -> DataFrame:
+    """Pieces with ``sequence_id`` and ``offset``, the place inside the sequence.
+
+    A first task holds ``group`` pieces, a later one ``fan_in`` times ``hosts + 1`` bins of up to
+    ``limit`` pieces each.
+    """
     cut = written(pieces(docs, vocabulary, limit))
     full = cut.where(F.col("length") == limit).select(
         *_FIELDS,
@@ -154,31 +161,33 @@ def pack(docs: DataFrame, vocabulary: str, limit: int = LIMIT) -> DataFrame:
     def first(batches):
         held = [(row["length"], [row]) for batch in batches for row in batch.to_pylist()]
         if held:
-            yield from _merged(iter([held]), limit, 0, False)
+            yield from _merged(held, limit, 0, False, hosts)
 
     short = cut.where(F.col("length") < limit)
-    groups = max(1, -(-short.count() // GROUP))
+    groups = max(1, -(-short.count() // group))
     # evenly, not by a key: rows that are alike go to all groups
     rounds = [written(short.repartition(groups).mapInArrow(first, _BIN_SQL))]
     while True:
         carried = rounds[-1].where(~F.col("closed"))
-        tasks = -(-carried.count() // (FAN_IN * (HOSTS + 1)))
+        tasks = -(-carried.count() // (fan_in * (hosts + 1)))
         if not tasks:
             break
-        rounds.append(written(_next_round(carried, limit, len(rounds), tasks)))
+        rounds.append(written(_next_round(carried, limit, len(rounds), tasks, hosts)))
 
     bins = reduce(DataFrame.unionByName, [r.where("closed") for r in rounds])
     placed = bins.select("sequence_id", F.explode("members").alias("m"))
     return full.unionByName(placed.select("m.*", "sequence_id"))
 
 
-def _next_round(carried: DataFrame, limit: int, round_: int, tasks: int) -> DataFrame:
+def _next_round(
+    carried: DataFrame, limit: int, round_: int, tasks: int, hosts: int
+) -> DataFrame:
     def again(batches):
         held = [
             (row["size"], row["members"]) for batch in batches for row in batch.to_pylist()
         ]
         if held:
-            yield from _merged(iter([held]), limit, round_, tasks == 1)
+            yield from _merged(held, limit, round_, tasks == 1, hosts)
 
     return (
         carried.select("size", "members").repartition(tasks).mapInArrow(again, _BIN_SQL)
