@@ -223,7 +223,8 @@ def _part_features(part: pa.RecordBatch, known: Remembered) -> Features:
     return features(part.column("text").to_pylist(), stated, known)
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
+    """The machine fitted on at most ``sample`` labelled documents outside the held-out fold."""
     labelled = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
         .where(~held_out(F.col("doc_id").cast("long")))
@@ -231,7 +232,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
         .agg(F.min("quality").cast("int").alias("quality"))
     )
     own = labelled.join(docs.select(F.col("doc_id").cast("long")).distinct(), "doc_id", "left_semi")
-    sample = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    picked = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def extract(batches):
         known = word_hashes()
@@ -247,8 +248,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
                 names=["doc_id", "quality", "features"],
             )
 
-    # SAMPLE rows of two numbers bound this broadcast
-    chosen = docs.select(*_columns(docs)).join(F.broadcast(sample), "doc_id")
+    # ``sample`` rows of two numbers bound this broadcast
+    chosen = docs.select(*_columns(docs)).join(F.broadcast(picked), "doc_id")
     rows = chosen.mapInArrow(extract, "doc_id long, quality int, features binary")
 
     def learn(batches):
@@ -268,8 +269,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
             machine = Machine()
         yield pa.RecordBatch.from_pylist([{"machine": pickle.dumps(machine)}])
 
-    # one task; a document id that occurs in several rows counts once
-    once = rows.dropDuplicates(["doc_id"]).coalesce(1).mapInArrow(learn, "machine binary")
+    # one task; an id that occurs in several rows counts once, with its least features
+    one = rows.groupBy("doc_id").agg(F.min(F.struct("features", "quality")).alias("row"))
+    one = one.select("doc_id", "row.quality", "row.features")
+    once = one.coalesce(1).mapInArrow(learn, "machine binary")
     found = once.collect()
     return pickle.loads(found[0]["machine"]) if found else Machine()
 
