@@ -10,6 +10,7 @@ from test_dashboard_reports import TEAMS, match, price, stand, ticket
 from test_matches_users import simulated, user_tables
 
 from taquilla.operators import checks, writes
+from taquilla.plans import sizing
 from taquilla.sources.schemas import TABLE_ORDER
 from taquilla.sources.tables import bought_since, read_tables, write_table, write_tables
 
@@ -376,3 +377,44 @@ def test_an_unknown_table_is_an_error(make_tables):
             check("matchs", t.matches)
     with pytest.raises(ValueError, match="matchs"):
         checks.check_references(t, "matchs", t.matches)
+
+
+def test_wide_patches_are_not_broadcast(spark, make_tables, monkeypatch):
+    t = make_tables(transactions=[{"id": "x", "id_users": "u", "total_amount": "1.00"}])
+    wide = spark.range(40).select(
+        F.concat(F.lit("x"), F.col("id").cast("string")).alias("id"),
+        F.lit(1).alias("seq"),
+        F.array(F.lit("reference")).alias("set_fields"),
+        F.repeat(F.lit("r"), 1_000).alias("reference"),
+    )
+
+    def plan(patches):
+        patched = writes.patch_rows("transactions", t.transactions, patches, is_admin=True)
+        return patched._jdf.queryExecution().optimizedPlan().toString()
+
+    assert "strategy=broadcast" in plan(wide)
+    monkeypatch.setattr(sizing, "PART_OF_HEAP", 1 << 15)  # 32 kB of 1 GB
+    assert "strategy=broadcast" not in plan(wide)
+    assert "strategy=broadcast" in plan(wide.limit(5))
+
+
+def test_prices_come_in_blocks_of_stands(make_tables):
+    t = make_tables(
+        matches=[match(f"m{i}") for i in range(7)],
+        soccer_stands=[stand(f"s{i}", "Norte", 1) for i in range(9)],
+    )
+    whole = rows(writes.provision_prices(t.matches, t.soccer_stands, NOW))
+    blocks = writes.provision_prices(t.matches, t.soccer_stands, NOW, block_bytes=100)
+    assert blocks._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") > 2
+    assert len(whole) == 63
+    assert sorted(r["id"] for r in rows(blocks)) == sorted(r["id"] for r in whole)
+
+
+def test_references_are_looked_up_in_two_passes(make_tables):
+    t = cascade_tables(make_tables)
+    found = checks.check_references(t, "tickets", t.tickets)
+    assert found.isEmpty()
+    with pytest.raises(ValueError):
+        checks.check_references(t, "tickets", t.tickets.drop("id_users"))
+    with pytest.raises(ValueError):
+        checks.check_rules("purchase_requests", t.tickets)
