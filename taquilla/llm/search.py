@@ -1,38 +1,48 @@
 """Exact top-k search: BM25 over inverted shards with block-max pruning, merged by global statistics.
 
-Document frequencies, the number of documents and their mean length are counted over the whole
-corpus, so a score does not depend on the shard. A shard is an inverted index of the documents
-dealt to it by a hash of their row. Its postings lie in blocks of ``BLOCK`` documents, and each
-term keeps its greatest contribution per block. As in WAND, a block's bounds over all query terms
-add up to the most any of its documents can score: the blocks that promise most are scored first,
-and those that cannot beat the k-th best found are skipped. Each shard returns its ``k`` best per
-query, and the best of these are the exact result.
+The documents are dealt by a hash of their row to shards of bounded text. Each shard is indexed once
+and kept in the shared folder: postings of every term, the same pairs by document, and its terms with
+their document counts. Document frequencies, the number of documents and their mean length are
+summed over all shards, so a score does not depend on the shard.
+
+Inside a shard a query is answered as block-max WAND does, with all documents of a step at once.
+Postings of the rarer terms are read in full. The documents that lead by them are scored by all terms,
+and the k-th best of them, or of shards the task had before, is the first threshold. Each common term
+has a bound, its weight times its greatest contribution, for every block of ``BLOCK`` documents of
+like length. Common terms are added with the greatest bound first, and a document is skipped, from the
+first term on, as soon as its score so far and the bounds of its block for the terms left add up to less
+than the threshold, which every step raises. What remains is scored in full, pair by pair.
 
 Queries are documents: every word of the whole text, in lower case, counts as often as it occurs.
-A document is no result of its own query. Scores are rounded to nine places, ties go to the
-smaller id.
+A document is no result of its own query. Scores are added up in the order of the terms' hashes and
+rounded to nine places; ties go to the smaller id.
 
-A task has one shard and one block of queries. Shards are bounded by their uncompressed text and
-blocks by their terms, so neither grows with the corpus; their number does. Every shard is sent to
-every block and every block to every shard, and a shard is indexed once per block.
+Queries are broadcast in blocks of bounded bytes, and the index is read once per block; nothing but the
+``k`` best per shard and query is shuffled after indexing. The work still grows with the product of
+queries and shards.
 
 Defined results. NULL or empty text: neither found nor a query with results. NULL id: no result
 and no query. Rows with one id: documents of their own, each may be found under that id, and one
-query of all their words.
+query of all their words. Empty tables: no rows. A text may be of any length; one above
+``SHARD_BYTES`` makes its shard as large, one with more terms than ``ASKED_BYTES`` its block. Other
+columns may have any name.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from taquilla.llm.common import (
     hashed,
     packed,
+    shared_folder,
     signed,
     slices,
     texts,
@@ -44,85 +54,144 @@ from taquilla.llm.common import (
 K1, B = 1.2, 0.75
 TOP = 10
 BLOCK = 64
-SHARD_BYTES = 24 << 20  # of text before it is compressed
+SHARD_BYTES = 48 << 20  # of text before it is compressed
 ASKED_BYTES = 48 << 20  # of terms and weights of the queries in a block
+# Bytes of index rows that cross to Python in one message.
+MESSAGE_BYTES = str(64 << 20)
 _TERM_BYTES = 16
+# A term is common if one document of so many has it; common terms have a cell per document, up to
+# so many cells in a shard (32 MB), the most frequent first.
+COMMON = 32
+MOST_CELLS = 4 << 20
+# Documents scored in full for the first threshold, and common terms added in the first step.
+SEEDS, FIRST_TERMS = 32, 8
+# A sum of bounds may fall short of a rounded score by less than this.
+_SLACK = 1e-6
+
+_INDEX = (
+    "shard long, n_words long, doc_id array<long>, length array<long>, pairs array<long>, "
+    "term array<long>, df array<long>, of_doc binary, tf binary, by_term binary"
+)
+
+
+def indexed(ids: np.ndarray, words: Iterable[list[bytes]]) -> dict[str, np.ndarray]:
+    """The index of some documents as plain arrays, documents of like length side by side."""
+    known = word_hashes()
+    found, counts, length = [], [], []
+    for w in words:  # the words of one document at a time
+        terms, tf = np.unique(hashed(w, known), return_counts=True)
+        found.append(terms)
+        counts.append(tf.astype(np.int32))
+        length.append(len(w))
+    length = np.array(length, np.int64)
+    order = np.argsort(length, kind="stable")
+    found, counts = [found[i] for i in order], [counts[i] for i in order]
+    pairs = np.array([len(f) for f in found], np.int64)
+    terms, of_doc = np.unique(
+        np.concatenate([np.empty(0, np.uint64), *found]), return_inverse=True
+    )
+    return {
+        "doc_id": np.asarray(ids, np.int64)[order],
+        "length": length[order],
+        "pairs": pairs,
+        "term": terms,
+        "df": np.bincount(of_doc, minlength=len(terms)),
+        "of_doc": of_doc.astype(np.int32),  # terms of the first document, the second, ...
+        "tf": np.concatenate([np.empty(0, np.int32), *counts]),
+        "by_term": np.argsort(of_doc, kind="stable").astype(np.int32),  # the same pairs by term
+    }
 
 
 class Shard:
-    """Inverted index of some documents."""
+    """An index ready for queries."""
 
-    def __init__(self, ids: np.ndarray, words: Iterable[list[bytes]], mean_length: float):
-        self.ids = ids
-        known = word_hashes()
-        by_doc = [hashed(w, known) for w in words]  # the words of one document at a time
-        sizes = np.array([len(w) for w in by_doc], np.int64)
-        terms = np.concatenate([np.empty(0, np.uint64), *by_doc])
-        doc = np.repeat(np.arange(len(by_doc)), sizes)
-        order = np.lexsort((doc, terms))
-        terms, doc = terms[order], doc[order]
-        new = np.ones(len(terms), bool)
-        new[1:] = (terms[1:] != terms[:-1]) | (doc[1:] != doc[:-1])
-        starts = np.flatnonzero(new)
-        tf = np.diff(np.append(starts, len(terms))).astype(np.float64)
-        term, self.doc = terms[starts], doc[starts]
-        length = 1 - B + B * sizes[self.doc] / mean_length
-        self.part = tf * (K1 + 1) / (tf + K1 * length)
-        block = self.doc // BLOCK
-        first = np.ones(len(term), bool)
-        first[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
-        self.run = np.flatnonzero(first)  # postings of one term in one block
-        self.run_end = np.append(self.run[1:], len(term))
-        self.run_block = block[self.run]
-        self.most = np.maximum.reduceat(self.part, self.run) if len(term) else self.part
-        self.n_blocks = int(block.max()) + 1 if len(term) else 0
-        by_term = np.flatnonzero(np.append(True, term[self.run][1:] != term[self.run][:-1]))
-        if not len(term):
-            by_term = np.empty(0, np.int64)
-        self.terms = term[self.run][by_term]
-        self.term_run = np.append(by_term, len(self.run))
-
-    def top(self, own: int, terms: np.ndarray, weights: np.ndarray, k: int):
-        """Rounded scores and ids of the best ``k``, best first."""
+    def __init__(self, index: dict[str, np.ndarray], mean_length: float):
+        self.ids, self.terms, self.df = index["doc_id"], index["term"], index["df"]
+        self.pairs, self.of_doc = index["pairs"], index["of_doc"]
+        n_docs = len(self.ids)
+        self.doc_end = np.cumsum(self.pairs)
+        self.term_end = np.cumsum(self.df)
+        norm = K1 * (1 - B + B * index["length"] / mean_length)
+        tf = index["tf"].astype(np.float64)
+        self.doc_part = tf * (K1 + 1) / (tf + np.repeat(norm, self.pairs))
+        by_term = index["by_term"]
+        self.doc = np.repeat(np.arange(n_docs, dtype=np.int32), self.pairs)[by_term]
+        self.part = self.doc_part[by_term]
+        common = np.flatnonzero(self.df * COMMON >= n_docs)
+        common = common[np.argsort(-self.df[common], kind="stable")][: MOST_CELLS // max(1, n_docs)]
+        self.row = np.full(len(self.terms), -1)
+        self.row[common] = np.arange(len(common))
+        self.block = np.arange(n_docs) // BLOCK
+        self.wide = np.zeros((len(common), n_docs))
+        for row, term in enumerate(common.tolist()):
+            own = slice(self.term_end[term] - self.df[term], self.term_end[term])
+            self.wide[row, self.doc[own]] = self.part[own]
+        starts = np.arange(0, n_docs, BLOCK)
+        self.most = np.maximum.reduceat(self.wide, starts, axis=1) if n_docs else self.wide
+        self.weight = np.zeros(len(self.terms))
+
+    def top(self, own: int, terms: np.ndarray, weights: np.ndarray, k: int, floor: float = 0.0):
+        """(-score, id) of the best ``k`` that reach ``floor``, best first."""
         if not len(self.terms):
             return []
         place = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
-        found = self.terms[place] == terms
-        place, weights = place[found], weights[found]
-        a, b = self.term_run[place], self.term_run[place + 1]
-        runs, weight = _ranges(a, b), np.repeat(weights, b - a)
-        bound = np.bincount(self.run_block[runs], weight * self.most[runs], self.n_blocks)
-        best: list[tuple[float, int]] = []
-        order = np.argsort(-bound)
-        done, step = 0, 2
-        while done < len(order):
-            # a rounded score may exceed its bound by half of the last place
-            least = -best[-1][0] if len(best) == k else 0.0
-            batch = order[done : done + step]
-            batch = batch[bound[batch] + 1e-8 >= least]
-            batch = batch[bound[batch] > 0]
-            if not len(batch):
-                break
-            best = self._scored(own, runs, weight, batch, best, k)
-            done, step = done + step, step * 4
-        return best
-
-    def _scored(self, own, runs, weight, blocks, best, k):
-        wanted = np.zeros(self.n_blocks, bool)
-        wanted[blocks] = True
-        used = wanted[self.run_block[runs]]
-        a, b = self.run[runs[used]], self.run_end[runs[used]]
-        postings = _ranges(a, b)
-        score = np.bincount(
-            self.doc[postings], np.repeat(weight[used], b - a) * self.part[postings], len(self.ids)
-        )
-        hits = np.flatnonzero((score > 0) & (self.ids != own))
-        score = np.round(score[hits], 9)
-        if len(hits) > k:
-            kth = np.partition(score, len(hits) - k)[len(hits) - k]
-            hits, score = hits[score >= kth], score[score >= kth]
-        both = best + list(zip((-score).tolist(), self.ids[hits].tolist(), strict=True))
-        return sorted(both)[:k]
+        known = self.terms[place] == terms
+        place, weights = place[known], weights[known]
+        if not len(place):
+            return []
+        row = self.row[place]
+        so_far = self._opened(place[row < 0], weights[row < 0])
+        so_far[self.ids == own] = -np.inf
+        row, weight = row[row >= 0], weights[row >= 0]
+        bound = weight[:, None] * self.most[row]  # of every term in every block
+        order = np.argsort(-bound.max(1), kind="stable") if len(row) else row
+        row, weight = row[order], weight[order]
+        # what the terms from here on can add in a block
+        rest = np.zeros((len(row) + 1, bound.shape[1]))
+        rest[:-1] = np.cumsum(bound[order][::-1], axis=0)[::-1]
+        least = floor
+        if not floor and len(so_far) > max(k, SEEDS):
+            n_seeds = max(k, SEEDS)
+            seeds = np.argpartition(so_far, -n_seeds)[-n_seeds:]
+            least = max(least, _kth(so_far[seeds] + self._common(row, weight, seeds), k) - _SLACK)
+        docs = np.flatnonzero(so_far + rest[0][self.block] >= least)
+        score, at, step = so_far[docs], 0, FIRST_TERMS
+        while at < len(row) and len(docs):
+            stop = min(len(row), at + step)
+            score += self._common(row[at:stop], weight[at:stop], docs)
+            least = max(least, _kth(score, k) - _SLACK)
+            reach = score + rest[stop][self.block[docs]] >= least
+            docs, score = docs[reach], score[reach]
+            at, step = stop, step * 2
+        docs = docs[(score > 0) & (score >= max(least, _kth(score, k) - _SLACK))]
+        full = np.round(self._full(place, weights, docs), 9)
+        return sorted(zip((-full).tolist(), self.ids[docs].tolist(), strict=True))[:k]
+
+    def _opened(self, place: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Scores of all documents by the postings of some terms."""
+        ends, df = self.term_end[place], self.df[place]
+        postings = _ranges(ends - df, ends)
+        scored = np.repeat(weights, df) * self.part[postings]
+        sums = np.bincount(self.doc[postings], scored, len(self.ids))
+        return sums.astype(np.float64, copy=False)  # whole numbers if there are no postings
+
+    def _common(self, row: np.ndarray, weight: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """What common terms add to the scores of some documents."""
+        return (weight[:, None] * self.wide[row[:, None], docs]).sum(0)
+
+    def _full(self, place: np.ndarray, weights: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """Scores of some documents, terms added in the order of their hashes."""
+        size, ends = self.pairs[docs], self.doc_end[docs]
+        pairs = _ranges(ends - size, ends)
+        self.weight[place] = weights
+        scored = self.weight[self.of_doc[pairs]] * self.doc_part[pairs]
+        self.weight[place] = 0.0
+        return np.bincount(np.repeat(np.arange(len(docs)), size), scored, len(docs))
+
+
+def _kth(scores: np.ndarray, k: int) -> float:
+    """The k-th best score, 0 if there are fewer."""
+    return max(0.0, float(np.partition(scores, -k)[-k])) if len(scores) >= k else 0.0
 
 
 def _ranges(starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
@@ -131,8 +200,58 @@ def _ranges(starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     return np.arange(size.sum()) + np.repeat(starts - before, size)
 
 
+def _dealt(rows: DataFrame, parts: int, name: str) -> DataFrame:
+    """Rows dealt to parts by a hash of ``row``, so that rows of one id are spread too."""
+    return rows.withColumn(name, F.pmod(F.xxhash64("row"), F.lit(parts).cast("long")))
+
+
+# --- index --------------------------------------------------------------------------------------
+
+
+def index_of(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """One row per shard of ``docs`` (``doc_id``, ``text``), written to the shared folder."""
+    sized = docs.withColumn("size", F.octet_length("text"))
+    held = written(packed(sized).withColumn("row", F.monotonically_increasing_id()))
+    size = held.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        words = (unpacked(b.as_py()).lower().split() for b in rows.column("text"))
+        index = indexed(rows.column("doc_id").to_numpy(), words)
+        press = zstandard.ZstdCompressor(level=1)
+        lists = ("doc_id", "length", "pairs", "df")
+        cells = {"shard": key[0].as_py(), "n_words": int(index["length"].sum())}
+        columns = {n: pa.array([v], pa.int64()) for n, v in cells.items()}
+        columns |= {n: pa.array([index[n]], pa.list_(pa.int64())) for n in lists}
+        columns["term"] = pa.array([signed(index["term"])], pa.list_(pa.int64()))
+        for n in ("of_doc", "tf", "by_term"):
+            columns[n] = pa.array([press.compress(index[n].tobytes())], pa.binary())
+        return pa.table(columns).select([f.split()[0] for f in _INDEX.split(", ")])
+
+    dealt = _dealt(held, max(1, -(-size // shard_bytes)), "shard")
+    return written(
+        dealt.select("shard", "doc_id", "text").groupBy("shard").applyInArrow(run, _INDEX)
+    )
+
+
+def _shards(batches: Iterable[pa.RecordBatch], mean_length: float) -> Iterator[Shard]:
+    press = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for i in range(batch.num_rows):
+            index = {
+                n: batch.column(n)[i].values.to_numpy()
+                for n in ("doc_id", "length", "pairs", "term", "df")
+            }
+            index["term"] = index["term"].view(np.uint64)
+            for n in ("of_doc", "tf", "by_term"):
+                index[n] = np.frombuffer(press.decompress(batch.column(n)[i].as_py()), np.int32)
+            yield Shard(index, mean_length)
+
+
+# --- queries ------------------------------------------------------------------------------------
+
+
 def _terms(docs: DataFrame) -> DataFrame:
-    """Distinct terms of every document: ``doc_id``, ``n_words``, ``terms``, ``counts``."""
+    """Distinct terms of every document: ``doc_id``, ``terms``, ``counts``."""
 
     def run(batches):
         known = word_hashes()
@@ -141,32 +260,75 @@ def _terms(docs: DataFrame) -> DataFrame:
             for doc_id, text in zip(
                 part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True
             ):
-                words = hashed(text.encode().lower().split(), known)
-                found, counts = np.unique(words, return_counts=True)
-                rows.append((doc_id, len(words), signed(found), counts))
+                found, counts = np.unique(
+                    hashed(text.encode().lower().split(), known), return_counts=True
+                )
+                rows.append((doc_id, signed(found), counts))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([r[0] for r in rows], pa.int64()),
-                    pa.array([r[1] for r in rows], pa.int64()),
+                    pa.array([r[1] for r in rows], pa.list_(pa.int64())),
                     pa.array([r[2] for r in rows], pa.list_(pa.int64())),
-                    pa.array([r[3] for r in rows], pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n_words", "terms", "counts"],
+                names=["doc_id", "terms", "counts"],
             )
 
-    return docs.mapInArrow(
-        run, "doc_id long, n_words long, terms array<long>, counts array<long>"
+    return docs.mapInArrow(run, "doc_id long, terms array<long>, counts array<long>")
+
+
+def _weighted(asked: DataFrame, frequencies: DataFrame, n_docs: int) -> DataFrame:
+    """(doc_id, terms, row) of every query, its terms in the order of their hashes; written."""
+    idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighted = (
+        _terms(asked)
+        .select("doc_id", F.explode(F.arrays_zip("terms", "counts")).alias("t"))
+        .select("doc_id", F.col("t.terms").alias("term"), F.col("t.counts").alias("n"))
+        .groupBy("doc_id", "term")
+        .agg(F.sum("n").alias("n"))
+        .join(frequencies, "term")
+        .groupBy("doc_id")
+        .agg(
+            F.sort_array(
+                F.collect_list(F.struct("term", (F.col("n") * idf).alias("weight")))
+            ).alias("terms")
+        )
     )
+    return written(weighted.withColumn("row", F.monotonically_increasing_id()))
 
 
-def _dealt(rows: DataFrame, parts: int, name: str) -> DataFrame:
-    """Rows dealt to parts by a hash of ``row``, so that rows of one id are spread too."""
-    return rows.withColumn(name, F.pmod(F.xxhash64("row"), F.lit(parts).cast("long")))
+def _sent(spark: SparkSession, block: DataFrame) -> Broadcast:
+    """The queries of one block: ids, where their terms end, terms and weights."""
+    rows = block.select("doc_id", "terms.term", "terms.weight").toArrow()
+    ends = np.cumsum([0] + [len(t) for t in rows.column("term")])
+    term = rows.column("term").combine_chunks().flatten().to_numpy().view(np.uint64)
+    weight = rows.column("weight").combine_chunks().flatten().to_numpy()
+    return spark.sparkContext.broadcast((rows.column("doc_id").to_numpy(), ends, term, weight))
 
 
-def _in_all(rows: DataFrame, parts: int, name: str) -> DataFrame:
-    every = F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))
-    return rows.withColumn(name, F.explode(every))
+def _found(index: DataFrame, sent: Broadcast, mean_length: float, top: int) -> DataFrame:
+    """The best of each shard that can be among the best of all."""
+    kinds = {"query_id": pa.int64(), "doc_id": pa.int64(), "score": pa.float64()}
+
+    def run(batches):
+        ids, ends, term, weight = sent.value
+        kept: dict[int, list] = {}
+        for shard in _shards(batches, mean_length):
+            for i, own in enumerate(ids.tolist()):
+                best = kept.get(i, [])
+                floor = -best[-1][0] - _SLACK if len(best) == top else 0.0
+                of = slice(ends[i], ends[i + 1])
+                found = shard.top(own, term[of], weight[of], top, floor)
+                if found:
+                    kept[i] = sorted(best + found)[:top]
+        rows = [(int(ids[i]), doc_id, -score) for i, best in kept.items() for score, doc_id in best]
+        if rows:
+            columns = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)],
+                names=list(kinds),
+            )
+
+    return index.mapInArrow(run, "query_id long, doc_id long, score double")
 
 
 def search(
@@ -177,67 +339,30 @@ def search(
     asked_bytes: int = ASKED_BYTES,
 ) -> DataFrame:
     """The best ``top`` of ``docs`` per row of ``queries`` (``doc_id``, ``text``)."""
-    docs = texts(docs).where("doc_id is not null and text is not null")
-    asked = _terms(texts(queries).where("doc_id is not null and text is not null"))
-    all_terms = _terms(docs)
-    frequencies = written(
-        all_terms.select(F.explode("terms").alias("term")).groupBy("term").agg(
-            F.count("*").alias("df")
-        )
+    spark = docs.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", MESSAGE_BYTES)
+    index = index_of(texts(docs).where("doc_id is not null and text is not null"), shard_bytes)
+    counted = index.agg(
+        F.coalesce(F.sum(F.size("doc_id")), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))
     )
-    sized = docs.withColumn("size", F.octet_length("text"))
-    held = written(packed(sized).withColumn("row", F.monotonically_increasing_id()))
-    n_docs, size = held.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    n_words = all_terms.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
+    n_docs, n_words = counted.first()
     mean_length = max(1.0, n_words / max(1, n_docs))
-    shards = max(1, -(-size // shard_bytes))
-
-    idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = (
-        asked.select("doc_id", F.explode(F.arrays_zip("terms", "counts")).alias("t"))
-        .select("doc_id", F.col("t.terms").alias("term"), F.col("t.counts").alias("n"))
-        .groupBy("doc_id", "term")
-        .agg(F.sum("n").alias("n"))
-        .join(frequencies, "term")
-        .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("term", (F.col("n") * idf).alias("weight"))).alias("terms"))
+    frequencies = written(
+        index.select(F.explode(F.arrays_zip("term", "df")).alias("t"))
+        .groupBy(F.col("t.term").alias("term"))
+        .agg(F.sum("t.df").alias("df"))
     )
-    weighted = written(weighted.withColumn("row", F.monotonically_increasing_id()))
-    n_terms = weighted.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()[0]
-    blocks = max(1, -(-n_terms * _TERM_BYTES // asked_bytes))
-    own_side = _in_all(_dealt(held, shards, "shard"), blocks, "block")
-    asked_side = _in_all(_dealt(weighted, blocks, "block"), shards, "shard")
-
-    kinds = {"query_id": pa.int64(), "doc_id": pa.int64(), "score": pa.float64()}
-
-    def run(key, own: pa.Table, asked_: pa.Table) -> pa.Table:
-        if not (own.num_rows and asked_.num_rows):
-            return pa.table({n: pa.array([], k) for n, k in kinds.items()})
-        words = (unpacked(b.as_py()).lower().split() for b in own.column("text"))
-        index = Shard(own.column("doc_id").to_numpy(), words, mean_length)
-        rows = {"query_id": [], "doc_id": [], "score": []}
-        for i in range(asked_.num_rows):
-            query = asked_.column("doc_id")[i].as_py()
-            terms = asked_.column("terms")[i].values
-            found = index.top(
-                query,
-                terms.field("term").to_numpy().view(np.uint64),
-                terms.field("weight").to_numpy(),
-                top,
-            )
-            for score, doc_id in found:
-                rows["query_id"].append(query)
-                rows["doc_id"].append(doc_id)
-                rows["score"].append(-score)
-        return pa.table({n: pa.array(rows[n], k) for n, k in kinds.items()})
-
-    per_shard = (
-        own_side.select("shard", "block", "doc_id", "text")
-        .groupBy("shard", "block")
-        .cogroup(
-            asked_side.select("shard", "block", "doc_id", "terms").groupBy("shard", "block")
-        )
-        .applyInArrow(run, "query_id long, doc_id long, score double")
+    asked = _weighted(
+        texts(queries).where("doc_id is not null and text is not null"), frequencies, n_docs
     )
+    n_terms = asked.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()[0]
+    blocks = max(1, -(-n_terms * _TERM_BYTES // asked_bytes))
+    asked = _dealt(asked, blocks, "block")
+    folder = shared_folder(spark)
+    for block in range(blocks):
+        sent = _sent(spark, asked.where(F.col("block") == block))
+        _found(index, sent, mean_length, top).write.mode("append").parquet(folder)
+        sent.unpersist()
+    per_shard = spark.read.schema("query_id long, doc_id long, score double").parquet(folder)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return per_shard.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)

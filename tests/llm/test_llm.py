@@ -261,20 +261,54 @@ def test_search(docs, rows, empty):
     assert search.search(empty, empty).count() == 0
 
 
-def test_blocks_are_skipped_without_loss():
+def every_score(index, own, terms, weights, k):
+    """The best of all documents, each scored by itself."""
+    weight_of = dict(zip(terms.tolist(), weights.tolist(), strict=True))
+    found, start = [], 0
+    for doc_id, pairs in zip(index.ids.tolist(), index.pairs.tolist(), strict=True):
+        score = 0.0
+        for pair in range(start, start + pairs):
+            score += weight_of.get(int(index.terms[index.of_doc[pair]]), 0.0) * index.doc_part[pair]
+        start += pairs
+        if score > 0 and doc_id != own:
+            found.append((-round(score, 9), doc_id))
+    return sorted(found)[:k]
+
+
+@pytest.mark.parametrize("cells", [0, 20_000, search.MOST_CELLS])
+def test_blocks_are_skipped_without_loss(monkeypatch, cells):
+    monkeypatch.setattr(search, "MOST_CELLS", cells)
     rng = np.random.default_rng(2)
     words = [[b"t%d" % x for x in rng.zipf(1.4, 40) % 500] for _ in range(1500)]
-    index = search.Shard(np.arange(1500), words, 40.0)
-    terms = np.sort(index.terms[rng.choice(len(index.terms), 12, replace=False)])
-    weights = rng.random(12)
-    every = index._scored(-1, *_all_runs(index, terms, weights), np.arange(index.n_blocks), [], 10)
-    assert index.top(-1, terms, weights, 10) == every
-
-
-def _all_runs(index, terms, weights):
-    place = np.searchsorted(index.terms, terms)
-    a, b = index.term_run[place], index.term_run[place + 1]
-    return search._ranges(a, b), np.repeat(weights, b - a)
+    words += words[:30] + [[], [b"t1"]]
+    index = search.Shard(search.indexed(np.arange(len(words)), words), 40.0)
+    for n, own in ((12, -1), (1, 7), (60, 3)):
+        terms = np.sort(rng.choice(index.terms, n, replace=False))
+        weights = rng.random(n)
+        every = every_score(index, own, terms, weights, 10)
+        assert index.top(own, terms, weights, 10) == every
+        floor = -every[4][0] - 1e-6
+        above = [x for x in every if -x[0] >= floor]
+        assert index.top(own, terms, weights, 10, floor)[: len(above)] == above
+
+
+def test_most_documents_are_never_scored_by_all_terms(monkeypatch):
+    rng = np.random.default_rng(3)
+    words = [[b"t%d" % x for x in rng.zipf(1.2, 60) % 3000] for _ in range(4000)]
+    index = search.Shard(search.indexed(np.arange(len(words)), words), 60.0)
+    terms, counts = np.unique(index.terms[index.of_doc[:60]], return_counts=True)
+    weights = counts * np.log(1 + 4000 / (1 + index.df[np.searchsorted(index.terms, terms)]))
+    seen, common = [], search.Shard._common
+
+    def counted(self, row, weight, docs):
+        seen.append(len(row) * len(docs))
+        return common(self, row, weight, docs)
+
+    monkeypatch.setattr(search.Shard, "_common", counted)
+    found = index.top(-1, terms, weights, 10)
+    asked = (index.row[np.searchsorted(index.terms, terms)] >= 0).sum()
+    assert found == every_score(index, -1, terms, weights, 10)
+    assert asked and sum(seen) < asked * 4000
 
 
 def test_classifier_learns_and_odd_rows_have_scores(spark, docs, empty):

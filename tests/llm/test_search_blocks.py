@@ -37,12 +37,26 @@ def test_small_shards_and_blocks_give_the_same_result(spark):
     assert whole and found(shard_bytes=900, asked_bytes=2_000) == whole
 
 
-def test_a_task_has_one_block_of_queries(spark):
+def test_queries_are_sent_in_blocks_and_shards_indexed_once(spark, monkeypatch):
     docs = spark.createDataFrame(prose(40, 2), "doc_id long, text string")
-    found = search.search(docs, docs, 3, shard_bytes=2_000, asked_bytes=4_000)
-    plan = found._jdf.queryExecution().analyzed().toString()
-    grouped = next(x for x in plan.splitlines() if "FlatMapCoGroupsInArrow" in x)
-    assert "block#" in grouped and "shard#" in grouped
+    sizes, indexes, sent, found = [], [], search._sent, search._found
+
+    def counted(session, block):
+        own = sent(session, block)
+        sizes.append(sum(x.nbytes for x in own.value[2:]))
+        return own
+
+    def read(index, *rest):
+        indexes.append(tuple(index.inputFiles()))
+        return found(index, *rest)
+
+    monkeypatch.setattr(search, "_sent", counted)
+    monkeypatch.setattr(search, "_found", read)
+    result = search.search(docs, docs, 3, shard_bytes=2_000, asked_bytes=4_000)
+    assert len(sizes) > 2 and max(sizes) < 3 * 4_000
+    assert len(set(indexes)) == 1
+    plan = result._jdf.queryExecution().analyzed().toString()
+    assert "CoGroups" not in plan and "Join" not in plan
 
 
 def test_rows_of_one_id_are_spread_over_shards(spark):
