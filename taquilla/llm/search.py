@@ -54,23 +54,33 @@ from taquilla.llm.common import (
 K1, B = 1.2, 0.75
 TOP = 10
 BLOCK = 64
-SHARD_BYTES = 48 << 20  # of text before it is compressed
-ASKED_BYTES = 48 << 20  # of terms and weights of the queries in a block
-# Bytes of index rows that cross to Python in one message.
-MESSAGE_BYTES = str(64 << 20)
+SHARD_BYTES = 24 << 20  # of text before it is compressed
+ASKED_BYTES = 16 << 20  # of terms and weights of the queries in a block
+_ROWS_PER_MESSAGE = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _TERM_BYTES = 16
 # A term is common if one document of so many has it; common terms have a cell per document, up to
-# so many cells in a shard (32 MB), the most frequent first.
+# so many cells in a shard (16 MB), the most frequent first.
 COMMON = 32
-MOST_CELLS = 4 << 20
+MOST_CELLS = 2 << 20
 # Documents scored in full for the first threshold, and common terms added in the first step.
 SEEDS, FIRST_TERMS = 32, 8
 # A sum of bounds may fall short of a rounded score by less than this.
 _SLACK = 1e-6
 
+# Arrays of an index, a row each as compressed bytes.
+_ARRAYS = {
+    "doc_id": np.int64,
+    "length": np.int64,
+    "pairs": np.int64,
+    "term": np.uint64,
+    "df": np.int64,
+    "of_doc": np.int32,
+    "tf": np.int32,
+    "by_term": np.int32,
+}
 _INDEX = (
-    "shard long, n_words long, doc_id array<long>, length array<long>, pairs array<long>, "
-    "term array<long>, df array<long>, of_doc binary, tf binary, by_term binary"
+    "shard long, n_docs long, n_words long, terms array<long>, dfs array<long>, "
+    + ", ".join(f"{n} binary" for n in _ARRAYS)
 )
 
 
@@ -218,14 +228,18 @@ def index_of(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
         words = (unpacked(b.as_py()).lower().split() for b in rows.column("text"))
         index = indexed(rows.column("doc_id").to_numpy(), words)
         press = zstandard.ZstdCompressor(level=1)
-        lists = ("doc_id", "length", "pairs", "df")
-        cells = {"shard": key[0].as_py(), "n_words": int(index["length"].sum())}
+        cells = {
+            "shard": key[0].as_py(),
+            "n_docs": rows.num_rows,
+            "n_words": int(index["length"].sum()),
+        }
         columns = {n: pa.array([v], pa.int64()) for n, v in cells.items()}
-        columns |= {n: pa.array([index[n]], pa.list_(pa.int64())) for n in lists}
-        columns["term"] = pa.array([signed(index["term"])], pa.list_(pa.int64()))
-        for n in ("of_doc", "tf", "by_term"):
-            columns[n] = pa.array([press.compress(index[n].tobytes())], pa.binary())
-        return pa.table(columns).select([f.split()[0] for f in _INDEX.split(", ")])
+        columns["terms"] = pa.array([signed(index["term"])], pa.list_(pa.int64()))
+        columns["dfs"] = pa.array([index["df"]], pa.list_(pa.int64()))
+        for n, kind in _ARRAYS.items():
+            blob = press.compress(np.ascontiguousarray(index[n], kind).tobytes())
+            columns[n] = pa.array([blob], pa.binary())
+        return pa.table(columns)
 
     dealt = _dealt(held, max(1, -(-size // shard_bytes)), "shard")
     return written(
@@ -238,12 +252,9 @@ def _shards(batches: Iterable[pa.RecordBatch], mean_length: float) -> Iterator[S
     for batch in batches:
         for i in range(batch.num_rows):
             index = {
-                n: batch.column(n)[i].values.to_numpy()
-                for n in ("doc_id", "length", "pairs", "term", "df")
+                n: np.frombuffer(press.decompress(batch.column(n)[i].as_py()), kind)
+                for n, kind in _ARRAYS.items()
             }
-            index["term"] = index["term"].view(np.uint64)
-            for n in ("of_doc", "tf", "by_term"):
-                index[n] = np.frombuffer(press.decompress(batch.column(n)[i].as_py()), np.int32)
             yield Shard(index, mean_length)
 
 
@@ -328,7 +339,7 @@ def _found(index: DataFrame, sent: Broadcast, mean_length: float, top: int) -> D
                 names=list(kinds),
             )
 
-    return index.mapInArrow(run, "query_id long, doc_id long, score double")
+    return index.select(*_ARRAYS).mapInArrow(run, "query_id long, doc_id long, score double")
 
 
 def search(
@@ -340,17 +351,16 @@ def search(
 ) -> DataFrame:
     """The best ``top`` of ``docs`` per row of ``queries`` (``doc_id``, ``text``)."""
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", MESSAGE_BYTES)
     index = index_of(texts(docs).where("doc_id is not null and text is not null"), shard_bytes)
     counted = index.agg(
-        F.coalesce(F.sum(F.size("doc_id")), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))
+        F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))
     )
     n_docs, n_words = counted.first()
     mean_length = max(1.0, n_words / max(1, n_docs))
     frequencies = written(
-        index.select(F.explode(F.arrays_zip("term", "df")).alias("t"))
-        .groupBy(F.col("t.term").alias("term"))
-        .agg(F.sum("t.df").alias("df"))
+        index.select(F.explode(F.arrays_zip("terms", "dfs")).alias("t"))
+        .groupBy(F.col("t.terms").alias("term"))
+        .agg(F.sum("t.dfs").alias("df"))
     )
     asked = _weighted(
         texts(queries).where("doc_id is not null and text is not null"), frequencies, n_docs
@@ -361,7 +371,13 @@ def search(
     folder = shared_folder(spark)
     for block in range(blocks):
         sent = _sent(spark, asked.where(F.col("block") == block))
-        _found(index, sent, mean_length, top).write.mode("append").parquet(folder)
+        found = _found(index, sent, mean_length, top)
+        rows = spark.conf.get(_ROWS_PER_MESSAGE)
+        spark.conf.set(_ROWS_PER_MESSAGE, "1")  # a shard is one row
+        try:
+            found.write.mode("append").parquet(folder)
+        finally:
+            spark.conf.set(_ROWS_PER_MESSAGE, rows)
         sent.unpersist()
     per_shard = spark.read.schema("query_id long, doc_id long, score double").parquet(folder)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
