@@ -56,8 +56,10 @@ TOP = 10
 BLOCK = 64
 SHARD_BYTES = 24 << 20  # of text before it is compressed
 ASKED_BYTES = 16 << 20  # of terms and weights of the queries in a block
+# Shards a task takes one after the other, with the thresholds of those before.
+SHARDS_PER_TASK = 4
 _ROWS_PER_MESSAGE = "spark.sql.execution.arrow.maxRecordsPerBatch"
-_TERM_BYTES = 16
+_TERM_BYTES = 20
 # A term is common if one document of so many has it; common terms have a cell per document, up to
 # so many cells in a shard (16 MB), the most frequent first.
 COMMON = 32
@@ -140,12 +142,16 @@ class Shard:
         self.most = np.maximum.reduceat(self.wide, starts, axis=1) if n_docs else self.wide
         self.weight = np.zeros(len(self.terms))
 
-    def top(self, own: int, terms: np.ndarray, weights: np.ndarray, k: int, floor: float = 0.0):
-        """(-score, id) of the best ``k`` that reach ``floor``, best first."""
+    def places(self, terms: np.ndarray) -> np.ndarray:
+        """Where the terms are in this shard, -1 if they are not."""
         if not len(self.terms):
-            return []
+            return np.full(len(terms), -1)
         place = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
-        known = self.terms[place] == terms
+        return np.where(self.terms[place] == terms, place, -1)
+
+    def top(self, own: int, place: np.ndarray, weights: np.ndarray, k: int, floor: float = 0.0):
+        """(-score, id) of the best ``k`` that reach ``floor``, best first."""
+        known = place >= 0
         place, weights = place[known], weights[known]
         if not len(place):
             return []
@@ -308,12 +314,14 @@ def _weighted(asked: DataFrame, frequencies: DataFrame, n_docs: int) -> DataFram
 
 
 def _sent(spark: SparkSession, block: DataFrame) -> Broadcast:
-    """The queries of one block: ids, where their terms end, terms and weights."""
+    """The queries of one block: ids, where their terms end, all terms, number and weight of each."""
     rows = block.select("doc_id", "terms.term", "terms.weight").toArrow()
     ends = np.cumsum([0] + [len(t) for t in rows.column("term")])
     term = rows.column("term").combine_chunks().flatten().to_numpy().view(np.uint64)
     weight = rows.column("weight").combine_chunks().flatten().to_numpy()
-    return spark.sparkContext.broadcast((rows.column("doc_id").to_numpy(), ends, term, weight))
+    terms, number = np.unique(term, return_inverse=True)
+    ids = rows.column("doc_id").to_numpy()
+    return spark.sparkContext.broadcast((ids, ends, terms, number.astype(np.int32), weight))
 
 
 def _found(index: DataFrame, sent: Broadcast, mean_length: float, top: int) -> DataFrame:
@@ -321,14 +329,15 @@ def _found(index: DataFrame, sent: Broadcast, mean_length: float, top: int) -> D
     kinds = {"query_id": pa.int64(), "doc_id": pa.int64(), "score": pa.float64()}
 
     def run(batches):
-        ids, ends, term, weight = sent.value
+        ids, ends, terms, number, weight = sent.value
         kept: dict[int, list] = {}
         for shard in _shards(batches, mean_length):
+            place = shard.places(terms)
             for i, own in enumerate(ids.tolist()):
                 best = kept.get(i, [])
                 floor = -best[-1][0] - _SLACK if len(best) == top else 0.0
                 of = slice(ends[i], ends[i + 1])
-                found = shard.top(own, term[of], weight[of], top, floor)
+                found = shard.top(own, place[number[of]], weight[of], top, floor)
                 if found:
                     kept[i] = sorted(best + found)[:top]
         rows = [(int(ids[i]), doc_id, -score) for i, best in kept.items() for score, doc_id in best]
@@ -353,9 +362,11 @@ def search(
     spark = docs.sparkSession
     index = index_of(texts(docs).where("doc_id is not null and text is not null"), shard_bytes)
     counted = index.agg(
-        F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))
+        F.coalesce(F.sum("n_docs"), F.lit(0)),
+        F.coalesce(F.sum("n_words"), F.lit(0)),
+        F.count("*"),
     )
-    n_docs, n_words = counted.first()
+    n_docs, n_words, shards = counted.first()
     mean_length = max(1.0, n_words / max(1, n_docs))
     frequencies = written(
         index.select(F.explode(F.arrays_zip("terms", "dfs")).alias("t"))
@@ -369,9 +380,10 @@ def search(
     blocks = max(1, -(-n_terms * _TERM_BYTES // asked_bytes))
     asked = _dealt(asked, blocks, "block")
     folder = shared_folder(spark)
+    held = index.coalesce(max(1, shards // SHARDS_PER_TASK))
     for block in range(blocks):
         sent = _sent(spark, asked.where(F.col("block") == block))
-        found = _found(index, sent, mean_length, top)
+        found = _found(held, sent, mean_length, top)
         rows = spark.conf.get(_ROWS_PER_MESSAGE)
         spark.conf.set(_ROWS_PER_MESSAGE, "1")  # a shard is one row
         try:

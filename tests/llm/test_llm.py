@@ -286,10 +286,10 @@ def test_blocks_are_skipped_without_loss(monkeypatch, cells):
         terms = np.sort(rng.choice(index.terms, n, replace=False))
         weights = rng.random(n)
         every = every_score(index, own, terms, weights, 10)
-        assert index.top(own, terms, weights, 10) == every
+        assert index.top(own, index.places(terms), weights, 10) == every
         floor = -every[4][0] - 1e-6
         above = [x for x in every if -x[0] >= floor]
-        assert index.top(own, terms, weights, 10, floor)[: len(above)] == above
+        assert index.top(own, index.places(terms), weights, 10, floor)[: len(above)] == above
 
 
 def test_most_documents_are_never_scored_by_all_terms(monkeypatch):
@@ -305,7 +305,7 @@ def test_most_documents_are_never_scored_by_all_terms(monkeypatch):
         return common(self, row, weight, docs)
 
     monkeypatch.setattr(search.Shard, "_common", counted)
-    found = index.top(-1, terms, weights, 10)
+    found = index.top(-1, index.places(terms), weights, 10)
     asked = (index.row[np.searchsorted(index.terms, terms)] >= 0).sum()
     assert found == every_score(index, -1, terms, weights, 10)
     assert asked and sum(seen) < asked * 4000
