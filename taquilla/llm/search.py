@@ -340,6 +340,7 @@ def _found(index: DataFrame, sent: Broadcast, mean_length: float, top: int) -> D
                 found = shard.top(own, place[number[of]], weight[of], top, floor)
                 if found:
                     kept[i] = sorted(best + found)[:top]
+            del shard  # before the next one is made
         rows = [(int(ids[i]), doc_id, -score) for i, best in kept.items() for score, doc_id in best]
         if rows:
             columns = zip(*rows, strict=True)
