@@ -17,6 +17,7 @@ from taquilla.functions.text import day_month_year
 from taquilla.plans.dimensions import NULL_BUCKETS
 from taquilla.plans.rollups import stacked_keys
 from taquilla.plans.sizing import (
+    folded_side,
     lookup_side,
     measured_side,
     most_broadcast_bytes,
@@ -179,7 +180,7 @@ def patch_rows(
         return F.max_by(F.struct(F.col(field).alias("value")), order).alias(f"new_{field}")
 
     last = patches.groupBy(F.col("id").alias("patch_id")).agg(*[last_set(f) for f in fields])
-    folded = measured_side(last)
+    folded = folded_side(patches.select("id", "seq", "set_fields", *fields), "id", last)
     patched = rows.join(folded, F.col("id") == F.col("patch_id"), "left")
 
     def after(name: str) -> Column:

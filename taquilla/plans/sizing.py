@@ -18,14 +18,21 @@ from taquilla.session import cut_lineage
 
 # A hash table takes two to three times the bytes of its rows, and a task may hold several.
 PART_OF_HEAP = 16
+# As a hash table of keys, rows take five to six times their bytes, which the driver holds twice while
+# it builds and cuts up the table, however large the executors are.
+MOST_SENT = 32 << 20
 _UNITS = {"b": 0, "k": 10, "": 20, "m": 20, "g": 30, "t": 40}
 
 
 def most_broadcast_bytes(spark: SparkSession) -> int:
-    """The bytes of rows that may be sent to every executor, by its heap."""
-    heap = spark.conf.get("spark.executor.memory", "1g").strip().lower()
-    number, unit = re.fullmatch(r"(\d+)\s*([bkmgt]?)b?", heap).groups()
-    return (int(number) << _UNITS[unit]) // PART_OF_HEAP
+    """The bytes of rows that may be sent to every executor, by the lesser heap of driver and executors."""
+
+    def heap(name: str) -> int:
+        given = spark.conf.get(f"spark.{name}.memory", "1g").strip().lower()
+        number, unit = re.fullmatch(r"(\d+)\s*([bkmgt]?)b?", given).groups()
+        return int(number) << _UNITS[unit]
+
+    return min(min(heap("driver"), heap("executor")) // PART_OF_HEAP, MOST_SENT)
 
 
 def _value_bytes(column: Column, dtype: T.DataType) -> Column:
@@ -57,19 +64,27 @@ def lookup_side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if input_bytes(df) <= most else df
 
 
+def _all_bytes(df: DataFrame) -> Column:
+    row = sum((_value_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16))
+    return F.coalesce(F.sum(row.cast("long")), F.lit(0)).alias("bytes")
+
+
 def written_and_measured(df: DataFrame) -> tuple[DataFrame, int, int]:
     """A frame written to the checkpoint folder, its rows and their bytes, counted on the way."""
     seen = Observation()
-    row = sum((_value_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16))
     counted = F.count(F.lit(1)).alias("rows")
-    sized = F.coalesce(F.sum(row.cast("long")), F.lit(0)).alias("bytes")
-    kept = cut_lineage(df.observe(seen, counted, sized))
+    kept = cut_lineage(df.observe(seen, counted, _all_bytes(df)))
     return kept, seen.get["rows"], seen.get["bytes"]
 
 
 def marked(df: DataFrame, size: int) -> DataFrame:
-    """A written frame of ``size`` bytes, marked for broadcast if they are few."""
-    return F.broadcast(df) if size <= most_broadcast_bytes(df.sparkSession) else df
+    """A written frame of ``size`` bytes, marked for broadcast if they are few, else for a merge.
+
+    Without the second mark Catalyst would go by the files the frame came from, whose bytes are
+    compressed, and might send it all the same.
+    """
+    few = size <= most_broadcast_bytes(df.sparkSession)
+    return F.broadcast(df) if few else df.hint("merge")
 
 
 def measured_side(rows: DataFrame) -> DataFrame:
@@ -80,3 +95,18 @@ def measured_side(rows: DataFrame) -> DataFrame:
     """
     kept, _, size = written_and_measured(rows)
     return marked(kept, size)
+
+
+def folded_side(rows: DataFrame, key: str, folded: DataFrame) -> DataFrame:
+    """``rows`` folded to one row per ``key``, measured only if the fold may be few bytes.
+
+    One pass without a shuffle counts the keys approximately. A fold that is surely large is not
+    written: the join then takes it as the fold has dealt it.
+    """
+    seen = rows.agg(
+        F.count(F.lit(1)).alias("n"), F.approx_count_distinct(key).alias("keys"), _all_bytes(rows)
+    ).first()
+    likely = seen["bytes"] * min(seen["keys"], seen["n"]) // max(seen["n"], 1)
+    if likely > 2 * most_broadcast_bytes(rows.sparkSession):
+        return folded.hint("merge")
+    return measured_side(folded)
