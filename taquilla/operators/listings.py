@@ -29,6 +29,7 @@ MATCH_LISTING = [
 
 
 def _with_user(t: Tables, rows: DataFrame) -> DataFrame:
+    """Add the buyer. Before other columns are added: beyond a broadcast this join moves the rows."""
     buyers = t.users.select(
         F.col("id").alias("id_users"),
         F.col("name").alias("user_name"),
@@ -47,7 +48,8 @@ def ticket_listing(
     first.
     """
     scoped = owner_scope(only(t.tickets, "id", ticket_id), user_id, is_admin)
-    listed = with_match(t, with_stand(t, scoped, *STAND_FIELDS), MATCH_LISTING)
+    bought = _with_user(t, scoped) if is_admin else scoped
+    listed = with_match(t, with_stand(t, bought, *STAND_FIELDS), MATCH_LISTING)
     columns = [
         "id",
         "ticket_code",
@@ -63,7 +65,7 @@ def ticket_listing(
     ]
     if is_admin:
         buyer = ["id_users", "user_name", "user_last_name", "user_email"]
-        return _with_user(t, listed).select(*columns, "id_transaction", *buyer)
+        return listed.select(*columns, "id_transaction", *buyer)
     return listed.select(*columns).orderBy(F.desc_nulls_first("purchased_at"), "id")
 
 
@@ -72,8 +74,11 @@ def transaction_listing(
 ) -> DataFrame:
     """Transactions with their match; for an administrator all, with the buyer."""
     scoped = owner_scope(only(t.transactions, "id", tx_id), user_id, is_admin)
-    listed = with_match(t, scoped, MATCH_LISTING)
-    return _with_user(t, listed) if is_admin else listed
+    if not is_admin:
+        return with_match(t, scoped, MATCH_LISTING)
+    facts = ["id_users", *[c for c in scoped.columns if c != "id_users"], *MATCH_LISTING]
+    buyer = ["user_name", "user_last_name", "user_email"]
+    return with_match(t, _with_user(t, scoped), MATCH_LISTING).select(*facts, *buyer)
 
 
 def transaction_details(t: Tables, tx_id=None) -> DataFrame:

@@ -191,17 +191,23 @@ def tickets(star: StarFolder) -> DataFrame:
     state = F.when(returned == "N", "vendido").otherwise(
         F.when(returned == "R", "usado").otherwise(voided)
     )
-    sold_lines = line.select(
-        F.concat_ws(
-            "-",
-            "l_orderkey",
-            "l_linenumber",
-            "l_partkey",
-            "l_suppkey",
-            F.to_date("l_shipdate").cast("string"),
-        ).alias("id"),
+    ticket_id = F.concat_ws(
+        "-",
+        "l_orderkey",
+        "l_linenumber",
+        "l_partkey",
+        "l_suppkey",
+        F.to_date("l_shipdate").cast("string"),
+    )
+    # Joined as the source has them: ids and the like are made after the rows have moved. There is a
+    # buyer row per sale, so the join is a merge at every size and the work grows with the sales.
+    bought = line.join(buyers.hint("merge"), line.l_orderkey == buyers.o_orderkey, "left")
+    return bought.select(
+        ticket_id.alias("id"),
+        "id_users",
         match.alias("id_matches"),
         F.when(has_price(match, stand), match * 10 + stand).alias("id_match_stand_price"),
+        ticket_id.alias("ticket_code"),
         F.col("l_extendedprice").cast("decimal(10,2)").alias("price"),
         (F.col("l_quantity").cast("int") % 31).alias("row"),
         (1 + F.col("l_partkey") % 50).cast("int").alias("seat"),
@@ -209,21 +215,6 @@ def tickets(star: StarFolder) -> DataFrame:
         state.alias("state"),
         F.col("l_shipdate").alias("purchased_at"),
     )
-    return sold_lines.join(
-        buyers, sold_lines.id_transaction == buyers.o_orderkey, "left"
-    ).select(
-        "id",
-        "id_users",
-        "id_matches",
-        "id_match_stand_price",
-        F.col("id").alias("ticket_code"),
-        "price",
-        "row",
-        "seat",
-        "id_transaction",
-        "state",
-        "purchased_at",
-    )
 
 
 def match_simulations(star: StarFolder) -> DataFrame:
