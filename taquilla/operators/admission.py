@@ -259,6 +259,13 @@ def _code(attempt: int) -> Column:
     return F.upper(F.substring(_digest(f"code{attempt}"), 1, length))
 
 
+def _drawable(tickets: DataFrame) -> DataFrame:
+    """The codes in use that could be drawn: shorter ones or those of other characters cannot."""
+    return tickets.select(F.col("ticket_code").alias("code")).filter(
+        F.col("code").rlike(f"^[0-9A-F]{{{CODE_LENGTH},}}$")
+    )
+
+
 def _tickets(drawn: DataFrame, redrawn: Column) -> DataFrame:
     seat = _digest("seat")
     return drawn.select(
@@ -287,10 +294,7 @@ def _issue(t: Tables, accepted: DataFrame) -> DataFrame:
     its tickets. Clashes are few, so all draws after the first work on small tables.
     """
     drawn = accepted.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("quantity"))))
-    # a shorter stored code cannot be drawn
-    stored = t.tickets.select(F.col("ticket_code").alias("code")).filter(
-        F.length("code") >= CODE_LENGTH
-    )
+    stored = _drawable(t.tickets)
 
     def shared(codes: DataFrame, known: DataFrame) -> DataFrame:
         return known.join(codes.select("code"), "code", "left_semi").select("code")
