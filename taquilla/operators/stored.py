@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from taquilla.operators.writes import patch_rows
-from taquilla.plans.sizing import measured_side
+from taquilla.plans.sizing import marked, most_broadcast_bytes, written_and_measured
 from taquilla.sources.schemas import FINISHED, FOREIGN_KEYS, SOLD, USED
 from taquilla.sources.versions import StoredTable
 
@@ -35,13 +35,17 @@ def patch_stored(
 
 def delete_stored(table: StoredTable, keys: DataFrame, key: str = "id") -> tuple[int, list[str]]:
     """Rows whose ``key`` is among ``keys`` go. Rows with a NULL key stay and meet no join."""
-    gone = measured_side(keys.select(F.col(key).alias("gone")).where("gone IS NOT NULL").distinct())
+    given = keys.select(F.col(key).alias("gone")).where("gone IS NOT NULL").distinct()
+    kept, _, size = written_and_measured(given)
+    gone, is_sent = marked(kept, size), size <= most_broadcast_bytes(table.spark)
 
     def rest(rows: DataFrame) -> DataFrame:
+        if is_sent:
+            return rows.join(gone, F.col(key) == F.col("gone"), "left_anti")
         keyed = rows.where(F.col(key).isNotNull()).join(gone, F.col(key) == F.col("gone"), "left_anti")
         return keyed.unionByName(rows.where(F.col(key).isNull()))
 
-    return table.rewrite(keys, key, rest)
+    return table.rewrite(keys, key, rest, in_place=is_sent)
 
 
 def settle_stored(
@@ -49,7 +53,9 @@ def settle_stored(
 ) -> tuple[int, int]:
     """Finish matches that are not finished yet; their sold tickets become used."""
     not_yet = matches.read().where(~F.col("state").eqNullSafe(FINISHED))
-    opened = measured_side(not_yet.join(match_ids.select("id").distinct(), "id", "left_semi").select("id"))
+    found = not_yet.join(match_ids.select("id").distinct(), "id", "left_semi").select("id")
+    kept, _, size = written_and_measured(found)
+    opened, is_sent = marked(kept, size), size <= most_broadcast_bytes(tickets.spark)
     settled = opened.select(F.col("id").alias("settled"))
 
     def finished(rows: DataFrame) -> DataFrame:
@@ -63,6 +69,7 @@ def settle_stored(
         return met.withColumn("state", F.when(sold, USED).otherwise(F.col("state"))).drop("settled")
 
     # tickets first: if the second rewrite is never made, settling again finds the match open
-    last_tickets, _ = tickets.rewrite(opened.select(F.col("id").alias("id_matches")), "id_matches", used)
-    last_matches, _ = matches.rewrite(opened, "id", finished)
+    of_matches = opened.select(F.col("id").alias("id_matches"))
+    last_tickets, _ = tickets.rewrite(of_matches, "id_matches", used, is_sent)
+    last_matches, _ = matches.rewrite(opened, "id", finished, is_sent)
     return last_matches, last_tickets

@@ -29,12 +29,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from taquilla.plans.sizing import measured_side
+from taquilla.plans.sizing import input_bytes, measured_side
 
 # bits of a file's bitmap: one block of Spark's bitmap functions
 BITMAP_BITS = 32_768
 # a set of keys that sets more bits than this is compared by its range alone
 MOST_BITS_ASKED = 256
+# rows are written where they lie if each core reads this many bytes, so that files stay as large
+LEAST_READ = 32 << 20
 
 LOAD = "load"
 
@@ -125,18 +127,22 @@ class StoredTable:
         names = [r["file"] for r in files.select("file").collect()] if files is not None else []
         return self._read(names).select(*self.schema.names)
 
-    def _write(self, rows: DataFrame) -> DataFrame:
-        """Write rows as a load of their own; gives its part of a file list."""
+    def _write(self, rows: DataFrame, lie_well: bool = False) -> DataFrame:
+        """Write rows as a load of their own; gives its part of a file list.
+
+        Rows that ``lie_well``, in tasks of enough rows of few months, are not dealt anew.
+        """
         load = f"{LOAD}={uuid.uuid4().hex}"
         given = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.columns.fields])
         if self.month_column:
             month = F.trunc(F.to_date(self.moment), "MM")
-            dealt = given.withColumn(self.month_column, month).hint("rebalance", F.col(self.month_column))
+            dated = given.withColumn(self.month_column, month)
+            dealt = dated if lie_well else dated.hint("rebalance", F.col(self.month_column))
             ordered = dealt.sortWithinPartitions(self.month_column, self.moment)
             writer = ordered.write.partitionBy(self.month_column)
         else:
-            writer = given.hint("rebalance").write
-        writer.parquet(f"{self.folder}/data/{load}")
+            writer = (given if lie_well else given.hint("rebalance")).write
+        writer.option("compression", "zstd").parquet(f"{self.folder}/data/{load}")
         written = self.spark.read.schema(self.schema).parquet(f"{self.folder}/data/{load}")
         summaries = []
         for key in self.keys:
@@ -195,18 +201,25 @@ class StoredTable:
         return [r["file"] for r in found.collect()]
 
     def rewrite(
-        self, keys: DataFrame, key: str, change: Callable[[DataFrame], DataFrame]
+        self,
+        keys: DataFrame,
+        key: str,
+        change: Callable[[DataFrame], DataFrame],
+        in_place: bool = False,
     ) -> tuple[int, list[str]]:
         """A new version in which the files that hold one of the keys are written anew.
 
         ``change`` gets all rows of those files and returns what takes their place. Gives the number
-        of the version and the files replaced; without any, the version stays.
+        of the version and the files replaced; without any, the version stays. With ``in_place``,
+        ``change`` moves no rows between tasks; of large files they then stay in the tasks that read them.
         """
         last = self.latest()
         touched = self.holding(keys, key, last)
         if not touched:
             return last, []
-        new = self._write(change(self._read(touched).select(*self.columns.names)))
+        old = self._read(touched).select(*self.columns.names)
+        cores = self.spark.sparkContext.defaultParallelism
+        new = self._write(change(old), in_place and input_bytes(old) >= cores * LEAST_READ)
         gone = self.spark.createDataFrame([(f,) for f in touched], "file string")
         kept = self.files(last).join(gone, "file", "left_anti")
         return self._commit(kept.unionByName(new), last), touched
