@@ -21,6 +21,7 @@ each row is a document of its own. A word seen in no other document counts as ha
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,7 @@ ORDER = 3
 ALPHA = 0.4
 BITS = 56
 UNIT_BYTES = 12 << 20  # text of a unit; a longer document is a unit of its own
+AT_ONCE = 1 << 18  # words worked on at a time, where that needs helper arrays
 
 # Words joined by line ends hold no empty line, so two line ends part texts, empty ones too.
 _BETWEEN = b"\n\n"
@@ -103,28 +105,64 @@ def _units(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(gather, "unit long, ids array<long>, texts binary, n_words long")
 
 
-def _sequences(data: bytes, n: int) -> list[list[bytes]]:
+def _hashed_words(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of a unit's ``n`` texts, and their number in each; a text at a time."""
+    known, parts, sizes = word_hashes(), [np.empty(0, np.uint64)], np.zeros(n, np.int64)
     texts_ = zstandard.ZstdDecompressor().decompress(data).split(_BETWEEN)
     assert len(texts_) == n
-    return [t.split(b"\n") if t else [] for t in texts_]
+    for i, text in enumerate(texts_):
+        if text:
+            parts.append(hashed(text.split(b"\n"), known))
+            sizes[i] = len(parts[-1])
+    return np.concatenate(parts), sizes
 
 
 class Grams:
     """N-grams of a unit's documents, by order: hash and document of each."""
 
-    def __init__(self, sequences: list[list[bytes]]):
-        self.sizes = np.array([len(s) for s in sequences], np.int64)
-        words = hashed(list(itertools.chain.from_iterable(sequences)), word_hashes())
-        self.spans = Spans(words)
-        self.doc = np.repeat(np.arange(len(sequences)), self.sizes)
-        self.at = np.arange(len(words)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+    def __init__(self, words: np.ndarray, sizes: np.ndarray):
+        self.spans, self.sizes = Spans(words), sizes
+        self.doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        self.at = np.arange(len(words), dtype=np.int32)
+        self.at -= np.repeat((np.cumsum(sizes) - sizes).astype(np.int32), sizes)
 
     def of(self, order: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the n-grams of an order, and the place of each one's last word."""
-        last = np.flatnonzero(self.at >= order - 1)
-        hashes = self.spans.of(last - order + 1, last + 1) >> np.uint64(64 - BITS)
+        last = np.flatnonzero(self.at >= order - 1).astype(np.int32)
+        hashes = np.empty(len(last), np.uint64)
+        for at in range(0, len(last), AT_ONCE):
+            some = last[at : at + AT_ONCE]
+            hashes[at : at + AT_ONCE] = self.spans.of(some - order + 1, some + 1)
+        hashes >>= np.uint64(64 - BITS)
         return hashes, last
 
+    def elsewhere(self, order: int, totals: np.ndarray) -> np.ndarray:
+        """At each word, occurrences in other documents of the n-gram that ends there.
+
+        ``totals`` has the corpus counts of the n-grams in the order of their hashes.
+        """
+        found = np.zeros(len(self.at))
+        hashes, last = self.of(order)
+        if not len(last):
+            return found
+        by_hash = np.argsort(hashes, kind="stable")  # those of one document stay side by side
+        hashes, last = hashes[by_hash], last[by_hash]
+        del by_hash
+        new = np.r_[True, hashes[1:] != hashes[:-1]]
+        del hashes
+        left = np.repeat(totals, _lengths(new))
+        doc = self.doc[last]
+        new[1:] |= doc[1:] != doc[:-1]
+        own = _lengths(new)
+        left -= np.repeat(own, own)
+        found[last] = left
+        return found
+
+
+def _lengths(new: np.ndarray) -> np.ndarray:
+    """Lengths of the runs that begin at the marks."""
+    return np.diff(np.flatnonzero(new), append=len(new))
+
 
 def _runs(units: DataFrame, bucket_bits: int) -> DataFrame:
     """Per unit, order and bucket of hashes: the sorted hashes and their counts."""
@@ -140,7 +178,7 @@ def _runs(units: DataFrame, bucket_bits: int) -> DataFrame:
 
     def run(batches):
         for unit, ids, data in _rows(batches):
-            grams = Grams(_sequences(data, len(ids)))
+            grams = Grams(*_hashed_words(data, len(ids)))
             for order in range(1, ORDER + 1):
                 hashes, counts = np.unique(grams.of(order)[0], return_counts=True)
                 buckets = hashes >> np.uint64(BITS - bucket_bits)
@@ -186,44 +224,54 @@ def _counted(runs: pa.Table) -> pa.Table:
     )
 
 
-def _unit_scores(sequences: list[list[bytes]], totals: dict, n_words: int) -> list[dict]:
-    grams = Grams(sequences)
-    n, n_docs = len(grams.doc), len(sequences)
-    others = {}  # by order: at each word, occurrences of the n-gram ending there elsewhere
-    own_size = grams.sizes[grams.doc] if n else np.empty(0, np.int64)
-    others[0] = (n_words - own_size).astype(np.float64)
+def _unit_scores(
+    grams: Grams, totals: Callable[[int], np.ndarray], n_words: int
+) -> dict[str, np.ndarray]:
+    """Columns of the result for a unit's documents; ``totals`` gives the corpus counts of an order.
+
+    Orders go from short to long, and a longer n-gram that occurs takes the place of a shorter
+    one, so that no more than two orders are held.
+    """
+    sizes, n_docs = grams.sizes, len(grams.sizes)
+    context = (n_words - sizes)[grams.doc].astype(np.float64)  # all words elsewhere
+    score = (np.minimum(ORDER, grams.at + 1) - 1) * np.log(ALPHA)
+    score += np.log(0.5)
+    score -= np.log(np.maximum(context, 1))
+    level = np.zeros(len(score), np.int8)
     for order in range(1, ORDER + 1):
-        hashes, last = grams.of(order)
-        _, place = np.unique(hashes, return_inverse=True)
-        key = grams.doc[last] * (int(place.max()) + 1 if len(place) else 1) + place
-        _, same, own = np.unique(key, return_inverse=True, return_counts=True)
-        at = np.zeros(n)
-        if len(last):
-            at[last] = totals[order][place].astype(np.float64) - own[same]
-        others[order] = at
-    score = np.zeros(n)
-    open_ = np.ones(n, bool)
-    hits = {}
-    for order in range(ORDER, 0, -1):
-        before = others[0] if order == 1 else np.concatenate([[0.0], others[order - 1][:-1]])
-        hit = open_ & (others[order] > 0) & (grams.at >= order - 1)
-        factor = (np.minimum(ORDER, grams.at + 1) - order) * np.log(ALPHA)
-        score[hit] = (factor + np.log(np.maximum(others[order], 1)) - np.log(np.maximum(before, 1)))[hit]
-        hits[order] = np.bincount(grams.doc[hit], minlength=n_docs)
-        open_ &= ~hit
-    floor = (np.minimum(ORDER, grams.at + 1) - 1) * np.log(ALPHA)
-    score[open_] = (floor + np.log(0.5) - np.log(np.maximum(others[0], 1)))[open_]
-    unseen = np.bincount(grams.doc[open_], minlength=n_docs)
-    sums = np.bincount(grams.doc, score, n_docs)
-    return [
-        {
-            "n_words": int(grams.sizes[i]),
-            **{f"n_order_{o}": int(hits[o][i]) for o in hits},
-            "n_unseen": int(unseen[i]),
-            "log_score": float(sums[i]),
-        }
-        for i in range(n_docs)
-    ]
+        here = grams.elsewhere(order, totals(order))
+        for at in range(0, len(here), AT_ONCE):
+            hit = np.flatnonzero(here[at : at + AT_ONCE] > 0) + at
+            own = (np.minimum(ORDER, grams.at[hit] + 1) - order) * np.log(ALPHA)
+            own += np.log(np.maximum(here[hit], 1))
+            own -= np.log(np.maximum(context[hit if order == 1 else hit - 1], 1))
+            score[hit], level[hit] = own, order
+        context = here
+    hits = {o: np.bincount(grams.doc[level == o], minlength=n_docs) for o in range(ORDER + 1)}
+    return {
+        "n_words": sizes,
+        **{f"n_order_{o}": hits[o] for o in range(ORDER, 0, -1)},
+        "n_unseen": hits[0],
+        "log_score": np.bincount(grams.doc, score, n_docs).astype(np.float64),
+    }
+
+
+def _scored_unit(unit: pa.Table, counts: pa.Table, n_words: int) -> pa.Table:
+    """The scores of a unit's documents; the counts of one order are expanded at a time."""
+    ids = unit.column("ids").combine_chunks().flatten()
+    places: dict[int, list] = {o: [] for o in range(1, ORDER + 1)}
+    keys = zip(*(counts.column(c).to_pylist() for c in ("gram", "bucket")), strict=True)
+    for i, (order, bucket) in enumerate(keys):
+        places[order].append((bucket, i))
+    packed = counts.column("totals")
+
+    def totals(order: int) -> np.ndarray:
+        parts = [_expanded(packed[i].as_py()) for _, i in sorted(places[order])]
+        return np.concatenate([np.empty(0, np.uint64), *parts]).view(np.int64)
+
+    grams = Grams(*_hashed_words(unit.column("texts")[0].as_py(), len(ids)))
+    found = _unit_scores(grams, totals, n_words)
+    return pa.table({"doc_id": ids, **found}).cast(_SCORES)
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -237,18 +285,7 @@ def score(docs: DataFrame) -> DataFrame:
     )
 
     def run(key, unit: pa.Table, counts: pa.Table) -> pa.Table:
-        ids = unit.column("ids")[0].as_py()
-        by_order: dict[int, list] = {o: [] for o in range(1, ORDER + 1)}
-        for row in sorted(counts.to_pylist(), key=lambda r: (r["gram"], r["bucket"])):
-            by_order[row["gram"]].append(_expanded(row["totals"]))
-        found = {
-            o: np.concatenate(parts) if parts else np.empty(0, np.uint64)
-            for o, parts in by_order.items()
-        }
-        rows = _unit_scores(_sequences(unit.column("texts")[0].as_py(), len(ids)), found, n_words)
-        return pa.Table.from_pylist(
-            [{"doc_id": i, **r} for i, r in zip(ids, rows, strict=True)], schema=_SCORES
-        )
+        return _scored_unit(unit, counts, n_words)
 
     orders = ", ".join(f"n_order_{n} long" for n in range(ORDER, 0, -1))
     scored = (
