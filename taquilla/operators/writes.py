@@ -174,13 +174,21 @@ def patch_rows(
     """
     fields = [f for f in patchable_fields(table, rows.columns, is_admin) if f in patches.columns]
 
-    def last_set(field: str) -> Column:
-        # a row without the field has no order value and is passed over
+    # of each field its order, NULL in a patch without it, and its value only where it has an order
+    set_ = {"patch_id": F.col("id")}
+    for i, field in enumerate(fields):
         order = F.when(F.array_contains("set_fields", field), F.col("seq"))
-        return F.max_by(F.struct(F.col(field).alias("value")), order).alias(f"new_{field}")
+        set_ |= {f"order_{i}": order, f"value_{i}": F.when(order.isNotNull(), F.col(field))}
+
+    def fold(some: DataFrame) -> DataFrame:
+        # a row without the field has no order value and is passed over
+        last = [
+            F.max_by(F.struct(F.col(f"value_{i}").alias("value")), f"order_{i}").alias(f"new_{f}")
+            for i, f in enumerate(fields)
+        ]
+        return some.groupBy("patch_id").agg(*last)
 
-    last = patches.groupBy(F.col("id").alias("patch_id")).agg(*[last_set(f) for f in fields])
-    folded = folded_side(patches.select("id", "seq", "set_fields", *fields), "id", last)
+    folded = folded_side(patches.select(*[c.alias(n) for n, c in set_.items()]), "patch_id", fold)
     patched = rows.join(folded, F.col("id") == F.col("patch_id"), "left")
 
     def after(name: str) -> Column:

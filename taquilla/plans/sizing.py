@@ -9,6 +9,7 @@ is left to sort-merge, whose skewed partitions are split at run time.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ PART_OF_HEAP = 16
 # As a hash table of keys, rows take five to six times their bytes, which the driver holds twice while
 # it builds and cuts up the table, however large the executors are.
 MOST_SENT = 32 << 20
+# Parts of the keys whose rows are counted to see whether one may have many.
+KEY_BUCKETS = 1024
 _UNITS = {"b": 0, "k": 10, "": 20, "m": 20, "g": 30, "t": 40}
 
 
@@ -97,16 +100,28 @@ def measured_side(rows: DataFrame) -> DataFrame:
     return marked(kept, size)
 
 
-def folded_side(rows: DataFrame, key: str, folded: DataFrame) -> DataFrame:
+def folded_side(
+    rows: DataFrame, key: str, fold: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
     """``rows`` folded to one row per ``key``, measured only if the fold may be few bytes.
 
-    One pass without a shuffle counts the keys approximately. A fold that is surely large is not
-    written: the join then takes it as the fold has dealt it.
+    One pass counts rows and, approximately, keys in buckets of keys. A fold that is surely large is
+    not written: the join then takes it as the fold has dealt it. A fold of values of any length sorts
+    the rows of a task, which spills where a task reads many. So, where that would hardly make
+    them fewer, the rows are dealt by key first and sorted once, in the parts the join has; if a bucket
+    stands out, a key may have many rows, and tasks fold them before they are dealt.
     """
-    seen = rows.agg(
-        F.count(F.lit(1)).alias("n"), F.approx_count_distinct(key).alias("keys"), _all_bytes(rows)
-    ).first()
+    bucket = F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS)).alias("bucket")
+    counts = F.count(F.lit(1)).alias("n"), F.approx_count_distinct(key).alias("keys")
+    seen = (
+        rows.groupBy(bucket).agg(*counts, _all_bytes(rows))
+        .agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "keys", "bytes")],
+             F.coalesce(F.max("n"), F.lit(0)).alias("most"))
+        .first()
+    )
     likely = seen["bytes"] * min(seen["keys"], seen["n"]) // max(seen["n"], 1)
-    if likely > 2 * most_broadcast_bytes(rows.sparkSession):
-        return folded.hint("merge")
-    return measured_side(folded)
+    if likely <= 2 * most_broadcast_bytes(rows.sparkSession):
+        return measured_side(fold(rows))
+    is_even = seen["most"] * KEY_BUCKETS < 2 * seen["n"]
+    folds_little = seen["n"] < 3 * seen["keys"]
+    return fold(rows.repartition(key) if is_even and folds_little else rows).hint("merge")
