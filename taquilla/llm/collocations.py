@@ -7,7 +7,9 @@ piece, and everything is counted per language. Three steps:
    folded per task and summed by Spark. A sum below ``least`` proves that the phrase is too rare, and so
    is every longer phrase that holds it, which is not summed at all. The hashes that are left are
    put into a bit map of fixed size, which is broadcast; the phrases whose bits are set in it are
-   the candidates. Shared hashes and bits only add candidates, never lose one.
+   the candidates. Shared hashes and bits only add candidates, never lose one. They are named by a
+   part of the texts and, if that part does not have them, by the others, so that not every task
+   names every one of its candidates.
 2. Counts. The candidates, their parts and their words are dealt by hash into sets of bounded bytes. Each
    set becomes one double-array trie per language, is broadcast, and the texts are read once for it:
    all positions of a slice of text advance one word at a time together, and the accepting states they
@@ -27,7 +29,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -60,6 +62,10 @@ SET_BYTES = 96 << 20
 MOST_GATHERED = 4 << 20
 MOST_NAMED = 1_000_000
 ROWS_PER_BATCH = 1 << 16
+# One of so many texts names its candidates first; the others name those that none of these has. The
+# bits of a sum that count occurrences.
+NAMING_SHARE = 4
+NAMED_BIT = 40
 # Tries: words have two digits of this radix; states that draw their places in one round, and
 # that are too few to draw.
 RADIX_BITS = 9
@@ -76,14 +82,28 @@ def tokens_of(texts: Iterable[str]) -> list[bytes]:
     return joined.replace(_END, b" " + _END + b" ").split()
 
 
-def _per_language(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
+def _grouped(batches: Iterable[pa.RecordBatch], of: Callable) -> Iterator[tuple]:
+    """Tokens of the texts of a slice, by what ``of`` gives for language and text."""
     for part in slices(batches):
-        found: dict[str, list[str]] = {}
+        found: dict = {}
         for lang, text in zip(*(part.column(c).to_pylist() for c in ("lang", "text")), strict=True):
             if text:
-                found.setdefault(lang, []).append(text)
-        for lang, texts in found.items():
-            yield lang, tokens_of(texts)
+                found.setdefault(of(lang, text), []).append(text)
+        for key, texts in found.items():
+            yield key, tokens_of(texts)
+
+
+def _per_language(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
+    return _grouped(batches, lambda lang, text: lang)
+
+
+def _per_language_and_side(
+    batches: Iterable[pa.RecordBatch],
+) -> Iterator[tuple[tuple[str, bool], list[bytes]]]:
+    """The same, texts that name phrases first (one of ``NAMING_SHARE``, by a hash of the text) apart."""
+    return _grouped(
+        batches, lambda lang, text: (lang, xxhash.xxh3_64_intdigest(text, seed=2) % NAMING_SHARE == 0)
+    )
 
 
 # --- candidates ---------------------------------------------------------------------------------
@@ -110,11 +130,12 @@ class Windows:
 
     def frequent(self) -> np.ndarray:
         found = self.maps.get(self.size)
-        if found is None:
-            return self.open
+        return self.open if found is None else self.open & self.in_map(found)
+
+    def in_map(self, found: np.ndarray) -> np.ndarray:
         bit = self.hashes >> np.uint64(64 - _bits(found))
         set_ = found[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)
-        return self.open & (set_ & np.uint8(1)).astype(bool)
+        return (set_ & np.uint8(1)).astype(bool)
 
 
 def _bits(bit_map: np.ndarray) -> int:
@@ -126,23 +147,33 @@ def _maps(sent: dict[int, Broadcast]) -> dict[int, np.ndarray]:
 
 
 def _hash_sums(rows: DataFrame, size: int, sent: dict[int, Broadcast]) -> DataFrame:
-    """(hash, n) of the phrases of ``size`` words that may be frequent, folded per task."""
+    """(hash, n) of the phrases of ``size`` words that may be frequent, folded per task.
+
+    Above ``NAMED_BIT`` bits ``n`` counts the folds that had the phrase from a text that names first.
+    """
 
     def folded(pending):
-        hashes, counts = np.unique(np.concatenate(pending), return_counts=True)
+        # the last bit, given up by the hash, tells whether it is of a text that names first
+        tagged, counts = np.unique(np.concatenate(pending), return_counts=True)
+        hashes, named = tagged & ~np.uint64(1), (tagged & np.uint64(1)).astype(np.int64)
+        starts = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]]) if len(hashes) else []
+        hashes = hashes[starts]
+        if len(hashes):
+            counts = np.add.reduceat(counts, starts) + (np.maximum.reduceat(named, starts) << NAMED_BIT)
         for at in range(0, len(hashes), ROWS_PER_BATCH):
             columns = signed(hashes[at : at + ROWS_PER_BATCH]), counts[at : at + ROWS_PER_BATCH]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["hash", "n"])
 
     def run(batches):
         known, maps, pending, gathered = word_hashes(), _maps(sent), [], 0
-        for lang, tokens in _per_language(batches):
+        for (lang, names_first), tokens in _per_language_and_side(batches):
             if len(tokens) < size:
                 continue
             windows = Windows(lang, tokens, known, maps)
             while windows.size < size:
                 windows.longer()
-            pending.append(windows.hashes[windows.open])
+            own = windows.hashes[windows.open] & ~np.uint64(1)
+            pending.append(own | np.uint64(names_first))
             gathered += len(pending[-1])
             if gathered >= MOST_GATHERED:
                 yield from folded(pending)
@@ -153,37 +184,50 @@ def _hash_sums(rows: DataFrame, size: int, sent: dict[int, Broadcast]) -> DataFr
     return rows.mapInArrow(run, "hash long, n long")
 
 
-def _bit_map(sums: DataFrame, least: int, bits: int) -> Broadcast:
-    """One bit for the leading ``bits`` bits of every hash that occurs ``least`` times."""
+def _bit_maps(sums: DataFrame, least: int, bits: int) -> tuple[Broadcast, Broadcast]:
+    """One bit for the leading ``bits`` bits of every hash that occurs ``least`` times; and one for the
+    leading ``bits - 3`` of those that no text has that names first, which are few."""
     spark = sums.sparkSession
+    bits = max(bits, 6)  # whole bytes of both maps
     bit = F.shiftrightunsigned("hash", 64 - bits) + 1
-    blocks = (
-        sums.groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-        .groupBy(F.bitmap_bucket_number(bit).alias("block"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
+    mask = (1 << NAMED_BIT) - 1
+    frequent = (
+        sums.groupBy("hash").agg(F.sum("n").alias("n"))
+        .select(bit.alias("bit"), F.col("n").bitwiseAND(mask).alias("n"), (F.col("n") > mask).alias("is_named"))
+        .where(F.col("n") >= least)
+    )
+    bitmap = "bitmap_construct_agg(bitmap_bit_position(bit))"
+    blocks = frequent.groupBy(F.bitmap_bucket_number("bit").alias("block")).agg(
+        F.expr(bitmap).alias("bits"), F.expr(f"{bitmap} FILTER (WHERE NOT is_named)").alias("unnamed")
     )
-    whole = np.zeros((1 << bits) // 8, np.uint8)
-    for row in written(blocks).collect():  # at most the map itself
-        own = np.frombuffer(row["bits"], np.uint8)
-        start = (row["block"] - 1) * len(own)
-        whole[start : start + len(own)] |= own[: len(whole) - start]
-    return spark.sparkContext.broadcast(whole.tobytes())
+    whole, unnamed = (np.zeros((1 << bits) // 8, np.uint8) for _ in range(2))
+    for row in written(blocks).collect():  # at most two such maps
+        for to, name in ((whole, "bits"), (unnamed, "unnamed")):
+            own = np.frombuffer(row[name], np.uint8)
+            start = (row["block"] - 1) * len(own)
+            to[start : start + len(own)] |= own[: len(to) - start]
+    few = np.packbits(unnamed != 0, bitorder="little")
+    return tuple(spark.sparkContext.broadcast(m.tobytes()) for m in (whole, few))
 
 
 def candidates(rows: DataFrame, most_words: int, least: int, bits: int) -> DataFrame:
     """Distinct (lang, phrase) of every phrase that may be frequent, and of the words in them."""
     sent: dict[int, Broadcast] = {}
+    unnamed: dict[int, Broadcast] = {}
     for size in range(2, most_words + 1):
-        sent[size] = _bit_map(_hash_sums(rows, size, sent), least, bits)
+        sent[size], unnamed[size] = _bit_maps(_hash_sums(rows, size, sent), least, bits)
 
     def named(batches):
-        known, maps, seen = word_hashes(), _maps(sent), set()
-        for lang, tokens in _per_language(batches):
+        known, maps, few, seen = word_hashes(), _maps(sent), _maps(unnamed), set()
+        for (lang, names_first), tokens in _per_language_and_side(batches):
             found = []
             windows = Windows(lang, tokens, known, maps)
             while windows.size < min(most_words, len(tokens)):
                 windows.longer()
-                places = np.flatnonzero(windows.frequent())
+                found_here = windows.frequent()
+                if not names_first:
+                    found_here &= windows.in_map(few[windows.size])
+                places = np.flatnonzero(found_here)
                 hashes, first = np.unique(windows.hashes[places], return_index=True)
                 for h, at in zip(hashes.tolist(), places[first].tolist(), strict=True):
                     if h not in seen:
