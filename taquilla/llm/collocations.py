@@ -13,7 +13,7 @@ piece, and everything is counted per language. Three steps:
 2. Counts. The candidates, their parts and their words are dealt by hash into sets of bounded bytes. Each
    set becomes one double-array trie per language, is broadcast, and the texts are read once for it:
    all positions of a slice of text advance one word at a time together, and the accepting states they
-   reach are counted. Spark adds up the counts of the tasks.
+   reach are counted. The counts of a task leave it in blocks of phrases, which are added up per block.
 3. Scores, joined and compared relationally in exact decimals.
 
 Bound of the broadcasts: ``BITS`` bits for each length, and ``SET_BYTES`` for a set, however large
@@ -62,6 +62,8 @@ SET_BYTES = 96 << 20
 MOST_GATHERED = 4 << 20
 MOST_NAMED = 1_000_000
 ROWS_PER_BATCH = 1 << 16
+# Phrases whose counts leave a task as one row.
+COUNTED_TOGETHER = 1 << 14
 # One of so many texts names its candidates first; the others name those that none of these has. The
 # bits of a sum that count occurrences.
 NAMING_SHARE = 4
@@ -402,12 +404,16 @@ class Trie:
         return self
 
 
-def _built(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One packed trie per set and language; the rows come sorted by both."""
+def _built(batches: Iterable[pa.RecordBatch], together: int) -> Iterator[pa.RecordBatch]:
+    """One packed trie per set and language, with a NULL block, and its phrases in blocks; the rows come
+    sorted by both."""
 
     def told(key, phrases):
-        columns = [pa.array([key[0]], pa.int64()), pa.array([key[1]]), pa.array([Trie(phrases).packed()])]
-        return pa.RecordBatch.from_arrays(columns, names=["part", "lang", "trie"])
+        yield _row(part=key[0], lang=key[1], trie=Trie(phrases).packed())
+        press = zstandard.ZstdCompressor(level=3)
+        for block, at in enumerate(range(0, len(phrases), together)):
+            listed = press.compress(_END.join(phrases[at : at + together]))
+            yield _row(part=key[0], lang=key[1], block=block, phrases=listed)
 
     key, phrases = None, []
     for batch in batches:
@@ -415,28 +421,36 @@ def _built(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, lang, phrase in zip(*columns, strict=True):
             if key != (part, lang):
                 if phrases:
-                    yield told(key, phrases)
+                    yield from told(key, phrases)
                 key, phrases = (part, lang), []
             phrases.append(phrase.encode())
     if phrases:
-        yield told(key, phrases)
+        yield from told(key, phrases)
+
+
+def _row(**cells) -> pa.RecordBatch:
+    kinds = [("part", pa.int64()), ("lang", pa.string()), ("trie", pa.binary()), ("block", pa.int64()), ("phrases", pa.binary())]
+    return pa.RecordBatch.from_pylist([cells], schema=pa.schema(kinds))
 
 
 def _tries(phrases: DataFrame, set_bytes: int) -> tuple[DataFrame, int]:
-    """(part, lang, trie), written, and the number of sets."""
+    """(part, lang, trie, block, phrases), written, and the number of sets."""
     size = F.sum(F.octet_length("phrase") + 40)
     sets = max(1, math.ceil((phrases.agg(size.alias("size")).first()["size"] or 0) / set_bytes))
+    together = COUNTED_TOGETHER
     dealt = phrases.withColumn("part", F.pmod(F.xxhash64("lang", "phrase"), F.lit(sets)))
     return written(
         dealt.repartition("part", "lang")
         .sortWithinPartitions("part", "lang", "phrase")
-        .mapInArrow(_built, "part long, lang string, trie binary")
+        .mapInArrow(lambda batches: _built(batches, together), "part long, lang string, trie binary, block long, phrases binary")
     ), sets
 
 
 def _trie_counts(rows: DataFrame, tries: DataFrame, part: int) -> DataFrame:
-    """(lang, phrase, n) of one set per task; in the first set also all words, as phrase NULL."""
-    own = tries.where(F.col("part") == part).select("lang", "trie").collect()  # one set
+    """(part, lang, block, counts) of one set per task: how often each phrase of a block occurs, compressed;
+    in the first set also the number of all words, with a NULL block."""
+    own = tries.where((F.col("part") == part) & F.col("trie").isNotNull()).select("lang", "trie").collect()  # one set
+    together = COUNTED_TOGETHER
     sent = rows.sparkSession.sparkContext.broadcast({r["lang"]: bytes(r["trie"]) for r in own})
 
     def run(batches):
@@ -452,21 +466,58 @@ def _trie_counts(rows: DataFrame, tries: DataFrame, part: int) -> DataFrame:
                     counts[lang] = np.zeros(len(loaded[lang].phrases), np.int64)
             if loaded[lang]:
                 loaded[lang].counted(tokens, counts[lang])
-        for lang, found in counts.items():
-            phrases, places = loaded[lang].phrases, np.flatnonzero(found)
-            for at in range(0, len(places), ROWS_PER_BATCH):
-                some = places[at : at + ROWS_PER_BATCH]
-                texts = pa.array([phrases[i] for i in some], pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(some)), texts, pa.array(found[some])], names=["lang", "phrase", "n"]
-                )
-        if part == 0 and words:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(words)), pa.nulls(len(words), pa.string()), pa.array(list(words.values()), pa.int64())],
-                names=["lang", "phrase", "n"],
-            )
+        press = zstandard.ZstdCompressor(level=1)
+        cells = [
+            (lang, block, press.compress(found[at : at + together].tobytes()))
+            for lang, found in counts.items()
+            for block, at in enumerate(range(0, len(found), together))
+            if found[at : at + together].any()
+        ]
+        if part == 0:
+            cells += [(lang, None, press.compress(np.int64(n).tobytes())) for lang, n in words.items()]
+        for lang, block, blob in cells:
+            columns = [pa.array([part]), pa.array([lang]), pa.array([block], pa.int64()), pa.array([blob])]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "lang", "block", "counts"])
+
+    return rows.mapInArrow(run, "part long, lang string, block long, counts binary")
+
 
-    return rows.mapInArrow(run, "lang string, phrase string, n long")
+def _summed(counts: DataFrame, tries: DataFrame, least: int) -> DataFrame:
+    """(lang, phrase, n) of the phrases that occur ``least`` times, and of all words as phrase NULL."""
+
+    def told(key, total, listed):
+        lang, block = key[1:]
+        total = np.broadcast_to(total, 1 if block is None else len(listed))
+        places = np.flatnonzero(total >= (0 if block is None else least))
+        texts = pa.array([listed and listed[i] for i in places], pa.binary()).cast(pa.string())
+        columns = [pa.array([lang] * len(places), pa.string()), texts, pa.array(total[places], pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "n"])
+
+    def run(batches):
+        press, last, total, listed = zstandard.ZstdDecompressor(), None, np.int64(0), None
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in ("part", "lang", "block")), strict=True)
+            for i, key in enumerate(keys):
+                if key != last:
+                    if last:
+                        yield told(last, total, listed)
+                    last, total, listed = key, np.int64(0), None
+                if batch.column("phrases")[i].is_valid:
+                    listed = press.decompress(batch.column("phrases")[i].as_py()).split(_END)
+                else:
+                    total = total + np.frombuffer(press.decompress(batch.column("counts")[i].as_py()), np.int64)
+        if last:
+            yield told(last, total, listed)
+
+    named = tries.where(F.col("block").isNotNull()).select(
+        "part", "lang", "block", F.lit(None).cast("binary").alias("counts"), "phrases"
+    )
+    key = ["part", "lang", "block"]
+    return (
+        counts.withColumn("phrases", F.lit(None).cast("binary")).unionByName(named)
+        .repartition(*key).sortWithinPartitions(*key)
+        .mapInArrow(run, "lang string, phrase string, n long")
+    )
 
 
 def frequencies(
@@ -486,8 +537,7 @@ def frequencies(
     found = _trie_counts(rows, tries, 0)
     for part in range(1, sets):
         found = found.unionByName(_trie_counts(rows, tries, part))
-    summed = found.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-    return written(summed.where(F.col("phrase").isNull() | (F.col("n") >= least)))
+    return written(_summed(found, tries, least))
 
 
 # --- scores -------------------------------------------------------------------------------------

@@ -32,3 +32,24 @@ def test_no_candidate_is_lost_or_named_by_all_tasks(spark):
     low = (1 << collocations.NAMED_BIT) - 1
     assert sorted(r[1] & low for r in sums) == sorted(n for p, n in counts.items() if p.count(" ") == 1)
     assert any(r[1] <= low for r in sums)
+
+
+def test_counts_leave_a_task_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "COUNTED_TOGETHER", 8)
+    rng = random.Random(4)
+    texts = [(lang, " ".join(f"w{rng.randrange(9)}" for _ in range(50))) for lang in ("en", None) for _ in range(60)]
+    rows = spark.createDataFrame(texts, "lang string, text string").repartition(5)
+    expected = collections.Counter()
+    for lang, t in texts:
+        w, key = t.split(), lang or "und"
+        expected[key, None] += len(w)
+        expected.update((key, " ".join(w[i : i + n])) for n in (1, 2, 3) for i in range(len(w) - n + 1))
+    expected = {k: n for k, n in expected.items() if n >= 10}
+    for set_bytes in (96 << 20, 20_000):
+        found = collocations.frequencies(rows, bits=20, set_bytes=set_bytes).collect()
+        assert {(r["lang"], r["phrase"]): r["n"] for r in found} == expected and len(found) == len(expected)
+    sent = collocations.candidates(rows.fillna("und"), 3, 10, 20)
+    tries, _ = collocations._tries(sent, 96 << 20)
+    # blocks of eight phrases and the number of words, for each of five tasks and two languages
+    blocks = -(-sent.count() // 8) + 2
+    assert collocations._trie_counts(rows.fillna("und"), tries, 0).count() <= 5 * (blocks + 2)
