@@ -1,11 +1,15 @@
 """Exact top-k search: BM25 over inverted shards with block-max pruning, merged by global statistics.
 
-The documents are dealt by a hash of their row to shards of bounded text. Each shard is indexed once
-and kept in the shared folder: postings of every term, the same pairs by document, and its terms with
-their document counts. Document frequencies, the number of documents and their mean length are
+The documents are dealt to shards of bounded text, by their language where the table names it and
+inside it by a hash of their row. Each shard is indexed once and kept in the shared folder: postings of
+every term, and its terms with their document counts. Document frequencies, the number of documents and their mean length are
 summed over all shards, so a score does not depend on the shard.
 
-Inside a shard a query is answered as block-max WAND does, with all documents of a step at once.
+Inside a shard the queries of a block are scored together, in single precision: the common terms of
+some hundred queries by one product of matrices with those of all documents, the rarer ones by their
+postings. What reaches the threshold, less what rounding can take away, is scored in full.
+
+A query that comes almost alone is answered as block-max WAND does, with all documents of a step at once.
 Postings of the rarer terms are read in full. The documents that lead by them are scored by all terms,
 and the k-th best of them, or of shards the task had before, is the first threshold. Each common term
 has a bound, its weight times its greatest contribution, for every block of ``BLOCK`` documents of
@@ -31,12 +35,14 @@ columns may have any name.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import cached_property
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from taquilla.llm.common import (
@@ -56,14 +62,21 @@ TOP = 10
 BLOCK = 64
 SHARD_BYTES = 24 << 20  # of text before it is compressed
 ASKED_BYTES = 16 << 20  # of terms and weights of the queries in a block
-# Shards a task takes one after the other, with the thresholds of those before.
-SHARDS_PER_TASK = 4
+# Shards a task takes one after the other at most, with the thresholds of those before.
+SHARDS_PER_TASK = 16
+# Documents of one language share shards; languages are told apart by so many hashes.
+KINDS = 64
 _ROWS_PER_MESSAGE = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _TERM_BYTES = 20
 # A term is common if one document of so many has it; common terms have a cell per document, up to
-# so many cells in a shard (16 MB), the most frequent first.
-COMMON = 32
-MOST_CELLS = 2 << 20
+# so many cells in a shard (20 MB), the most frequent first.
+COMMON = 16
+MOST_CELLS = 5 << 20
+# Queries whose common terms are multiplied with those of all documents at once, and of whose rarer
+# terms the postings are added at once; so many scores (16 MB) and postings at most. Fewer queries than
+# ``FEW`` are answered one by one.
+TOGETHER, OPENED_TOGETHER, FEW = 256, 8, 4
+SCORED_CELLS, MOST_OPENED = 4 << 20, 1 << 18
 # Documents scored in full for the first threshold, and common terms added in the first step.
 SEEDS, FIRST_TERMS = 32, 8
 # A sum of bounds may fall short of a rounded score by less than this.
@@ -73,12 +86,10 @@ _SLACK = 1e-6
 _ARRAYS = {
     "doc_id": np.int64,
     "length": np.int64,
-    "pairs": np.int64,
     "term": np.uint64,
     "df": np.int64,
-    "of_doc": np.int32,
+    "doc": np.int32,
     "tf": np.int32,
-    "by_term": np.int32,
 }
 _INDEX = (
     "shard long, n_docs long, n_words long, terms array<long>, dfs array<long>, "
@@ -98,50 +109,65 @@ def indexed(ids: np.ndarray, words: Iterable[list[bytes]]) -> dict[str, np.ndarr
     length = np.array(length, np.int64)
     order = np.argsort(length, kind="stable")
     found, counts = [found[i] for i in order], [counts[i] for i in order]
-    pairs = np.array([len(f) for f in found], np.int64)
-    terms, of_doc = np.unique(
-        np.concatenate([np.empty(0, np.uint64), *found]), return_inverse=True
-    )
+    doc = np.repeat(np.arange(len(found), dtype=np.int32), [len(f) for f in found])
+    found = np.concatenate([np.empty(0, np.uint64), *found])
+    by_term = np.argsort(found, kind="stable")
+    found = found[by_term]
+    starts = np.flatnonzero(np.r_[True, found[1:] != found[:-1]]) if len(found) else by_term
     return {
         "doc_id": np.asarray(ids, np.int64)[order],
         "length": length[order],
-        "pairs": pairs,
-        "term": terms,
-        "df": np.bincount(of_doc, minlength=len(terms)),
-        "of_doc": of_doc.astype(np.int32),  # terms of the first document, the second, ...
-        "tf": np.concatenate([np.empty(0, np.int32), *counts]),
-        "by_term": np.argsort(of_doc, kind="stable").astype(np.int32),  # the same pairs by term
+        "term": found[starts],
+        "df": np.diff(np.r_[starts, len(found)]),
+        "doc": doc[by_term],  # documents of the first term, the second, ...
+        "tf": np.concatenate([np.empty(0, np.int32), *counts])[by_term],
     }
 
 
+class _Asked(NamedTuple):
+    """Queries of a block: the terms of each lie between two ``ends``, by their number among all terms."""
+
+    ends: np.ndarray
+    terms: np.ndarray
+    number: np.ndarray
+    weights: np.ndarray
+
+
 class Shard:
     """An index ready for queries."""
 
     def __init__(self, index: dict[str, np.ndarray], mean_length: float):
-        self.ids, self.terms, self.df = index["doc_id"], index["term"], index["df"]
-        self.pairs, self.of_doc = index["pairs"], index["of_doc"]
+        self.ids, self.terms, self.df, self.doc = (index[n] for n in ("doc_id", "term", "df", "doc"))
         n_docs = len(self.ids)
+        self.pairs = np.bincount(self.doc, minlength=n_docs)
         self.doc_end = np.cumsum(self.pairs)
         self.term_end = np.cumsum(self.df)
+        # the same pairs by document, sorted in steps of 16 bits where that is enough
+        by_doc = np.argsort(self.doc.astype(np.uint16 if n_docs <= 1 << 16 else np.int32), kind="stable")
+        self.of_doc = np.repeat(np.arange(len(self.terms), dtype=np.int32), self.df)[by_doc]
         norm = K1 * (1 - B + B * index["length"] / mean_length)
-        tf = index["tf"].astype(np.float64)
-        self.doc_part = tf * (K1 + 1) / (tf + np.repeat(norm, self.pairs))
-        by_term = index["by_term"]
-        self.doc = np.repeat(np.arange(n_docs, dtype=np.int32), self.pairs)[by_term]
-        self.part = self.doc_part[by_term]
+        part = norm[self.doc]
+        part += index["tf"]
+        np.divide(index["tf"] * (K1 + 1), part, out=part)
+        self.part, self.doc_part = part.astype(np.float32), part[by_doc]
+        del part, by_doc
         common = np.flatnonzero(self.df * COMMON >= n_docs)
         common = common[np.argsort(-self.df[common], kind="stable")][: MOST_CELLS // max(1, n_docs)]
         self.row = np.full(len(self.terms), -1)
         self.row[common] = np.arange(len(common))
         self.block = np.arange(n_docs) // BLOCK
-        self.wide = np.zeros((len(common), n_docs))
+        self.wide = np.zeros((len(common), n_docs), np.float32)
         for row, term in enumerate(common.tolist()):
             own = slice(self.term_end[term] - self.df[term], self.term_end[term])
             self.wide[row, self.doc[own]] = self.part[own]
-        starts = np.arange(0, n_docs, BLOCK)
-        self.most = np.maximum.reduceat(self.wide, starts, axis=1) if n_docs else self.wide
         self.weight = np.zeros(len(self.terms))
 
+    @cached_property
+    def most(self) -> np.ndarray:
+        """The greatest contribution of every common term in every block."""
+        starts = np.arange(0, len(self.ids), BLOCK)
+        return np.maximum.reduceat(self.wide, starts, axis=1) if len(starts) else self.wide
+
     def places(self, terms: np.ndarray) -> np.ndarray:
         """Where the terms are in this shard, -1 if they are not."""
         if not len(self.terms):
@@ -169,17 +195,88 @@ class Shard:
         if not floor and len(so_far) > max(k, SEEDS):
             n_seeds = max(k, SEEDS)
             seeds = np.argpartition(so_far, -n_seeds)[-n_seeds:]
-            least = max(least, _kth(so_far[seeds] + self._common(row, weight, seeds), k) - _SLACK)
+            seen = so_far[seeds] + self._common(row, weight, seeds)
+            least = max(least, _below(_kth(seen, k), len(place)))
         docs = np.flatnonzero(so_far + rest[0][self.block] >= least)
         score, at, step = so_far[docs], 0, FIRST_TERMS
         while at < len(row) and len(docs):
             stop = min(len(row), at + step)
             score += self._common(row[at:stop], weight[at:stop], docs)
-            least = max(least, _kth(score, k) - _SLACK)
+            least = max(least, _below(_kth(score, k), len(place)))
             reach = score + rest[stop][self.block[docs]] >= least
             docs, score = docs[reach], score[reach]
             at, step = stop, step * 2
-        docs = docs[(score > 0) & (score >= max(least, _kth(score, k) - _SLACK))]
+        docs = docs[(score > 0) & (score >= max(least, _below(_kth(score, k), len(place))))]
+        return self._best(place, weights, docs, k)
+
+    def tops(
+        self, own: np.ndarray, asked: _Asked, k: int, floors: np.ndarray
+    ) -> Iterator[tuple[int, list]]:
+        """The same for many queries at once: (number, best) of each that finds a document."""
+        place = self.places(asked.terms)
+        row = np.full(len(place), -1)
+        row[place >= 0] = self.row[place[place >= 0]]
+        sizes = np.diff(asked.ends)
+        counted = np.r_[0, np.cumsum((row >= 0)[asked.number], dtype=np.int32)]
+        common = np.diff(counted[asked.ends]) / np.maximum(sizes, 1)
+        # queries with few of the common terms side by side, as those of another language
+        order = np.argsort(common, kind="stable")
+        together = max(1, min(TOGETHER, SCORED_CELLS // max(1, len(self.ids))))
+        for at in range(0, len(order), together):
+            some = order[at : at + together]
+            terms = _ranges(asked.ends[some], asked.ends[some + 1])
+            query = np.repeat(np.arange(len(some)), sizes[some])
+            number = asked.number[terms]
+            scores = self._all_scores(query, place[number], row[number], asked.weights[terms], len(some))
+            for i, score in zip(some.tolist(), scores, strict=True):
+                score[self.ids == own[i]] = 0
+                docs = np.flatnonzero((score > 0) & (score >= _below(floors[i], sizes[i])))
+                if len(docs) > k:
+                    found = score[docs]
+                    docs = docs[found >= _below(_kth(found, k), sizes[i])]
+                if len(docs):
+                    of = slice(asked.ends[i], asked.ends[i + 1])
+                    own_place = place[asked.number[of]]
+                    known = own_place >= 0
+                    yield i, self._best(own_place[known], asked.weights[of][known], docs, k)
+
+    def each_top(
+        self, own: np.ndarray, asked: _Asked, k: int, floors: np.ndarray
+    ) -> Iterator[tuple[int, list]]:
+        """What ``tops`` gives, query by query."""
+        place = self.places(asked.terms)
+        for i, (start, stop) in enumerate(zip(asked.ends, asked.ends[1:], strict=False)):
+            of = slice(start, stop)
+            found = self.top(int(own[i]), place[asked.number[of]], asked.weights[of], k, floors[i])
+            if found:
+                yield i, found
+
+    def _all_scores(self, query, place, row, weights, n: int) -> np.ndarray:
+        """Scores of all documents by ``n`` queries, a row each, in single precision; terms by query."""
+        wide = row >= 0
+        asked = np.zeros((n, len(self.wide)), np.float32)
+        asked[query[wide], row[wide]] = weights[wide]
+        used = np.flatnonzero(asked.any(0))
+        scores = asked[:, used] @ self.wide[used] if len(used) < len(self.wide) else asked @ self.wide
+        rarer = (place >= 0) & ~wide
+        query, place, weights = query[rarer], place[rarer], weights[rarer]
+        df, n_docs = self.df[place], max(1, len(self.ids))
+        ends = np.searchsorted(query, np.arange(n + 1))
+        postings_to = np.r_[0, np.cumsum(df)][ends]
+        most, at = max(1, min(OPENED_TOGETHER, SCORED_CELLS // (8 * n_docs))), 0
+        while at < n:
+            within = int(np.searchsorted(postings_to, postings_to[at] + MOST_OPENED, side="right")) - 1
+            stop = max(at + 1, min(at + most, within, n))
+            of, some = slice(ends[at], ends[stop]), scores[at:stop]
+            own_df, last = df[of], self.term_end[place[of]]
+            postings = _ranges(last - own_df, last)
+            cell = np.repeat((query[of] - at) * n_docs, own_df) + self.doc[postings]
+            scored = np.repeat(weights[of], own_df) * self.part[postings]
+            some += np.bincount(cell, scored, some.size).reshape(some.shape)
+            at = stop
+        return scores
+
+    def _best(self, place: np.ndarray, weights: np.ndarray, docs: np.ndarray, k: int):
         full = np.round(self._full(place, weights, docs), 9)
         return sorted(zip((-full).tolist(), self.ids[docs].tolist(), strict=True))[:k]
 
@@ -205,6 +302,12 @@ class Shard:
         return np.bincount(np.repeat(np.arange(len(docs)), size), scored, len(docs))
 
 
+def _below(score: float, n_terms: int) -> float:
+    """What a sum of ``n_terms`` contributions in single precision reaches if the exact sum reaches
+    another such sum of ``score``: nothing is negative, so each step is off by a part of the sum only."""
+    return score * (1 - (n_terms + 8) * 2.0**-22) - _SLACK
+
+
 def _kth(scores: np.ndarray, k: int) -> float:
     """The k-th best score, 0 if there are fewer."""
     return max(0.0, float(np.partition(scores, -k)[-k])) if len(scores) >= k else 0.0
@@ -221,14 +324,33 @@ def _dealt(rows: DataFrame, parts: int, name: str) -> DataFrame:
     return rows.withColumn(name, F.pmod(F.xxhash64("row"), F.lit(parts).cast("long")))
 
 
+def _kind(docs: DataFrame) -> Column:
+    """A number of the language of a document, where the table has one column that names it."""
+    named = [c for c in docs.columns if c.lower() == "lang"]
+    if len(named) != 1:
+        return F.lit(0).cast("long")
+    return F.pmod(F.xxhash64(F.col(named[0]).cast("string")), F.lit(KINDS).cast("long"))
+
+
+def _shard(sizes: dict[int, int], shards: int) -> Column:
+    """The shard of a row: kinds take stretches of the shards by their bytes, rows places in them by hash."""
+    whole = max(1, sum(sizes.values()))
+    width = [sizes.get(kind, 0) * shards / whole for kind in range(KINDS)]
+    start = [sum(width[:kind]) for kind in range(KINDS)]
+    parts = 1 << 30
+    at = F.pmod(F.xxhash64("row"), F.lit(parts).cast("long")) / parts
+    place = [F.get(F.array(*map(F.lit, x)), F.col("kind").cast("int")) for x in (start, width)]
+    return F.least(F.floor(place[0] + at * place[1]), F.lit(shards - 1).cast("long"))
+
+
 # --- index --------------------------------------------------------------------------------------
 
 
 def index_of(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """One row per shard of ``docs`` (``doc_id``, ``text``), written to the shared folder."""
+    """One row per shard of ``docs`` (``doc_id``, ``text``, ``kind``), written to the shared folder."""
     sized = docs.withColumn("size", F.octet_length("text"))
     held = written(packed(sized).withColumn("row", F.monotonically_increasing_id()))
-    size = held.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    sizes = dict(held.groupBy("kind").agg(F.sum("size")).collect())  # at most ``KINDS``
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         words = (unpacked(b.as_py()).lower().split() for b in rows.column("text"))
@@ -247,7 +369,7 @@ def index_of(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
             columns[n] = pa.array([blob], pa.binary())
         return pa.table(columns)
 
-    dealt = _dealt(held, max(1, -(-size // shard_bytes)), "shard")
+    dealt = held.withColumn("shard", _shard(sizes, max(1, -(-sum(sizes.values()) // shard_bytes))))
     return written(
         dealt.select("shard", "doc_id", "text").groupBy("shard").applyInArrow(run, _INDEX)
     )
@@ -257,11 +379,14 @@ def _shards(batches: Iterable[pa.RecordBatch], mean_length: float) -> Iterator[S
     press = zstandard.ZstdDecompressor()
     for batch in batches:
         for i in range(batch.num_rows):
-            index = {
-                n: np.frombuffer(press.decompress(batch.column(n)[i].as_py()), kind)
-                for n, kind in _ARRAYS.items()
-            }
-            yield Shard(index, mean_length)
+            # nothing but the shard is held while it is used
+            yield Shard(
+                {
+                    n: np.frombuffer(press.decompress(batch.column(n)[i].as_py()), kind)
+                    for n, kind in _ARRAYS.items()
+                },
+                mean_length,
+            )
 
 
 # --- queries ------------------------------------------------------------------------------------
@@ -330,17 +455,16 @@ def _found(index: DataFrame, sent: Broadcast, mean_length: float, top: int) -> D
 
     def run(batches):
         ids, ends, terms, number, weight = sent.value
+        asked = _Asked(ends, terms, number, weight)
         kept: dict[int, list] = {}
+        floors = np.zeros(len(ids))
         for shard in _shards(batches, mean_length):
-            place = shard.places(terms)
-            for i, own in enumerate(ids.tolist()):
-                best = kept.get(i, [])
-                floor = -best[-1][0] - _SLACK if len(best) == top else 0.0
-                of = slice(ends[i], ends[i + 1])
-                found = shard.top(own, place[number[of]], weight[of], top, floor)
-                if found:
-                    kept[i] = sorted(best + found)[:top]
-            del shard  # before the next one is made
+            tops = shard.tops if len(ids) >= FEW else shard.each_top
+            for i, found in tops(ids, asked, top, floors):
+                best = kept[i] = sorted(kept.get(i, []) + found)[:top]
+                if len(best) == top:
+                    floors[i] = max(0.0, -best[-1][0] - _SLACK)
+            del shard, tops  # before the next one is made
         rows = [(int(ids[i]), doc_id, -score) for i, best in kept.items() for score, doc_id in best]
         if rows:
             columns = zip(*rows, strict=True)
@@ -361,7 +485,8 @@ def search(
 ) -> DataFrame:
     """The best ``top`` of ``docs`` per row of ``queries`` (``doc_id``, ``text``)."""
     spark = docs.sparkSession
-    index = index_of(texts(docs).where("doc_id is not null and text is not null"), shard_bytes)
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _kind(docs).alias("kind"))
+    index = index_of(given.where("doc_id is not null and text is not null"), shard_bytes)
     counted = index.agg(
         F.coalesce(F.sum("n_docs"), F.lit(0)),
         F.coalesce(F.sum("n_words"), F.lit(0)),
@@ -381,7 +506,8 @@ def search(
     blocks = max(1, -(-n_terms * _TERM_BYTES // asked_bytes))
     asked = _dealt(asked, blocks, "block")
     folder = shared_folder(spark)
-    held = index.coalesce(max(1, shards // SHARDS_PER_TASK))
+    cores = spark.sparkContext.defaultParallelism
+    held = index.coalesce(cores * max(1, -(-shards // (cores * SHARDS_PER_TASK))))
     for block in range(blocks):
         sent = _sent(spark, asked.where(F.col("block") == block))
         found = _found(held, sent, mean_length, top)
