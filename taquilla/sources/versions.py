@@ -152,8 +152,11 @@ class StoredTable:
                 F.max(text).alias(f"high_{key}"),
                 F.bitmap_construct_agg(_place(F.col(key))).alias(f"bits_{key}"),
             ]
+        # Least and greatest strings alone would be aggregated by a sort of all rows, which spills; beside
+        # a list, here one of no value, Spark keeps a hash table of the few files that a task reads.
+        no_value = F.size(F.collect_list(F.lit(None).cast("int")))
         return written.groupBy(F.col("_metadata.file_path").alias("file")).agg(
-            F.count(F.lit(1)).alias("rows"), *summaries
+            (F.count(F.lit(1)) + no_value).alias("rows"), *summaries
         )
 
     def append(self, rows: DataFrame) -> int:
