@@ -40,7 +40,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from taquilla.llm.common import hashed, mixed, signed, slices, word_hashes, written
+from taquilla.llm.common import Spans, mixed, signed, slices, written
 
 # --- fixed values: what a phrase is ---------------------------------------------------------
 NO_LANGUAGE = "und"
@@ -62,6 +62,8 @@ SET_BYTES = 96 << 20
 MOST_GATHERED = 4 << 20
 MOST_NAMED = 1_000_000
 ROWS_PER_BATCH = 1 << 16
+# Bytes of text whose words are hashed at once.
+HASHED_BYTES = 1 << 16
 # Phrases whose counts leave a task as one row.
 COUNTED_TOGETHER = 1 << 14
 # One of so many texts names its candidates first; the others name those that none of these has. The
@@ -80,31 +82,64 @@ _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 def tokens_of(texts: Iterable[str]) -> list[bytes]:
     """Words of the texts in order, with an end mark between pieces and between texts."""
-    joined = "\n".join(texts).encode().lower().translate(_CUT)
-    return joined.replace(_END, b" " + _END + b" ").split()
+    return _cut(texts).replace(_END, b" " + _END + b" ").split()
 
 
-def _grouped(batches: Iterable[pa.RecordBatch], of: Callable) -> Iterator[tuple]:
-    """Tokens of the texts of a slice, by what ``of`` gives for language and text."""
+def _cut(texts: Iterable[str]) -> bytes:
+    return "\n".join(texts).encode().lower().translate(_CUT)
+
+
+class Tokens:
+    """The same tokens as places in the bytes of the texts, and their hashes, without a Python object each."""
+
+    def __init__(self, texts: Iterable[str]):
+        self.data = _cut(texts)
+        given = np.frombuffer(self.data, np.uint8)
+        is_end, is_word = given == _END[0], given != ord(" ")
+        parts = ~is_word | is_end
+        self.starts = np.flatnonzero(is_word & (is_end | np.r_[True, parts[:-1]][: len(given)]))
+        self.stops = np.flatnonzero(is_word & (is_end | np.r_[parts[1:], True][: len(given)])) + 1
+        self.is_word = ~is_end[self.starts]
+        self.hashes = np.empty(len(self.starts), np.uint64)
+        at = 0
+        while at < len(self.starts):
+            first = self.starts[at]
+            stop = max(at + 1, int(np.searchsorted(self.stops, first + HASHED_BYTES, side="right")))
+            own = slice(at, stop)
+            spans = Spans(given[first : self.stops[stop - 1]].astype(np.uint64))
+            self.hashes[own] = spans.of(self.starts[own] - first, self.stops[own] - first)
+            at = stop
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def phrase(self, at: int, size: int) -> bytes:
+        return b" ".join(self.data[self.starts[at] : self.stops[at + size - 1]].split())
+
+
+def _grouped(batches: Iterable[pa.RecordBatch], of: Callable, made: Callable) -> Iterator[tuple]:
+    """What is ``made`` of the texts of a slice, by what ``of`` gives for language and text."""
     for part in slices(batches):
         found: dict = {}
         for lang, text in zip(*(part.column(c).to_pylist() for c in ("lang", "text")), strict=True):
             if text:
                 found.setdefault(of(lang, text), []).append(text)
         for key, texts in found.items():
-            yield key, tokens_of(texts)
+            yield key, made(texts)
 
 
 def _per_language(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
-    return _grouped(batches, lambda lang, text: lang)
+    return _grouped(batches, lambda lang, text: lang, tokens_of)
 
 
 def _per_language_and_side(
     batches: Iterable[pa.RecordBatch],
-) -> Iterator[tuple[tuple[str, bool], list[bytes]]]:
+) -> Iterator[tuple[tuple[str, bool], Tokens]]:
     """The same, texts that name phrases first (one of ``NAMING_SHARE``, by a hash of the text) apart."""
     return _grouped(
-        batches, lambda lang, text: (lang, xxhash.xxh3_64_intdigest(text, seed=2) % NAMING_SHARE == 0)
+        batches,
+        lambda lang, text: (lang, xxhash.xxh3_64_intdigest(text, seed=2) % NAMING_SHARE == 0),
+        Tokens,
     )
 
 
@@ -114,12 +149,12 @@ def _per_language_and_side(
 class Windows:
     """Hashes of the phrases of a token sequence, and which of them may be frequent."""
 
-    def __init__(self, lang: str, tokens: list[bytes], known, maps: dict[int, np.ndarray]):
-        self.words = hashed(tokens, known)
+    def __init__(self, lang: str, tokens: Tokens, maps: dict[int, np.ndarray]):
+        self.words = tokens.hashes
         self.maps = maps
         # a seed of its own: a language may be called like a word
         self.hashes = mixed(self.words + np.uint64(xxhash.xxh3_64_intdigest(lang.encode(), seed=1)))
-        self.open = self.words != np.uint64(known[_END])
+        self.open = tokens.is_word
         self.size = 1
 
     def longer(self) -> None:
@@ -167,11 +202,11 @@ def _hash_sums(rows: DataFrame, size: int, sent: dict[int, Broadcast]) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["hash", "n"])
 
     def run(batches):
-        known, maps, pending, gathered = word_hashes(), _maps(sent), [], 0
+        maps, pending, gathered = _maps(sent), [], 0
         for (lang, names_first), tokens in _per_language_and_side(batches):
             if len(tokens) < size:
                 continue
-            windows = Windows(lang, tokens, known, maps)
+            windows = Windows(lang, tokens, maps)
             while windows.size < size:
                 windows.longer()
             own = windows.hashes[windows.open] & ~np.uint64(1)
@@ -220,10 +255,10 @@ def candidates(rows: DataFrame, most_words: int, least: int, bits: int) -> DataF
         sent[size], unnamed[size] = _bit_maps(_hash_sums(rows, size, sent), least, bits)
 
     def named(batches):
-        known, maps, few, seen = word_hashes(), _maps(sent), _maps(unnamed), set()
+        maps, few, seen = _maps(sent), _maps(unnamed), set()
         for (lang, names_first), tokens in _per_language_and_side(batches):
             found = []
-            windows = Windows(lang, tokens, known, maps)
+            windows = Windows(lang, tokens, maps)
             while windows.size < min(most_words, len(tokens)):
                 windows.longer()
                 found_here = windows.frequent()
@@ -234,7 +269,7 @@ def candidates(rows: DataFrame, most_words: int, least: int, bits: int) -> DataF
                 for h, at in zip(hashes.tolist(), places[first].tolist(), strict=True):
                     if h not in seen:
                         seen.add(h)
-                        found.append(b" ".join(tokens[at : at + windows.size]))
+                        found.append(tokens.phrase(at, windows.size))
             if len(seen) >= MOST_NAMED:
                 seen.clear()
             if found:
